@@ -33,8 +33,19 @@ def mark_hits(text: Column, terms: Sequence[str]) -> Column:
     return F.translate(hits, _WORD_OPEN + _WORD_CLOSE, "")
 
 
+# Characters an HTML-encoding highlighter escapes, the ampersand first.
+HTML_ESCAPES = (
+    ("&", "&amp;"),
+    ("<", "&lt;"),
+    (">", "&gt;"),
+    ('"', "&quot;"),
+    ("'", "&#x27;"),
+    ("/", "&#x2F;"),
+)
+
+
 def escape_html(text: Column) -> Column:
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for raw, escaped in HTML_ESCAPES:
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     return text
 
