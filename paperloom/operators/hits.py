@@ -44,10 +44,10 @@ def hit_rows(page: DataFrame, corpus: DataFrame, terms: Sequence[str], key: str
              main: str = INDEX_NAME) -> DataFrame:
     """Full result rows for a page of (key, score).
 
-    Texts are read for the rows of the page only: a page has at most its size in rows, so its
-    ids are broadcast to the corpus scan. Corpus rows need a ``comments`` array.
+    Texts are read for the rows of the page only. The optimizer knows the size of a limited
+    page and sends it to the corpus scan when it is small. Corpus rows need a ``comments`` array.
     """
-    docs = corpus.join(F.broadcast(page.select(key, "score")), key)
+    docs = corpus.join(page.select(key, "score"), key)
     return docs.select(
         F.col("uri_file_path").alias("relative_url"),
         "id",

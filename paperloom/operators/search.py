@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import scoring
 from paperloom.functions import text as tx
-from paperloom.operators.index import distinct_terms, query_terms
+from paperloom.operators.index import distinct_terms, query_terms, term_counts
 from paperloom.plans.columns import computed_once
 from paperloom.plans.sizing import broadcast_if_small
 from paperloom.schemas import INDEX_NAME, KIND_NAMES
@@ -341,6 +341,13 @@ def search_prefix(docs: DataFrame, text: Column, prefix: str, keys: Sequence[str
 # --- many queries -------------------------------------------------------------------------
 
 
+def batch_counts(docs: DataFrame, text: Column, query_terms: DataFrame, key: str) -> DataFrame:
+    """Term counts of the terms any query asks for; rare vocabularies are dropped before a shuffle."""
+    pairs, small = broadcast_if_small(query_terms)
+    vocabulary = pairs.select("term").distinct()
+    return term_counts(docs, text, key, vocabulary=F.broadcast(vocabulary) if small else None)
+
+
 def search_batch(counts: DataFrame, query_terms: DataFrame, n_docs: DataFrame, k: int,
                  key: str = "id") -> DataFrame:
     """Top ``k`` documents of every query: query_id, key, score, rank.

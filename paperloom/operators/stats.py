@@ -46,10 +46,9 @@ def activity_counters(log: DataFrame, operation: str, millis: Column) -> DataFra
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """The run of every model that ended last (the smaller id among equals)."""
+    """The run of every model that ended last (the larger id among equals)."""
     columns = [c for c in runs.columns if c != "model"]
-    # The id enters negated so that the smaller one wins among equal end times.
-    order = F.struct(F.col("end_job"), -F.col("id").cast("long"))
+    order = F.struct("end_job", "id")
     latest = runs.groupBy("model").agg(F.max_by(F.struct(*columns), order).alias("run"))
     return latest.select("model", "run.*")
 
