@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,19 +10,20 @@ from paperloom.functions.naming import index_name
 from paperloom.schemas import CORPUS_SCHEMA, INDEX_NAME
 
 
-def last_write_per_id(batch: DataFrame, tie: str = "content_hash") -> DataFrame:
-    """The latest row of every id.
+def last_write_per_id(batch: DataFrame, *order: Column) -> DataFrame:
+    """The latest row of every id, by process time unless another order is given.
 
     The ranking keeps one row per id and task before the shuffle, so copies of one id do not
     travel.
     """
-    order = Window.partitionBy("id").orderBy(F.desc("process_time"), F.asc(tie))
-    return batch.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
+    by = order or (F.desc("process_time"), F.asc("content_hash"))
+    ranked = batch.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*by)))
+    return ranked.where(F.col("_n") == 1).drop("_n")
 
 
-def upsert(corpus: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(corpus: DataFrame, batch: DataFrame, *order: Column) -> DataFrame:
     """Corpus with the rows of the batch in place of rows of the same id."""
-    latest = last_write_per_id(batch)
+    latest = last_write_per_id(batch, *order)
     return corpus.join(latest.select("id"), "id", "left_anti").unionByName(latest, allowMissingColumns=True)
 
 

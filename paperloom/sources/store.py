@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,17 +69,24 @@ class CorpusStore:
     # -- reading ---------------------------------------------------------------------------
 
     def _read(self, kind: str, layers: Sequence[str]) -> DataFrame:
-        paths = [f"{self.root}/doc_type={kind}/{n}" for n in layers]
-        if not paths:
-            return self.spark.createDataFrame([], LAYER_SCHEMA).withColumn("doc_type", F.lit(kind))
-        return self.spark.read.schema(LAYER_SCHEMA).parquet(*paths).withColumn("doc_type", F.lit(kind))
+        """Rows of some layers, with the position of their layer in ``_layer``."""
+        frames = [
+            self.spark.read.schema(LAYER_SCHEMA)
+            .parquet(f"{self.root}/doc_type={kind}/{name}")
+            .withColumn("_layer", F.lit(i))
+            for i, name in enumerate(layers)
+        ]
+        if not frames:
+            frames = [self.spark.createDataFrame([], LAYER_SCHEMA).withColumn("_layer", F.lit(0))]
+        return reduce(DataFrame.unionByName, frames).withColumn("doc_type", F.lit(kind))
 
     def _kind(self, kind: str) -> DataFrame:
         layers = self.layers(kind)
-        base = self._read(kind, layers[:1])
+        rows = self._read(kind, layers[:1])
         if len(layers) > 1:
-            base = upsert(base, self._read(kind, layers[1:])).where(~F.col("deleted"))
-        return base.select(*CORPUS_SCHEMA.fieldNames())
+            later = self._read(kind, layers[1:])
+            rows = upsert(rows, later, F.desc("_layer"), F.desc("process_time")).where(~F.col("deleted"))
+        return rows.select(*CORPUS_SCHEMA.fieldNames())
 
     def existing(self) -> list[str]:
         return [k for k in KIND_NAMES if self.layers(k)]
@@ -88,10 +96,7 @@ class CorpusStore:
         frames = [self._kind(k) for k in (kinds or KIND_NAMES) if self.layers(k)]
         if not frames:
             return self.spark.createDataFrame([], CORPUS_SCHEMA)
-        result = frames[0]
-        for f in frames[1:]:
-            result = result.unionByName(f)
-        return result
+        return reduce(DataFrame.unionByName, frames)
 
     def state(self, kind: str) -> DataFrame:
         """Path hash, content hash and path of every document; reads no text."""

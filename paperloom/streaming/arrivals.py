@@ -37,6 +37,7 @@ def file_arrivals(spark: SparkSession, path: str, glob: str, files_per_batch: in
     """Stream of binary files as they arrive in a folder."""
     return (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_batch)
@@ -55,14 +56,16 @@ def ingest_stream(arrivals: DataFrame, store: CorpusStore, kind: str, checkpoint
     """Compare each micro-batch with the state and add what is new or changed.
 
     ``prepare`` turns arriving rows into corpus rows. A micro-batch is written to the staging
-    folder first, as it is read more than once. Its layer bears the batch number, so a batch
-    repeated after a restart replaces itself.
+    folder first, as it is read more than once. Its layer bears the query and batch number, so
+    a batch repeated after a restart replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        path = f"{staging}/{kind}-{number}"
+        session = batch.sparkSession
+        tag = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+        path = f"{staging}/{kind}-{tag}"
         prepare(batch).write.mode("overwrite").parquet(path)
-        ingest_documents(store, kind, batch.sparkSession.read.parquet(path), tag=f"b{number}")
+        ingest_documents(store, kind, session.read.parquet(path), tag=tag)
 
     writer = arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return triggered(writer, interval).start()
