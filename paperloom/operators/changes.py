@@ -2,37 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NEW, CHANGED, UNCHANGED = "new", "changed", "unchanged"
 
 
-def change_labels(docs: DataFrame, state: DataFrame) -> DataFrame:
-    """(id, content_hash, label) for every document; joins narrow columns only.
+def with_labels(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """Documents with their label: absent from the state is new, another hash is changed.
 
-    Absent from the state is new, another hash is changed, an equal hash is unchanged.
+    All columns travel through the join; give narrow rows, or use `changed_documents`.
     """
-    known = state.select(
-        F.col("path_hash").alias("id"), F.col("content_hash").alias("_stored_hash")
-    )
-    return (
-        docs.select("id", "content_hash")
-        .join(known, "id", "left")
-        .select("id", "content_hash", label_of("_stored_hash", "content_hash").alias("label"))
+    known = state.select(F.col("path_hash").alias("id"), F.col("content_hash").alias("_stored"))
+    label = (
+        F.when(F.col("_stored").isNull(), NEW)
+        .when(F.col("_stored") != F.col("content_hash"), CHANGED)
+        .otherwise(UNCHANGED)
     )
+    return docs.join(known, "id", "left").withColumn("label", label).drop("_stored")
 
 
-def label_of(stored: str, current: str) -> Column:
-    return (
-        F.when(F.col(stored).isNull(), NEW)
-        .when(F.col(stored) != F.col(current), CHANGED)
-        .otherwise(UNCHANGED)
-    )
+def change_labels(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, content_hash, label) for every document; joins these narrow columns only."""
+    return with_labels(docs.select("id", "content_hash"), state)
 
 
 def changed_documents(docs: DataFrame, state: DataFrame) -> DataFrame:
-    """New and changed documents with their label.
+    """New and changed documents, texts included, with their label.
 
     The labels are joined back by id, so that texts of unchanged documents are never shuffled
     when the changed ids are few enough for the optimizer to send them to the documents.
@@ -41,18 +37,20 @@ def changed_documents(docs: DataFrame, state: DataFrame) -> DataFrame:
     return docs.join(labels.select("id", "label"), "id")
 
 
-def next_state(state: DataFrame, indexed: DataFrame) -> DataFrame:
-    """State after the indexed documents (id, content_hash, original_file_path, doc_type)."""
-    fresh = indexed.select(
+def next_state(state: DataFrame, docs: DataFrame) -> DataFrame:
+    """State after a run over ``docs``: their hashes where they are known, else the old rows."""
+    now = docs.select(
         F.col("id").alias("path_hash"),
-        "content_hash",
-        F.col("original_file_path").alias("original_path"),
-        "doc_type",
+        F.struct("content_hash", F.col("original_file_path").alias("original_path"), "doc_type").alias("_now"),
+    )
+    merged = state.join(now, "path_hash", "full")
+    return merged.select(
+        "path_hash",
+        *[F.coalesce(F.col(f"_now.{c}"), F.col(c)).alias(c) for c in ("content_hash", "original_path", "doc_type")],
     )
-    return state.join(fresh.select("path_hash"), "path_hash", "left_anti").unionByName(fresh)
 
 
-def run_counters(docs: DataFrame, labels: DataFrame, exclude: Column | None = None) -> DataFrame:
+def run_counters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: documents seen, indexed and failed, from labels and the ``error`` column."""
     failed = docs.agg(F.count_if(F.col("error").isNotNull()).alias("processing_error"))
     seen = labels.agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import highlight as hl
 from paperloom.functions.naming import index_name, program_icon
+from paperloom.plans.columns import literal_rows
 from paperloom.schemas import INDEX_NAME
 
 
@@ -40,14 +41,8 @@ def comment_details(comments: Column, terms: Sequence[str]) -> Column:
     return F.transform(F.slice(marked, 1, hl.FRAGMENT_COUNT), detail)
 
 
-def hit_rows(page: DataFrame, corpus: DataFrame, terms: Sequence[str], key: str = "id",
-             main: str = INDEX_NAME) -> DataFrame:
-    """Full result rows for a page of (key, score).
-
-    Texts are read for the rows of the page only. The optimizer knows the size of a limited
-    page and sends it to the corpus scan when it is small. Corpus rows need a ``comments`` array.
-    """
-    docs = corpus.join(page.select(key, "score"), key)
+def hit_rows(docs: DataFrame, terms: Sequence[str], main: str = INDEX_NAME) -> DataFrame:
+    """Full result rows of the documents of a page: corpus rows with ``score``, nested ``comments``."""
     return docs.select(
         F.col("uri_file_path").alias("relative_url"),
         "id",
@@ -60,3 +55,14 @@ def hit_rows(page: DataFrame, corpus: DataFrame, terms: Sequence[str], key: str
         F.col("score").alias("relevance"),
         program_icon(F.col("content_type")).alias("program_icon"),
     )
+
+
+def fetched(corpus: DataFrame, page: dict, key: str = "id") -> DataFrame:
+    """Corpus rows of a page (id -> score) with their score; the ids filter the scan."""
+    scores = literal_rows(corpus.sparkSession, [(k, float(v)) for k, v in page.items()], [key, "score"])
+    return corpus.where(F.col(key).isin(*page)).join(F.broadcast(scores), key)
+
+
+def joined(corpus: DataFrame, page: DataFrame, key: str = "id") -> DataFrame:
+    """Corpus rows of a page of any size; the optimizer knows the size of a limited frame."""
+    return corpus.join(page.select(key, "score"), key)

@@ -21,6 +21,7 @@ from paperloom.plans.sizing import broadcast_if_small
 from paperloom.schemas import INDEX_NAME, KIND_NAMES
 
 SCORE_DIGITS = 6
+MAX_FETCH = 10_000
 
 
 # --- matching -----------------------------------------------------------------------------
@@ -112,53 +113,56 @@ def postings_match_counts(postings: DataFrame, terms: Sequence[str],
 # --- statistics and scores ----------------------------------------------------------------
 
 
-def match_statistics(counts: DataFrame, n_terms: int, fields: Sequence[str]) -> DataFrame:
-    """One row: per field a struct of document count, mean length and document frequencies."""
+def weights_struct(n: Column, average_length: Column, frequencies: Sequence[Column]) -> Column:
+    """Mean length and the weight (idf) of every term in one field."""
+    return F.struct(
+        average_length.alias("avgdl"), F.array(*[scoring.idf(n, df) for df in frequencies]).alias("idf")
+    )
+
+
+def match_weights(counts: DataFrame, n_terms: int, fields: Sequence[str]) -> DataFrame:
+    """One row: per field the mean length and term weights over the given documents."""
     parts = []
     for f in fields:
         dl = F.col(f"dl_{f}")
-        df = [F.count_if(F.col(f"tf_{f}")[k] > 0).cast("double") for k in range(n_terms)]
-        parts.append(
-            F.struct(
-                F.count_if(dl > 0).cast("double").alias("n"),
-                F.avg(F.when(dl > 0, dl)).alias("avgdl"),
-                F.array(*df).alias("df"),
-            ).alias(f)
-        )
-    return counts.agg(F.struct(*parts).alias("stats"))
+        df = [F.count_if(F.col(f"tf_{f}")[k] > 0) for k in range(n_terms)]
+        parts.append(weights_struct(F.count_if(dl > 0), F.avg(F.when(dl > 0, dl)), df).alias(f))
+    return counts.agg(F.struct(*parts).alias("weights"))
 
 
-def index_statistics_row(doc_freq: DataFrame, field_stats: DataFrame, terms: Sequence[str],
-                         fields: Sequence[str]) -> DataFrame:
-    """The row of `match_statistics` from the stored index tables (point lookups).
+def index_weights(doc_freq: DataFrame, field_stats: DataFrame, terms: Sequence[str],
+                  fields: Sequence[str]) -> DataFrame:
+    """The row of `match_weights` from the stored index tables: point lookups.
 
     Both inputs may be filtered to the selected kinds first.
     """
-    per_field = []
-    lookups = []
-    for f in fields:
-        here = F.col("field") == f
-        per_field += [
-            F.sum(F.when(here, F.col("n_docs"))).cast("double").alias(f"n_{f}"),
-            (F.sum(F.when(here, F.col("sum_dl"))) / F.sum(F.when(here, F.col("n_docs")))).alias(f"l_{f}"),
+
+    def total(value: str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(value))), F.lit(0))
+
+    sizes = field_stats.agg(
+        F.struct(
+            *[total("n_docs", F.col("field") == f).alias(f"n_{f}") for f in fields],
+            *[total("sum_dl", F.col("field") == f).alias(f"l_{f}") for f in fields],
+        ).alias("s")
+    )
+    found = doc_freq.where(F.col("term").isin(*terms)).agg(
+        *[
+            total("df", (F.col("field") == f) & (F.col("term") == t)).alias(f"d_{f}_{k}")
+            for f in fields
+            for k, t in enumerate(terms)
         ]
-        for k, t in enumerate(terms):
-            hit = here & (F.col("term") == t)
-            lookups.append(
-                F.coalesce(F.sum(F.when(hit, F.col("df"))), F.lit(0)).cast("double").alias(f"d_{f}_{k}")
-            )
-    sizes = field_stats.agg(*per_field).select(F.struct("*").alias("s"))
-    freqs = doc_freq.where(F.col("term").isin(*terms)).agg(*lookups)
-    size = sizes.scalar()
+    )
+    row = computed_once(found, found.columns, _s=sizes.scalar())
     parts = [
-        F.struct(
-            size[f"n_{f}"].alias("n"),
-            size[f"l_{f}"].alias("avgdl"),
-            F.array(*[F.col(f"d_{f}_{k}") for k in range(len(terms))]).alias("df"),
+        weights_struct(
+            F.col(f"_s.n_{f}"),
+            F.try_divide(F.col(f"_s.l_{f}"), F.col(f"_s.n_{f}")),
+            [F.col(f"d_{f}_{k}") for k in range(len(terms))],
         ).alias(f)
         for f in fields
     ]
-    return freqs.select(F.struct(*parts).alias("stats"))
+    return row.select(F.struct(*parts).alias("weights"))
 
 
 def has_term(k: int, fields: Sequence[str]) -> Column:
@@ -183,28 +187,53 @@ def all_terms(n_terms: int, fields: Sequence[str]) -> Column:
     return result
 
 
-def bm25_score(stats: Column, n_terms: int, fields: Sequence[str]) -> Column:
-    """BM25 summed over terms and fields; ``stats`` is the struct of `match_statistics`."""
+def bm25_score(weights: Column, n_terms: int, fields: Sequence[str]) -> Column:
+    """BM25 summed over terms and fields; ``weights`` is the struct of `match_weights`."""
     score = F.lit(0.0)
     for f in fields:
-        s = stats[f]
         for k in range(n_terms):
-            part = scoring.idf(s["n"], s["df"][k]) * scoring.saturation(
-                F.col(f"tf_{f}")[k], F.col(f"dl_{f}"), s["avgdl"]
+            part = weights[f]["idf"][k] * scoring.saturation(
+                F.col(f"tf_{f}")[k], F.col(f"dl_{f}"), weights[f]["avgdl"]
             )
             score = score + F.coalesce(part, F.lit(0.0))
     return score
 
 
 def ranked(counts: DataFrame, n_terms: int, fields: Sequence[str], where: Column | None = None,
-           stats: DataFrame | None = None) -> DataFrame:
-    """Score the rows that match; the statistics enter as one scalar-subquery row."""
-    stats = match_statistics(counts, n_terms, fields) if stats is None else stats
+           weights: DataFrame | None = None) -> DataFrame:
+    """Score the rows that match; the weights enter as one row by one scalar subquery."""
+    weights = match_weights(counts, n_terms, fields) if weights is None else weights
     matching = counts.where(any_term(n_terms, fields) if where is None else where)
-    payload = {f"{p}_{f}" for f in fields for p in ("dl", "tf")}
+    payload = [f"{p}_{f}" for f in fields for p in ("dl", "tf")]
     keys = [c for c in counts.columns if c not in payload]
-    score = bm25_score(stats.scalar(), n_terms, fields)
-    return matching.select(*keys, F.round(score, SCORE_DIGITS).alias("score"))
+    weighted = computed_once(matching, keys + payload, _w=weights.scalar())
+    score = bm25_score(F.col("_w"), n_terms, fields)
+    return weighted.select(*keys, F.round(score, SCORE_DIGITS).alias("score"))
+
+
+def contains_any(text: Column, terms: Sequence[str]) -> Column:
+    """A cheap necessary condition for any of the terms, to drop rows before tokenising."""
+    lowered = F.lower(text)
+    result = F.lit(False)
+    for t in terms:
+        result = result | lowered.contains(t)
+    return result
+
+
+def rank_texts(docs: DataFrame, text: Column, terms: Sequence[str], keys: Sequence[str],
+               excluded: Sequence[str] = (), require_all: bool = False) -> DataFrame:
+    """Rank rows by one text column; (keys, score).
+
+    The weights come from all rows, scores only from rows that contain a term as text.
+    """
+    everything = [*terms, *excluded]
+    n = len(terms)
+    weights = match_weights(match_counts(docs, text, terms, keys), n, ["content"])
+    condition = all_terms(n, ["content"]) if require_all else any_term(n, ["content"])
+    for k in range(n, len(everything)):
+        condition = condition & ~has_term(k, ["content"])
+    counts = match_counts(docs.where(contains_any(text, terms)), text, everything, keys)
+    return ranked(counts, n, ["content"], condition, weights)
 
 
 # --- searches on a corpus table -----------------------------------------------------------
@@ -254,12 +283,14 @@ def search_index(postings: DataFrame, doc_freq: DataFrame, field_stats: DataFram
     """`search` on stored index tables: reads the postings of the query terms only."""
     terms = distinct_terms(phrase)
     fields = ("content", "comments")
+    if not terms:
+        return postings.where(F.lit(False)).select("doc_type", "id", F.lit(1.0).alias("score"))
     counts = postings_match_counts(select_kinds(postings, kinds), terms, fields)
-    stats = index_statistics_row(
+    weights = index_weights(
         select_kinds(doc_freq, kinds), select_kinds(field_stats, kinds), terms, fields
     )
     condition = all_terms(len(terms), fields) if require_all else any_term(len(terms), fields)
-    return ranked(counts, len(terms), fields, condition, stats)
+    return ranked(counts, len(terms), fields, condition, weights)
 
 
 def page(hits: DataFrame, start: int, size: int, tie: str = "id") -> DataFrame:
@@ -267,6 +298,17 @@ def page(hits: DataFrame, start: int, size: int, tie: str = "id") -> DataFrame:
     return hits.orderBy(F.desc("score"), F.asc(tie)).offset(start).limit(size)
 
 
+def fetch_page(hits: DataFrame, start: int, size: int, tie: str = "id") -> dict:
+    """A page as a mapping from id to score on the driver, in rank order.
+
+    Searching comes first and fetching second: with the ids at hand, the texts of the page are
+    read by a filter that the scan can use. The mapping has at most ``size`` entries.
+    """
+    if size > MAX_FETCH:
+        raise ValueError(f"fetch pages of at most {MAX_FETCH} hits; join larger ones")
+    return {r[tie]: r["score"] for r in page(hits, start, size, tie).select(tie, "score").collect()}
+
+
 def search_totals(hits: DataFrame, phrase: str, start: int, size: int) -> DataFrame:
     """Page information: offset, size, exact number of hits and the phrase (blank is ``*``)."""
     return hits.agg(F.count(F.lit(1)).alias("total")).select(
@@ -376,11 +418,8 @@ def search_batch(counts: DataFrame, query_terms: DataFrame, n_docs: DataFrame, k
         matched = wanted.join(F.broadcast(weighted), "term")
     else:
         matched = salted_join(wanted, weighted, "term", key)
-    parts = matched.select(
-        "query_id",
-        key,
-        (F.col("idf") * scoring.saturation(F.col("tf"), F.col("dl"), s["avgdl"])).alias("part"),
-    )
+    part = F.col("idf") * scoring.saturation(F.col("tf"), F.col("dl"), s["avgdl"])
+    parts = matched.select("query_id", key, part.alias("part"))
     scores = parts.groupBy("query_id", key).agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

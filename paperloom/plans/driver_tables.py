@@ -130,14 +130,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("content_hash", content_hash).drop("words")
 
 
-def nested_comments(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def nested_comments(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
     """(doc_id, comments) with the comments of a document as one array in turn order.
 
-    ``only`` (column doc_id) restricts it to the documents of a result page beforehand.
+    ``only`` restricts it to the documents of a result page; the ids filter the scan.
     """
     rows = conversations(spark, sf_dir).withColumnRenamed("conv_id", "doc_id")
     if only is not None:
-        rows = rows.join(F.broadcast(only), "doc_id", "left_semi")
+        rows = rows.where(F.col("doc_id").isin(*only))
     comment = F.struct(
         F.col("text").alias("comment"),
         F.col("role").alias("author"),

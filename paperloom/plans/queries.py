@@ -178,7 +178,8 @@ def index_list(spark, sf_dir):
 @registered
 def run_json_roundtrip(spark, sf_dir):
     """Runs written as JSON and read back; broken and empty texts give nothing."""
-    found = runs.runs_to_json(dt.job_runs(spark, sf_dir))
+    written = runs.runs_to_json(dt.job_runs(spark, sf_dir))
+    found = computed_once(written, ["model"], json=F.col("json"))
     number = F.get_json_object("json", "$.id").cast("long")
     broken = found.withColumn(
         "json",
@@ -433,18 +434,16 @@ def change_detect(spark, sf_dir):
     """New and changed documents against the previous state."""
     rows = dt.corpus(spark, sf_dir)
     before = dt.previous_state(rows)
-    found = changes.changed_documents(rows.select("id", "content_hash", "doc_type", "doc_id"), before)
-    return found.select("doc_id", "id", "doc_type", "content_hash", "label")
+    found = changes.with_labels(rows.select("id", "content_hash", "doc_type", "doc_id"), before)
+    changed = found.where(F.col("label") != changes.UNCHANGED)
+    return changed.select("doc_id", "id", "doc_type", "content_hash", "label")
 
 
 @registered
 def change_next_state(spark, sf_dir):
     """The state after indexing the new and changed documents."""
     rows = dt.corpus(spark, sf_dir).select("doc_id", "id", "content_hash", "doc_type", "original_file_path")
-    before = dt.previous_state(rows)
-    return changes.next_state(before, changes.changed_documents(rows, before)).select(
-        "path_hash", "content_hash", "original_path", "doc_type"
-    )
+    return changes.next_state(dt.previous_state(rows), rows)
 
 
 @registered
@@ -527,10 +526,8 @@ def vocabulary_size(spark, sf_dir):
 # --- search -------------------------------------------------------------------------------
 
 
-def _ranked(rows: DataFrame, phrase: str) -> DataFrame:
-    terms = ix.distinct_terms(phrase)
-    counts = search.match_counts(rows, F.col("content"), terms, KEYS)
-    return search.ranked(counts, len(terms), ["content"])
+def _ranked(rows: DataFrame, phrase: str, **options) -> DataFrame:
+    return search.rank_texts(rows, F.col("content"), ix.distinct_terms(phrase), KEYS, **options)
 
 
 @registered
@@ -542,20 +539,13 @@ def search_bm25(spark, sf_dir):
 @registered
 def search_all_terms(spark, sf_dir):
     """Ranked AND search."""
-    terms = ix.distinct_terms("the with")
-    rows = dt.corpus_without_hash(spark, sf_dir)
-    counts = search.match_counts(rows, F.col("content"), terms, KEYS)
-    return search.ranked(counts, 2, ["content"], search.all_terms(2, ["content"]))
+    return _ranked(dt.corpus_without_hash(spark, sf_dir), "the with", require_all=True)
 
 
 @registered
 def search_must_not(spark, sf_dir):
     """Ranked search with an excluded term."""
-    terms = ix.distinct_terms("der und with")
-    rows = dt.corpus_without_hash(spark, sf_dir)
-    counts = search.match_counts(rows, F.col("content"), terms, KEYS)
-    condition = search.any_term(2, ["content"]) & ~search.has_term(2, ["content"])
-    return search.ranked(counts, 2, ["content"], condition)
+    return _ranked(dt.corpus_without_hash(spark, sf_dir), "der und", excluded=["with"])
 
 
 @registered
@@ -620,8 +610,7 @@ def search_total(spark, sf_dir):
 def search_highlight(spark, sf_dir):
     """Highlighted fragments of the first hits."""
     top = search.page(_ranked(dt.corpus_without_hash(spark, sf_dir), "the elle"), 0, 20, "doc_id")
-    rows = dt.corpus_without_hash(spark, sf_dir).select("doc_id", "content")
-    found = rows.join(top.select("doc_id"), "doc_id")
+    found = hits.joined(dt.corpus_without_hash(spark, sf_dir).select("doc_id", "content"), top, "doc_id")
     marked = hl.fragments(F.col("content"), ["the", "elle"])
     return found.select("doc_id", F.array_join(marked, "\n~\n").alias("fragments"))
 
@@ -647,15 +636,14 @@ def comment_match(spark, sf_dir):
 
 @registered
 def search_hits(spark, sf_dir):
-    """Full result rows of the first hits over content and comments."""
+    """Full result rows of the first hits over content and comments: search, then fetch."""
     phrase = "la elle the"
-    terms = ix.distinct_terms(phrase)
-    top = search.page(_two_fields(spark, sf_dir, phrase), 0, 25, "doc_id")
-    nested = dt.nested_comments(spark, sf_dir, only=top.select("doc_id"))
-    none = F.array().cast(nested.schema["comments"].dataType)
-    rows = dt.corpus_without_hash(spark, sf_dir).join(top.select("doc_id"), "doc_id", "left_semi")
-    rows = rows.join(nested, "doc_id", "left").withColumn("comments", F.coalesce("comments", none))
-    found = hits.hit_rows(top, rows, terms, "doc_id")
+    page = search.fetch_page(_two_fields(spark, sf_dir, phrase), 0, 25, "doc_id")
+    comments = dt.nested_comments(spark, sf_dir, only=list(page))
+    none = F.array().cast(comments.schema["comments"].dataType)
+    rows = hits.fetched(dt.corpus_without_hash(spark, sf_dir), page, "doc_id")
+    rows = rows.join(comments, "doc_id", "left").withColumn("comments", F.coalesce("comments", none))
+    found = hits.hit_rows(rows, ix.distinct_terms(phrase))
     comment = F.transform(
         "comments",
         lambda c: F.concat_ws(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.plans.columns import computed_once
 from paperloom.schemas import RUN_SCHEMA
 
 # Fixed value: the text form of times in run statistics and comments.
@@ -22,7 +23,7 @@ def runs_to_json(runs: DataFrame) -> DataFrame:
 def runs_from_json(lines: DataFrame, column: str = "json") -> DataFrame:
     """Runs of JSON texts; empty and unreadable texts give no row."""
     keep = [c for c in lines.columns if c != column]
-    parsed = lines.select(*keep, F.from_json(column, RUN_SCHEMA, JSON_OPTIONS).alias("_r"))
+    parsed = computed_once(lines, keep, _r=F.from_json(column, RUN_SCHEMA, JSON_OPTIONS))
     return parsed.where(F.col("_r.id").isNotNull()).select(*keep, "_r.*")
 
 
