@@ -126,12 +126,16 @@ def corpus_postings(corpus: DataFrame) -> DataFrame:
 def write_index(corpus: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write postings, document frequencies and field statistics of a corpus below ``path``.
 
-    Files are split by (term, id) ranges: hot terms spread over several files.
+    Files are split by (term, id) ranges: hot terms spread over several files. Postings are
+    stored as they come first, since finding the ranges reads its input a second time and
+    texts should be tokenised once.
     """
     spark = corpus.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    corpus_postings(corpus).write.mode("overwrite").parquet(f"{path}/unsorted")
     (
-        corpus_postings(corpus)
+        spark.read.schema(POSTINGS_SCHEMA)
+        .parquet(f"{path}/unsorted")
         .repartitionByRange(n, "field", "term", "id")
         .sortWithinPartitions("field", "term", "id")
         .write.mode("overwrite")

@@ -1,4 +1,4 @@
-"""Ranked search over documents: OR, AND, NOT, phrase, prefix, many queries at once.
+"""Ranked search over documents: OR, AND, NOT, phrase and prefix.
 
 Two forms share scoring and paging. The scan form (`match_counts`) counts the few query terms
 inside each row, needs no index and shuffles nothing but one row of statistics. The index form
@@ -11,14 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions import scoring
 from paperloom.functions import text as tx
-from paperloom.operators.index import distinct_terms, query_terms, term_counts
+from paperloom.operators.index import distinct_terms, query_terms
 from paperloom.plans.columns import computed_once
-from paperloom.plans.sizing import broadcast_if_small
-from paperloom.schemas import INDEX_NAME, KIND_NAMES
+from paperloom.schemas import KIND_NAMES
 
 SCORE_DIGITS = 6
 MAX_FETCH = 10_000
@@ -378,66 +376,3 @@ def search_prefix(docs: DataFrame, text: Column, prefix: str, keys: Sequence[str
     rows = computed_once(candidates, list(keys), _joined=joined)
     hits = rows.where(F.col("_joined").contains(" " + prefix.lower()))
     return hits.select(*keys, F.lit(1.0).alias("score"))
-
-
-# --- many queries -------------------------------------------------------------------------
-
-
-def batch_counts(docs: DataFrame, text: Column, query_terms: DataFrame, key: str) -> DataFrame:
-    """Term counts of the terms any query asks for; rare vocabularies are dropped before a shuffle."""
-    pairs, small = broadcast_if_small(query_terms)
-    vocabulary = pairs.select("term").distinct()
-    return term_counts(docs, text, key, vocabulary=F.broadcast(vocabulary) if small else None)
-
-
-def search_batch(counts: DataFrame, query_terms: DataFrame, n_docs: DataFrame, k: int,
-                 key: str = "id") -> DataFrame:
-    """Top ``k`` documents of every query: query_id, key, score, rank.
-
-    ``counts`` holds (key, dl, term, tf) per document and term, ``query_terms`` the distinct
-    (query_id, term) pairs, ``n_docs`` one row (n_docs, sum_dl). The query side is broadcast only
-    when counting shows that it is small; otherwise the join is shuffled and hot terms are salted
-    over the documents. Only sums leave a task, and the ranking keeps k rows per query and task.
-    """
-    query_terms, small = broadcast_if_small(query_terms)
-    s = n_docs.select(
-        F.struct(
-            F.col("n_docs").cast("double").alias("n"), (F.col("sum_dl") / F.col("n_docs")).alias("avgdl")
-        )
-    ).scalar()
-    vocabulary = query_terms.select("term").distinct()
-    wanted = counts.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
-    # Summing over tf, not counting rows, keeps this branch identical to the joined one up to its
-    # shuffle, so that the shuffle is done once and reused.
-    df = F.sum((F.col("tf") > 0).cast("long")).cast("double")
-    frequencies = wanted.groupBy("term").agg(df.alias("df"))
-    weighted = frequencies.join(query_terms, "term").select(
-        "query_id", "term", scoring.idf(s["n"], F.col("df")).alias("idf")
-    )
-    if small:
-        matched = wanted.join(F.broadcast(weighted), "term")
-    else:
-        matched = salted_join(wanted, weighted, "term", key)
-    part = F.col("idf") * scoring.saturation(F.col("tf"), F.col("dl"), s["avgdl"])
-    parts = matched.select("query_id", key, part.alias("part"))
-    scores = parts.groupBy("query_id", key).agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-SALTS = 32
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: str, spread_by: str, salts: int = SALTS) -> DataFrame:
-    """Equi-join where one key may hold a large share of ``big``.
-
-    Rows of ``big`` with the same key are spread over ``salts`` sub-keys by another column; the
-    other side is repeated once per sub-key. The result is that of the plain join.
-    """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [on, "_salt"]).drop("_salt")
-
-
-def index_names(kinds: Sequence[str], main: str = INDEX_NAME) -> list[str]:
-    return [f"{main}-{k}" for k in kinds]

@@ -26,10 +26,10 @@ FILES_PER_BATCH = 16
 
 def office_to_document(extracted: DataFrame, kind: str, scan_path: str, uri_base: str,
                        process_time: datetime, join_lines_with: str = "") -> DataFrame:
-    """Corpus rows of extracted office files; rows with an error are left to the caller."""
+    """Corpus rows of extracted office files, with the ``error`` of files that could not be read."""
     defaults = {n: naming.text_or_default(F.col(n)) for n in (*TEXT_FIELDS, "keywords")}
     defaults |= {n: naming.time_or_default(F.col(n)) for n in TIME_FIELDS}
-    keep = ["path", "slide_count", "comments", *defaults]
+    keep = ["path", "slide_count", "comments", "error", *defaults]
     cleaned = computed_once(
         extracted.withColumns(defaults), keep, content=tx.clean_office(F.col("content"), join_lines_with)
     )
@@ -52,6 +52,7 @@ def office_to_document(extracted: DataFrame, kind: str, scan_path: str, uri_base
         *TEXT_FIELDS,
         *TIME_FIELDS,
         "slide_count",
+        "error",
     )
 
 
@@ -97,11 +98,15 @@ def extract_files(spark: SparkSession, scan_path: str, kind: str) -> DataFrame:
 
 def to_documents(extracted: DataFrame, kind: str, scan_path: str, uri_base: str,
                  process_time: datetime) -> DataFrame:
-    good = extracted.where(F.col("error").isNull())
+    """Corpus rows of extracted files plus ``error``."""
     if kind in MAIL_KINDS:
-        rows = mail.mail_to_document(good, kind, scan_path, uri_base)
+        rows = mail.mail_to_document(extracted, kind, scan_path, uri_base)
         return rows.withColumn("process_time", F.lit(process_time).cast("timestamp"))
-    return office_to_document(good, kind, scan_path, uri_base, process_time)
+    return office_to_document(extracted, kind, scan_path, uri_base, process_time)
+
+
+def readable(documents: DataFrame) -> DataFrame:
+    return documents.where(F.col("error").isNull()).drop("error")
 
 
 def ingest_documents(store: CorpusStore, kind: str, docs: DataFrame, full_refresh: bool = False,
@@ -128,17 +133,17 @@ def ingest(store: CorpusStore, scan_path: str, kind: str, uri_base: str, staging
            now: datetime, full_refresh: bool = False) -> DataFrame:
     """One run over files: scan, extract, stage, compare, write; returns the run's row.
 
-    Extraction is the costly part, so its result is written to ``staging`` once. What follows
-    reads that table, and an executor lost later costs no second extraction.
+    Extraction and cleaning are the costly part, so their result is written to ``staging`` once.
+    What follows reads that table, and an executor lost later costs no second extraction.
     """
     spark = store.spark
     started = datetime.now()
-    path = f"{staging}/extract-{kind}-{run_id}"
-    extract_files(spark, scan_path, kind).write.mode("overwrite").parquet(path)
-    extracted = spark.read.parquet(path)
-    failed = extracted.where(F.col("error").isNotNull()).count()
-    docs = to_documents(extracted, kind, scan_path, uri_base, now)
-    seen, indexed = ingest_documents(store, kind, docs, full_refresh)
+    path = f"{staging}/documents-{kind}-{run_id}"
+    extracted = extract_files(spark, scan_path, kind)
+    to_documents(extracted, kind, scan_path, uri_base, now).write.mode("overwrite").parquet(path)
+    staged = spark.read.parquet(path)
+    failed = staged.where(F.col("error").isNotNull()).count()
+    seen, indexed = ingest_documents(store, kind, readable(staged), full_refresh)
     elapsed = int((datetime.now() - started).total_seconds() * 1000)
     row = (run_id, seen + failed, indexed, failed, now, now + (datetime.now() - started), elapsed)
     return spark.createDataFrame([row], RUN_SCHEMA).withColumn("model", F.lit(kind))

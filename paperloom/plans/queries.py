@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import hashing, naming
 from paperloom.functions import highlight as hl
 from paperloom.functions import text as tx
-from paperloom.operators import availability, changes, cleanup, detail, hits, search, stats, suggest
+from paperloom.operators import availability, batch_search, changes, cleanup, detail, hits, search, stats, suggest
 from paperloom.operators import corpus as corpus_ops
 from paperloom.operators import index as ix
 from paperloom.plans import driver_tables as dt
@@ -666,8 +666,8 @@ def search_batch(spark, sf_dir):
     pairs = phrases.select(F.col("item_id").alias("query_id"), found.alias("term"))
     rows = docs(spark, sf_dir)
     lengths = computed_once(rows, [], dl=F.size(tx.tokens(F.col("text"))))
-    counts = search.batch_counts(rows, F.col("text"), pairs, "doc_id")
-    top = search.search_batch(counts, pairs, ix.field_stats(lengths), 10, "doc_id")
+    counts = batch_search.batch_counts(rows, F.col("text"), pairs, "doc_id")
+    top = batch_search.search_batch(counts, pairs, ix.field_stats(lengths), 10, "doc_id")
     return top.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

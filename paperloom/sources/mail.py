@@ -13,15 +13,17 @@ from paperloom.functions import text as tx
 from paperloom.plans.columns import computed_once
 from paperloom.schemas import MAIL_SCHEMA
 
+ERROR = "error"
+
 
 def mail_to_document(messages: DataFrame, doc_type: str, scan_path: str, uri_base: str,
                      drop_script_style: bool = False) -> DataFrame:
     """Corpus rows of messages (path, body_html, body_text, title, sender, receiver).
 
-    The HTML body wins over the plain one.
+    The HTML body wins over the plain one. An ``error`` column is carried along.
     """
     body = F.coalesce(tx.html_to_text(F.col("body_html"), drop_script_style), F.col("body_text"))
-    keep = ["path", "title", "sender", "receiver"]
+    keep = ["path", "title", "sender", "receiver", *([ERROR] if ERROR in messages.columns else [])]
     clean = computed_once(messages, keep, content=tx.clean_mail(body))
     content = F.col("content")
     return clean.select(
@@ -36,6 +38,7 @@ def mail_to_document(messages: DataFrame, doc_type: str, scan_path: str, uri_bas
         "title",
         F.lit(doc_type).alias("content_type"),
         "receiver",
+        *keep[4:],
     )
 
 

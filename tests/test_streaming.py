@@ -56,7 +56,8 @@ def test_file_stream(spark, folder):
     def prepare(batch):
         files = batch.withColumn("path", plain_path(F.col("path")))
         extracted = office.extract_ooxml(files, "word")
-        return ingest.to_documents(extracted, "word", str(folder / "in"), "https://r/", datetime(2024, 7, 1))
+        rows = ingest.to_documents(extracted, "word", str(folder / "in"), "https://r/", datetime(2024, 7, 1))
+        return ingest.readable(rows)
 
     finish(arrivals.ingest_stream(
         stream, store, "word", str(folder / "check"), str(folder / "staging"), prepare, interval=None))
