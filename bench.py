@@ -78,7 +78,7 @@ def main() -> None:
         write_docx(scratch / "scan" / f"{r.doc_id % 50}" / f"{r.doc_id}.docx", text.split("\n"))
     store = CorpusStore(spark, str(scratch / "store"))
     run = lambda n: ingest.ingest(
-        store, str(scratch / "scan"), "word", dt.URI_BASE, str(scratch / "staging"), n, datetime(2024, 7, 1)
+        store, str(scratch / "scan"), "word", dt.URI_BASE, n, datetime(2024, 7, 1), str(scratch / "staging")
     ).collect()
     seconds["word_files_first_run"] = round(timed(lambda: run("r1")), 3)
     seconds["word_files_second_run"] = round(timed(lambda: run("r2")), 3)

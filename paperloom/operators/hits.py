@@ -18,6 +18,19 @@ def first_comment_with(comments: Column, fragment: Column) -> Column:
     return F.get(F.filter(comments, lambda c: c["comment"].contains(fragment)), F.lit(0))
 
 
+def first_comments_with(comments: DataFrame, fragments: DataFrame, key: str, order: str,
+                        text: str) -> DataFrame:
+    """The flat form: (key, fragment) and the first of the key's comments that contains it.
+
+    One fragment per key meets the comments of that key once; a partial aggregate keeps the
+    first match, so comments are never gathered. Fragments without a match give no row.
+    """
+    matching = comments.join(fragments, key).where(F.col(text).contains(F.col("fragment")))
+    others = [c for c in comments.columns if c not in (key, order, text)]
+    first = F.min_by(F.struct(order, *others), F.col(order)).alias("_m")
+    return matching.groupBy(key, "fragment").agg(first).select(key, "fragment", "_m.*")
+
+
 def contents(content: Column, terms: Sequence[str]) -> Column:
     """Highlighted fragments, or the beginning of the content where nothing is highlighted."""
     marked = hl.fragments(content, terms)

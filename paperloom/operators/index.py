@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import text as tx
+from paperloom.plans.sizing import partitions_for
 
 POSTINGS_SCHEMA = T.StructType(
     [
@@ -126,17 +127,23 @@ def corpus_postings(corpus: DataFrame) -> DataFrame:
 def write_index(corpus: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write postings, document frequencies and field statistics of a corpus below ``path``.
 
-    Files are split by (term, id) ranges: hot terms spread over several files. Postings are
-    stored as they come first, since finding the ranges reads its input a second time and
-    texts should be tokenised once.
+    Postings are stored as they come first, since finding the ranges reads its input a second
+    time and texts should be tokenised once.
     """
     spark = corpus.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     corpus_postings(corpus).write.mode("overwrite").parquet(f"{path}/unsorted")
+    write_sorted_postings(spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/unsorted"), path, partitions)
+
+
+def write_sorted_postings(postings_table: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write the index tables of stored postings.
+
+    Files are split by (field, term, id) ranges: hot terms spread over several files.
+    """
+    spark = postings_table.sparkSession
+    n = partitions or partitions_for(postings_table)
     (
-        spark.read.schema(POSTINGS_SCHEMA)
-        .parquet(f"{path}/unsorted")
-        .repartitionByRange(n, "field", "term", "id")
+        postings_table.repartitionByRange(n, "field", "term", "id")
         .sortWithinPartitions("field", "term", "id")
         .write.mode("overwrite")
         .partitionBy("field")
@@ -145,7 +152,7 @@ def write_index(corpus: DataFrame, path: str, partitions: int | None = None) ->
     stored = read_postings(spark, path)
     (
         doc_freq(stored.select("doc_type", "field", "term", "tf"), "doc_type", "field")
-        .repartitionByRange(max(1, n // 4), "field", "term")
+        .repartitionByRange("field", "term")
         .sortWithinPartitions("field", "term")
         .write.mode("overwrite")
         .parquet(f"{path}/doc_freq")
@@ -157,6 +164,16 @@ def write_index(corpus: DataFrame, path: str, partitions: int | None = None) ->
     )
 
 
+def updated_postings(stored: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
+    """Stored postings after a run: those of changed documents anew, those of removed ids gone.
+
+    Only changed documents are tokenised. ``changed`` are corpus rows, ``removed`` has ``id``.
+    """
+    stale = changed.select("id").unionByName(removed.select("id")).distinct()
+    kept = stored.join(stale, "id", "left_anti").select(*POSTINGS_SCHEMA.fieldNames())
+    return kept.unionByName(corpus_postings(changed))
+
+
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
 

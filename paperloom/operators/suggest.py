@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,21 @@ def term_table(texts: DataFrame) -> DataFrame:
     return terms.where(F.col("term").isNotNull()).distinct()
 
 
+def write_terms(terms: DataFrame, path: str) -> None:
+    """Store a term table by kind and sorted by term, so that a prefix reads few row groups."""
+    (
+        terms.repartitionByRange("doc_type", "term")
+        .sortWithinPartitions("doc_type", "term")
+        .write.mode("overwrite")
+        .partitionBy("doc_type")
+        .parquet(path)
+    )
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, doc_type string").parquet(path)
+
+
 def kind_rank(kind: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KIND_NAMES])
     return F.array_position(names, kind)

@@ -12,6 +12,7 @@ from paperloom.functions import text as tx
 from paperloom.operators import changes, cleanup
 from paperloom.plans.columns import computed_once
 from paperloom.schemas import KIND_BY_NAME, MAIL_KINDS, OFFICE_KINDS, RUN_SCHEMA
+from paperloom.session import shared_folder
 from paperloom.sources import files, mail, office, runs
 from paperloom.sources.store import CorpusStore
 
@@ -114,10 +115,10 @@ def ingest_documents(store: CorpusStore, kind: str, docs: DataFrame, full_refres
     """Bring documents of one kind into the store; returns how many were seen and indexed.
 
     ``docs`` should come from a stored table, since it is read for the labels and for the
-    changed rows. Only ids and hashes are joined with the state.
+    changed rows. Only ids and hashes are joined with the state. The first run and a full
+    refresh write a new base and compare nothing.
     """
-    store.ensure(kind)
-    if full_refresh:
+    if full_refresh or not store.layers(kind):
         store.replace(kind, docs)
         n = docs.count()
         return n, n
@@ -129,16 +130,17 @@ def ingest_documents(store: CorpusStore, kind: str, docs: DataFrame, full_refres
     return sum(counts.values()), indexed
 
 
-def ingest(store: CorpusStore, scan_path: str, kind: str, uri_base: str, staging: str, run_id: str,
-           now: datetime, full_refresh: bool = False) -> DataFrame:
+def ingest(store: CorpusStore, scan_path: str, kind: str, uri_base: str, run_id: str, now: datetime,
+           staging: str | None = None, full_refresh: bool = False) -> DataFrame:
     """One run over files: scan, extract, stage, compare, write; returns the run's row.
 
-    Extraction and cleaning are the costly part, so their result is written to ``staging`` once.
+    Extraction and cleaning are the costly part, so their result is written once to ``staging``,
+    by default below the folder the cluster shares.
     What follows reads that table, and an executor lost later costs no second extraction.
     """
     spark = store.spark
     started = datetime.now()
-    path = f"{staging}/documents-{kind}-{run_id}"
+    path = f"{staging or shared_folder(spark)}/documents-{kind}-{run_id}"
     extracted = extract_files(spark, scan_path, kind)
     to_documents(extracted, kind, scan_path, uri_base, now).write.mode("overwrite").parquet(path)
     staged = spark.read.parquet(path)

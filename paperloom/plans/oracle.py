@@ -422,6 +422,12 @@ FROM corpus""",
     "comment_match": """
 WITH last AS (SELECT conv_id, substring(arg_max(text, turn), 1, 6) AS fragment FROM conversations GROUP BY conv_id)
 SELECT l.conv_id AS doc_id, fragment, CAST(min(turn) AS VARCHAR) AS comment_id, arg_min(role, turn) AS author
+FROM last l JOIN conversations c ON c.conv_id = l.conv_id AND contains(c.text, fragment) GROUP BY l.conv_id, fragment""",
+    "comment_match_nested": """
+WITH last AS (
+  SELECT conv_id, substring(arg_max(text, turn), 1, 6) AS fragment FROM conversations GROUP BY conv_id
+  ORDER BY conv_id LIMIT 50)
+SELECT l.conv_id AS doc_id, fragment, CAST(min(turn) AS VARCHAR) AS comment_id, arg_min(role, turn) AS author
 FROM last l JOIN conversations c ON c.conv_id = l.conv_id AND contains(c.text, fragment) GROUP BY l.conv_id, fragment""",
     "search_hits": f"""WITH {two_field_ranking(HITS_TERMS)},
 top AS (SELECT doc_id, score FROM ranked ORDER BY score DESC, doc_id LIMIT 25),

@@ -303,8 +303,8 @@ def html_to_text_plain(spark, sf_dir):
 @registered
 def comments_text(spark, sf_dir):
     """Comment texts of a document joined with a blank."""
-    nested = dt.nested_comments(spark, sf_dir)
-    return nested.select("doc_id", tx.comments_text(F.col("comments")).alias("text"))
+    whole = pages.assemble_pages(dt.conversations(spark, sf_dir), "conv_id", "turn", "text")
+    return whole.select(F.col("conv_id").alias("doc_id"), F.col("content").alias("text"))
 
 
 @registered
@@ -625,7 +625,19 @@ def snippet_fallback(spark, sf_dir):
 @registered
 def comment_match(spark, sf_dir):
     """The first comment that contains a fragment of the last one."""
-    nested = dt.nested_comments(spark, sf_dir)
+    rows = dt.conversations(spark, sf_dir).withColumnRenamed("conv_id", "doc_id")
+    last = rows.groupBy("doc_id").agg(F.max_by(F.substring("text", 1, 6), "turn").alias("fragment"))
+    found = hits.first_comments_with(rows, last, "doc_id", "turn", "text")
+    return found.select(
+        "doc_id", "fragment", F.col("turn").cast("string").alias("comment_id"), F.col("role").alias("author")
+    )
+
+
+@registered
+def comment_match_nested(spark, sf_dir):
+    """The same on comments nested in their document, as on a result page of fifty documents."""
+    page = dt.conversations(spark, sf_dir).select("conv_id").distinct().orderBy("conv_id").limit(50)
+    nested = dt.nested_comments(spark, sf_dir, only=[r.conv_id for r in page.collect()])
     last = F.element_at("comments", -1)
     rows = nested.select("doc_id", "comments", F.substring(last["comment"], 1, 6).alias("fragment"))
     match = hits.first_comment_with(F.col("comments"), F.col("fragment"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Below this many bytes per core an input may sit in fewer row groups than there are cores.
 SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
+# What one task of a sorting write should hold, in stored bytes.
+PARTITION_BYTES = 256 * 1024 * 1024
+# Estimates beyond this are no estimates: sources of unknown size, products of joined sizes.
+KNOWN_BYTES = 2**50
 BROADCAST_ROW_LIMIT = 100_000
 
 
@@ -15,6 +21,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of the whole frame: by its size, at least the configured number."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = estimated_bytes(df)
+    return max(configured, ceil(size / PARTITION_BYTES)) if size < KNOWN_BYTES else configured
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Deal a small input out to all cores; leave a large one as it is.
 

@@ -3,7 +3,8 @@
 ``root/doc_type=<kind>/layer=<number>-base`` holds a whole kind, sorted by id, and each later
 ``...-delta`` layer the documents one run added, changed or deleted. A run writes what it changed
 and nothing else; `compact` folds deltas into a new base. Readers take the newest base and the
-deltas after it. A layer counts once Spark has committed it (``_SUCCESS``), so a run that dies
+deltas after it; while the deltas fit a broadcast the base is read without a shuffle, so compact
+after a run that changed a large part. A layer counts once Spark has committed it (``_SUCCESS``), so a run that dies
 leaves nothing half-written, and no path is overwritten while it is read.
 
 The state of earlier runs is a projection of this table, so the two cannot disagree.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.operators.corpus import upsert
+from paperloom.plans.sizing import partitions_for
 from paperloom.schemas import CORPUS_SCHEMA, KIND_NAMES
 
 LAYER_SCHEMA = T.StructType(
@@ -133,12 +135,15 @@ class CorpusStore:
 
     def replace(self, kind: str, batch: DataFrame) -> None:
         """Start the kind anew from the batch alone."""
-        self._write(self._sorted(batch.withColumn("deleted", F.lit(False))), self._next(kind, "base"))
+        rows = batch.withColumn("deleted", F.lit(False))
+        self._write(self._sorted(rows, partitions_for(batch)), self._next(kind, "base"))
 
     def compact(self, kind: str) -> None:
         """Fold all layers of a kind into a new base."""
-        self._write(self._sorted(self._kind(kind).withColumn("deleted", F.lit(False))), self._next(kind, "base"))
+        rows = self._kind(kind).withColumn("deleted", F.lit(False))
+        partitions = partitions_for(self._read(kind, self.layers(kind)))
+        self._write(self._sorted(rows, partitions), self._next(kind, "base"))
 
-    def _sorted(self, rows: DataFrame) -> DataFrame:
+    def _sorted(self, rows: DataFrame, partitions: int) -> DataFrame:
         """Ranges of ids, sorted, so that a lookup by id skips all row groups but one."""
-        return rows.repartitionByRange("id").sortWithinPartitions("id")
+        return rows.repartitionByRange(partitions, "id").sortWithinPartitions("id")

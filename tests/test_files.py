@@ -72,7 +72,9 @@ def test_eml(spark, scan):
 
 
 def run(spark, store, scan, folder, number, kind="word", **kwargs):
-    row = ingest.ingest(store, str(scan), kind, BASE, str(folder / "staging"), f"r{number}", NOW, **kwargs).first()
+    row = ingest.ingest(
+        store, str(scan), kind, BASE, f"r{number}", NOW, str(folder / "staging"), **kwargs
+    ).first()
     return row.entire_doc_count, row.indexed_doc_count, row.processing_error
 
 
@@ -102,7 +104,7 @@ def test_cleanup_and_refresh(spark, scan, folder):
     assert store.state("word").count() == 1
     assert run(spark, store, scan, folder, 2) == (3, 1, 1)
     assert run(spark, store, scan, folder, 3, full_refresh=True) == (3, 2, 1)
-    assert store.layers("word") == ["layer=000005-base"]
+    assert store.layers("word") == ["layer=000004-base"]
 
 
 def test_all_file_kinds(spark, scan, folder):
@@ -115,7 +117,7 @@ def test_all_file_kinds(spark, scan, folder):
 
 def test_run_records(spark, scan, folder):
     store = CorpusStore(spark, str(folder / "store"))
-    row = ingest.ingest(store, str(scan), "word", BASE, str(folder / "staging"), "r1", NOW)
+    row = ingest.ingest(store, str(scan), "word", BASE, "r1", NOW, str(folder / "staging"))
     ingest.record_run(row, str(folder / "runs"))
     ingest.record_run(row, str(folder / "runs"))
     back = runs.read_runs(spark, str(folder / "runs"))

@@ -60,6 +60,15 @@ def test_index_form_equals_scan_form(spark, corpus, folder):
     assert "In(term, [elle,the])" in plan or "In(term, [the,elle])" in plan
 
 
+def test_index_update_equals_rebuild(spark, corpus):
+    changed = corpus.where(F.col("doc_type") == "word").withColumn("content", F.concat(F.lit("fresh "), "content"))
+    removed = corpus.where(F.col("doc_type") == "msg").select("id")
+    updated = ix.updated_postings(ix.corpus_postings(corpus), changed, removed)
+    rest = corpus.where(~F.col("doc_type").isin("word", "msg"))
+    rebuilt = ix.corpus_postings(rest.unionByName(changed))
+    assert updated.exceptAll(rebuilt).count() == 0 and rebuilt.exceptAll(updated).count() == 0
+
+
 def test_search_forms(spark, corpus):
     everything = corpus.count()
     assert search.search(corpus, "  ").count() == everything
