@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Every query is run twice and the better time counts, since the first run also compiles. Index
+Everything is run twice and the better time counts, since the first run also compiles. Index
 and file ingest are measured on a fresh scratch folder.
 """
 
@@ -66,7 +66,7 @@ def main() -> None:
     none = F.array().cast("array<struct<comment:string>>")
     corpus = dt.corpus_without_hash(spark, SF_DIR).withColumn("comments", none)
     index = str(scratch / "index")
-    seconds["index_build"] = round(timed(lambda: ix.write_index(corpus, index)), 3)
+    seconds["index_build"] = round(best(lambda: ix.write_index(corpus, index)), 3)
     tables = ix.read_postings(spark, index), ix.read_doc_freq(spark, index), ix.read_field_stats(spark, index)
     hits = lambda: search.page(search.search_index(*tables, "the elle"), 0, 10).collect()
     seconds["search_index_page"] = round(best(hits, 3), 3)
@@ -76,12 +76,15 @@ def main() -> None:
     for r in rows:
         text = r.text.replace("&", "&amp;").replace("<", "&lt;")
         write_docx(scratch / "scan" / f"{r.doc_id % 50}" / f"{r.doc_id}.docx", text.split("\n"))
-    store = CorpusStore(spark, str(scratch / "store"))
-    run = lambda n: ingest.ingest(
-        store, str(scratch / "scan"), "word", dt.URI_BASE, n, datetime(2024, 7, 1), str(scratch / "staging")
-    ).collect()
-    seconds["word_files_first_run"] = round(timed(lambda: run("r1")), 3)
-    seconds["word_files_second_run"] = round(timed(lambda: run("r2")), 3)
+    stores = [CorpusStore(spark, str(scratch / f"store{i}")) for i in range(2)]
+
+    def run(store: CorpusStore, name: str) -> float:
+        return timed(lambda: ingest.ingest(
+            store, str(scratch / "scan"), "word", dt.URI_BASE, name, datetime(2024, 7, 1), str(scratch / "staging")
+        ).collect())
+
+    seconds["word_files_first_run"] = round(min(run(s, f"first{i}") for i, s in enumerate(stores)), 3)
+    seconds["word_files_second_run"] = round(min(run(s, f"second{i}") for i, s in enumerate(stores)), 3)
 
     n_docs = dt.table(spark, SF_DIR, "documents").count()
     n_queries = dt.table(spark, SF_DIR, "benchmark").count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.naming import text_or_default, time_or_default
 from paperloom.schemas import HASH_FIELDS
 
 # Date fields of the office hash and the text form they are hashed in.
@@ -20,15 +21,17 @@ def path_hash(path: Column) -> Column:
 def content_hash_office(fields: dict[str, Column], words: Column, separator: str = "") -> Column:
     """Hash of the seventeen metadata and content fields and the distinct comment words.
 
+    Absent fields are hashed as their defaults (empty text, 1970).
     ``words`` is an array. Plain concatenation cannot tell ("ab","c") from ("a","bc"); pass a
     separator that does not occur in the data where that matters.
     """
     parts = []
     for name in HASH_FIELDS:
-        value = fields.get(name, F.lit(""))
         if name in HASH_DATE_FIELDS:
-            value = F.date_format(value, HASH_DATE_FORMAT)
-        parts.append(F.coalesce(value, F.lit("")))
+            stamp = time_or_default(fields.get(name, F.lit(None)))
+            parts.append(F.date_format(stamp, HASH_DATE_FORMAT))
+        else:
+            parts.append(text_or_default(fields.get(name, F.lit(None))))
     parts.append(F.coalesce(F.array_join(words, separator), F.lit("")))
     return F.sha2(F.concat_ws(separator, *parts), 256)
 

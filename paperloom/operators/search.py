@@ -118,13 +118,21 @@ def weights_struct(n: Column, average_length: Column, frequencies: Sequence[Colu
     )
 
 
-def match_weights(counts: DataFrame, n_terms: int, fields: Sequence[str]) -> DataFrame:
-    """One row: per field the mean length and term weights over the given documents."""
+def match_weights(counts: DataFrame, n_terms: int, fields: Sequence[str],
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """One row: per field the mean length and term weights over the given documents.
+
+    Rows whose keys are null do not count; naming the keys keeps them in the plan (see `ranked`).
+    """
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
     parts = []
     for f in fields:
         dl = F.col(f"dl_{f}")
-        df = [F.count_if(F.col(f"tf_{f}")[k] > 0) for k in range(n_terms)]
-        parts.append(weights_struct(F.count_if(dl > 0), F.avg(F.when(dl > 0, dl)), df).alias(f))
+        present = (dl > 0) & known
+        df = [F.count_if((F.col(f"tf_{f}")[k] > 0) & known) for k in range(n_terms)]
+        parts.append(weights_struct(F.count_if(present), F.avg(F.when(present, dl)), df).alias(f))
     return counts.agg(F.struct(*parts).alias("weights"))
 
 
@@ -199,39 +207,31 @@ def bm25_score(weights: Column, n_terms: int, fields: Sequence[str]) -> Column:
 
 def ranked(counts: DataFrame, n_terms: int, fields: Sequence[str], where: Column | None = None,
            weights: DataFrame | None = None) -> DataFrame:
-    """Score the rows that match; the weights enter as one row by one scalar subquery."""
-    weights = match_weights(counts, n_terms, fields) if weights is None else weights
-    matching = counts.where(any_term(n_terms, fields) if where is None else where)
+    """Score the rows that match; the weights enter as one row by one scalar subquery.
+
+    Without given weights the counts are needed twice, for the weights and for the scores. They
+    are a few numbers per document, so they pass one shuffle that both sides read, and texts are
+    read and tokenised once. The match is decided after the shuffle for the same reason.
+    """
     payload = [f"{p}_{f}" for f in fields for p in ("dl", "tf")]
     keys = [c for c in counts.columns if c not in payload]
-    weighted = computed_once(matching, keys + payload, _w=weights.scalar())
+    if weights is None:
+        counts = counts.repartition(*keys)
+        weights = match_weights(counts, n_terms, fields, keys)
+    condition = any_term(n_terms, fields) if where is None else where
+    weighted = computed_once(counts, keys + payload, _w=weights.scalar(), _hit=condition).where("_hit")
     score = bm25_score(F.col("_w"), n_terms, fields)
     return weighted.select(*keys, F.round(score, SCORE_DIGITS).alias("score"))
 
 
-def contains_any(text: Column, terms: Sequence[str]) -> Column:
-    """A cheap necessary condition for any of the terms, to drop rows before tokenising."""
-    lowered = F.lower(text)
-    result = F.lit(False)
-    for t in terms:
-        result = result | lowered.contains(t)
-    return result
-
-
 def rank_texts(docs: DataFrame, text: Column, terms: Sequence[str], keys: Sequence[str],
                excluded: Sequence[str] = (), require_all: bool = False) -> DataFrame:
-    """Rank rows by one text column; (keys, score).
-
-    The weights come from all rows, scores only from rows that contain a term as text.
-    """
-    everything = [*terms, *excluded]
-    n = len(terms)
-    weights = match_weights(match_counts(docs, text, terms, keys), n, ["content"])
+    """Rank rows by one text column; (keys, score)."""
+    everything, n = [*terms, *excluded], len(terms)
     condition = all_terms(n, ["content"]) if require_all else any_term(n, ["content"])
     for k in range(n, len(everything)):
         condition = condition & ~has_term(k, ["content"])
-    counts = match_counts(docs.where(contains_any(text, terms)), text, everything, keys)
-    return ranked(counts, n, ["content"], condition, weights)
+    return ranked(match_counts(docs, text, everything, keys), n, ["content"], condition)
 
 
 # --- searches on a corpus table -----------------------------------------------------------

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, dealt out to all cores where the file is small."""
-    return spread_small(table(spark, sf_dir, "documents"))
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +114,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             "content": F.col("content"),
             "creator": F.col("creator"),
             "keywords": F.col("keywords_raw"),
-            "modified": naming.time_or_default(F.lit(None)),
             "subject": F.col("subject"),
             "title": F.col("title"),
             "content_type": F.col("content_type"),
-            "last_printed": naming.time_or_default(F.lit(None)),
         },
         F.col("words"),
     )

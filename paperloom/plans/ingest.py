@@ -126,7 +126,8 @@ def ingest_documents(store: CorpusStore, kind: str, docs: DataFrame, full_refres
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     indexed = sum(n for label, n in counts.items() if label != changes.UNCHANGED)
     if indexed:
-        store.append(kind, changes.changed_documents(docs, store.state(kind)).drop("label"), tag)
+        changed = changes.changed_documents(docs, store.state(kind)).drop("label")
+        store.append(kind, changed, tag, filled=True)
     return sum(counts.values()), indexed
 
 

@@ -52,7 +52,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small(dt.table(spark, sf_dir, "pages"))
+    return spread_small(dt.table(spark, sf_dir, "pages"), "page_id")
 
 
 # --- sources and sinks --------------------------------------------------------------------

@@ -28,15 +28,15 @@ def partitions_for(df: DataFrame) -> int:
     return max(configured, ceil(size / PARTITION_BYTES)) if size < KNOWN_BYTES else configured
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores; leave a large one as it is.
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small input out to all cores by a unique key; leave a large one as it is.
 
     A file of one row group is read by one task however many cores there are, which starves
     the CPU-bound text work. Large inputs have more splits than cores and are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if estimated_bytes(df) < cores * SMALL_BYTES_PER_CORE:
-        return df.repartition(cores)
+        return df.repartition(cores, key)
     return df
 
 

@@ -122,11 +122,18 @@ class CorpusStore:
         if not self.layers(kind):
             self._write(self.spark.createDataFrame([], CORPUS_SCHEMA), self._next(kind, "base"))
 
-    def append(self, kind: str, batch: DataFrame, tag: str = "") -> None:
-        """Add a layer of new and changed documents. A tag makes a repeated write replace itself."""
+    def append(self, kind: str, batch: DataFrame, tag: str = "", filled: bool = False) -> bool:
+        """Add a layer of new and changed documents; an empty batch adds none and gives False.
+
+        A tag makes a repeated write replace itself. ``filled`` saves the look whether there is
+        anything, for callers who know.
+        """
+        if not filled and batch.isEmpty():
+            return False
         self.ensure(kind)
         rows = batch.withColumn("deleted", F.lit(False))
         self._write(rows, self._next(kind, f"delta@{tag}" if tag else "delta"))
+        return True
 
     def delete(self, kind: str, ids: DataFrame, at) -> None:
         """Add a layer of deletions (column ``id``), stamped with the time ``at``."""

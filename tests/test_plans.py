@@ -58,9 +58,9 @@ def test_fetch_filters_the_scan(spark):
 def test_spread_depends_on_size(spark, monkeypatch):
     docs = dt.table(spark, SMALL, "documents")
     assert 0 < estimated_bytes(docs) < 10_000_000
-    assert spread_small(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread_small(docs, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr("paperloom.plans.sizing.SMALL_BYTES_PER_CORE", 1)
-    assert "RoundRobin" not in plan(spread_small(docs))
+    assert "hashpartitioning" not in plan(spread_small(docs, "doc_id"))
 
 
 def test_broadcast_only_when_small(spark):

@@ -56,6 +56,14 @@ def test_tagged_layer_replaces_itself(spark, folder):
     assert len(store.layers("word")) == 2
 
 
+def test_empty_batch_adds_nothing(spark, folder):
+    store = CorpusStore(spark, str(folder))
+    assert store.append("word", rows(spark, ("a", "1")))
+    layers = store.layers("word")
+    assert not store.append("word", rows(spark, ("a", "1")).where("false"))
+    assert store.layers("word") == layers
+
+
 def test_ingest_twice_indexes_nothing(spark, folder):
     store = CorpusStore(spark, str(folder))
     docs = dt.corpus(spark, SMALL).where(F.col("doc_type") == "word")
