@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from paperloom.operators import corpus as corpus_ops
-from paperloom.operators import suggest
+from paperloom.operators import index, search, suggest
 from paperloom.plans import driver_tables as dt
 from paperloom.plans.columns import literal_rows
 from paperloom.plans.queries import REGISTRY
@@ -46,8 +46,15 @@ def test_rankings_are_cut_before_the_shuffle(spark, name):
 
 
 def test_postings_need_no_shuffle(spark):
-    text = plan(REGISTRY["postings"](spark, SMALL))
-    assert "hashpartitioning" not in text
+    found = index.postings(dt.table(spark, SMALL, "documents"), F.col("text"), "doc_id")
+    assert "Exchange" not in plan(found)
+
+
+def test_ranking_reads_texts_once(spark):
+    found = search.rank_texts(dt.table(spark, SMALL, "documents"), F.col("text"), ["the", "elle"], ["doc_id"])
+    found.collect()
+    final = plan(found).split("Initial Plan")[0]
+    assert final.count("FileScan parquet [doc_id") == 1 or "ReusedExchange" in final
 
 
 def test_fetch_filters_the_scan(spark):
