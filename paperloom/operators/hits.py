@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.functions import highlight as hl
 from paperloom.functions.naming import index_name, program_icon
 from paperloom.plans.columns import literal_rows
-from paperloom.schemas import INDEX_NAME
+from paperloom.schemas import COMMENT_TYPE, INDEX_NAME
 
 
 def first_comment_with(comments: Column, fragment: Column) -> Column:
@@ -31,6 +32,22 @@ def first_comments_with(comments: DataFrame, fragments: DataFrame, key: str, ord
     return matching.groupBy(key, "fragment").agg(first).select(key, "fragment", "_m.*")
 
 
+def hit_comments(comments: DataFrame, terms: Sequence[str], key: str, order: str) -> DataFrame:
+    """(key, comments): per document the first comments with a highlight, nested in order.
+
+    ``comments`` are flat rows with the fields of a nested comment and the two columns. A result
+    row shows the first few fragments; every comment kept here has one, and a fragment's origin
+    comes no later than the comment it was cut from. So that many comments are all it takes,
+    and no more are gathered, however many a document has.
+    """
+    marked = comments.where(F.size(hl.fragments(F.col("comment"), terms)) > 0)
+    first = Window.partitionBy(key).orderBy(order)
+    kept = marked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= hl.FRAGMENT_COUNT)
+    fields = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in COMMENT_TYPE])
+    ordered = F.sort_array(F.collect_list(F.struct("_n", fields.alias("c"))))
+    return kept.groupBy(key).agg(F.transform(ordered, lambda x: x["c"]).alias("comments"))
+
+
 def contents(content: Column, terms: Sequence[str]) -> Column:
     """Highlighted fragments, or the beginning of the content where nothing is highlighted."""
     marked = hl.fragments(content, terms)

@@ -7,6 +7,7 @@ inside each row, needs no index and shuffles nothing but one row of statistics.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -307,6 +308,14 @@ def fetch_page(hits: DataFrame, start: int, size: int, tie: str = "id") -> dict:
     return {r[tie]: r["score"] for r in page(hits, start, size, tie).select(tie, "score").collect()}
 
 
+def timed_page(hits: DataFrame, phrase: str, start: int, size: int, tie: str = "id") -> tuple[dict, dict]:
+    """A page (id -> score) and its information: offset, size, total, phrase, milliseconds."""
+    began = time.perf_counter()
+    found = fetch_page(hits, start, size, tie)
+    info = search_totals(hits, phrase, start, size).first().asDict()
+    return found, info | {"millis": int((time.perf_counter() - began) * 1000)}
+
+
 def search_totals(hits: DataFrame, phrase: str, start: int, size: int) -> DataFrame:
     """Page information: offset, size, exact number of hits and the phrase (blank is ``*``)."""
     return hits.agg(F.count(F.lit(1)).alias("total")).select(

@@ -128,22 +128,30 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("content_hash", content_hash).drop("words")
 
 
-def nested_comments(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
-    """(doc_id, comments) with the comments of a document as one array in turn order.
+def comment_rows(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
+    """Flat comments: doc_id, turn and the fields of a nested comment.
 
-    ``only`` restricts it to the documents of a result page; the ids filter the scan.
+    ``only`` restricts them to the documents of a result page; the ids filter the scan.
     """
-    rows = conversations(spark, sf_dir).withColumnRenamed("conv_id", "doc_id")
+    rows = conversations(spark, sf_dir)
     if only is not None:
-        rows = rows.where(F.col("doc_id").isin(*only))
-    comment = F.struct(
+        rows = rows.where(F.col("conv_id").isin(*only))
+    return rows.select(
+        F.col("conv_id").alias("doc_id"),
+        "turn",
         F.col("text").alias("comment"),
         F.col("role").alias("author"),
         naming.time_or_default(F.lit(None)).alias("date"),
         F.col("turn").cast("string").alias("id"),
         F.upper(F.substring("role", 1, 1)).alias("initials"),
     )
+
+
+def nested_comments(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
+    """(doc_id, comments) with all comments of a document as one array in turn order."""
+    comment = F.struct("comment", "author", "date", "id", "initials")
     ordered = F.sort_array(F.collect_list(F.struct(F.col("turn"), comment.alias("c"))))
+    rows = comment_rows(spark, sf_dir, only)
     return rows.groupBy("doc_id").agg(F.transform(ordered, lambda x: x["c"]).alias("comments"))
 
 

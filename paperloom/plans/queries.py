@@ -651,11 +651,12 @@ def search_hits(spark, sf_dir):
     """Full result rows of the first hits over content and comments: search, then fetch."""
     phrase = "la elle the"
     page = search.fetch_page(_two_fields(spark, sf_dir, phrase), 0, 25, "doc_id")
-    comments = dt.nested_comments(spark, sf_dir, only=list(page))
+    terms = ix.distinct_terms(phrase)
+    comments = hits.hit_comments(dt.comment_rows(spark, sf_dir, only=list(page)), terms, "doc_id", "turn")
     none = F.array().cast(comments.schema["comments"].dataType)
     rows = hits.fetched(dt.corpus_without_hash(spark, sf_dir), page, "doc_id")
     rows = rows.join(comments, "doc_id", "left").withColumn("comments", F.coalesce("comments", none))
-    found = hits.hit_rows(rows, ix.distinct_terms(phrase))
+    found = hits.hit_rows(rows, terms)
     comment = F.transform(
         "comments",
         lambda c: F.concat_ws(

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from paperloom.operators.corpus import upsert
 from paperloom.plans.sizing import partitions_for
 from paperloom.schemas import CORPUS_SCHEMA, KIND_NAMES
+from paperloom.sources.folders import committed_subfolders, subfolders
 
 LAYER_SCHEMA = T.StructType(
     [f for f in CORPUS_SCHEMA if f.name != "doc_type"] + [T.StructField("deleted", T.BooleanType())]
@@ -36,32 +37,17 @@ class CorpusStore:
 
     # -- layers ----------------------------------------------------------------------------
 
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop_path
-
-    def _folders(self, path: str) -> list[str]:
-        fs, hadoop_path = self._fs(path)
-        if not fs.exists(hadoop_path):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isDirectory())
-
-    def _committed(self, path: str) -> bool:
-        fs, hadoop_path = self._fs(f"{path}/_SUCCESS")
-        return fs.exists(hadoop_path)
-
     def layers(self, kind: str) -> list[str]:
         """Committed layers a reader needs, the base first."""
         folder = f"{self.root}/doc_type={kind}"
-        names = [n for n in self._folders(folder) if self._committed(f"{folder}/{n}")]
+        names = committed_subfolders(self.spark, folder)
         bases = [i for i, n in enumerate(names) if n.endswith("-base")]
         return names[bases[-1]:] if bases else []
 
     def _next(self, kind: str, suffix: str) -> str:
         """Path of a new layer; a layer that bears the same tag already is written again."""
         folder = f"{self.root}/doc_type={kind}"
-        names = self._folders(folder)
+        names = subfolders(self.spark, folder)
         again = [n for n in names if "@" in suffix and n.endswith(suffix)]
         if again:
             return f"{folder}/{again[0]}"

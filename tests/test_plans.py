@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from paperloom.operators import corpus as corpus_ops
-from paperloom.operators import index, search, suggest
+from paperloom.operators import hits, index, search, suggest
 from paperloom.plans import driver_tables as dt
 from paperloom.plans.columns import literal_rows
 from paperloom.plans.queries import REGISTRY
@@ -93,6 +93,21 @@ def test_hot_document_in_page_assembly(spark):
     assert parts.agg(F.sum("page_count")).first()[0] == 9000
 
 
+def test_hot_document_on_a_result_page(spark):
+    rows = spark.range(3000).select(
+        F.lit(1).alias("doc_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 1, F.lit("the same remark")).otherwise(F.lit("nothing")).alias("comment"),
+        F.lit("a").alias("author"), F.lit("2024-01-01").cast("timestamp").alias("date"),
+        F.col("id").cast("string").alias("number"), F.lit("A").alias("initials"),
+    ).withColumnRenamed("number", "id")
+    every = F.sort_array(F.collect_list(F.struct("turn", F.struct("comment", "author", "date", "id", "initials").alias("c"))))
+    whole = rows.groupBy("doc_id").agg(F.transform(every, lambda x: x["c"]).alias("comments"))
+    kept = hits.hit_comments(rows, ["the"], "doc_id", "turn")
+    assert kept.select(F.size("comments")).first()[0] == 5
+    details = [f.select(hits.comment_details(F.col("comments"), ["the"]).alias("d")).first().d for f in (whole, kept)]
+    assert details[0] == details[1] and details[0][0]["id"] == "1"
+
+
 def test_hot_document_in_first_words(spark):
     rows = spark.range(3000).select(
         F.lit(1).alias("key"), F.col("id").alias("n"),

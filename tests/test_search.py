@@ -79,6 +79,8 @@ def test_search_forms(spark, corpus):
     assert set(less) < set(some)
     first = search.fetch_page(search.search(corpus, "the elle"), 0, 3)
     second = search.fetch_page(search.search(corpus, "the elle"), 3, 3)
+    found, info = search.timed_page(search.search(corpus, "the elle"), "the elle", 0, 3)
+    assert found == first and info["total"] > 6 and info["search_phrase"] == "the elle" and info["millis"] >= 0
     scores = [*first.values(), *second.values()]
     assert scores == sorted(scores, reverse=True) and not set(first) & set(second)
 

@@ -93,3 +93,16 @@ def test_state_text_round_trip(spark, folder):
     rows_in = spark.createDataFrame([("p", "h", "/x")], "path_hash string, content_hash string, original_path string")
     state.write_state_text(rows_in, str(folder / "state"))
     assert [tuple(r) for r in state.read_state_text(spark, str(folder / "state")).collect()] == [("p", "h", "/x")]
+
+
+def test_state_versions(spark, folder):
+    path = str(folder / "state")
+    assert state.read_state(spark, path).count() == 0
+    first = spark.createDataFrame([("p", "h", "/x", "word")], state.STATE_SCHEMA)
+    state.write_state(first, path)
+    known = state.read_state(spark, path)
+    more = known.unionByName(spark.createDataFrame([("q", "h", "/y", "pdf")], state.STATE_SCHEMA))
+    state.write_state(more, path)
+    assert state.read_state(spark, path).count() == 2
+    plan = state.read_state(spark, path).where("doc_type = 'pdf'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(doc_type" in plan
