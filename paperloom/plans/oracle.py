@@ -243,6 +243,27 @@ FROM scores QUALIFY rank <= 10"""
 
 HITS_TERMS = ["la", "elle", "the"]
 
+
+
+def comment_highlights(where: str) -> str:
+    """CTE comments(conv_id, text): the first five highlighted fragments with their origin."""
+    return f"""
+marked AS (
+  SELECT conv_id, turn, unnest(f) AS fragment, generate_subscripts(f, 1) AS i
+  FROM (SELECT conv_id, turn, {fragments('text', HITS_TERMS, 'n')} AS f FROM conversations WHERE {where})),
+kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS n FROM marked QUALIFY n <= 5),
+origin AS (
+  SELECT k.conv_id, k.n, min(c.turn) AS turn, arg_min(c.role, c.turn) AS role
+  FROM kept k JOIN conversations c ON c.conv_id = k.conv_id
+   AND contains(c.text, replace(replace(k.fragment, '{START}', ''), '{END}', '')) GROUP BY k.conv_id, k.n),
+comment_rows AS (
+  SELECT k.conv_id, k.n, concat_ws('|', fragment, role, CASE WHEN role IS NOT NULL THEN '1970-01-01 00:00:00' END,
+                                   CAST(o.turn AS VARCHAR), upper(role[1])) AS text
+  FROM kept k LEFT JOIN origin o ON o.conv_id = k.conv_id AND o.n = k.n),
+comments AS (
+  SELECT conv_id, string_agg(text, chr(10) || '~' || chr(10) ORDER BY n) AS text FROM comment_rows GROUP BY conv_id)"""
+
+
 ORACLE: dict[str, str] = {
     "page_assembly": """
 SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS content, count(*) AS page_count
@@ -423,29 +444,11 @@ FROM corpus""",
 WITH last AS (SELECT conv_id, substring(arg_max(text, turn), 1, 6) AS fragment FROM conversations GROUP BY conv_id)
 SELECT l.conv_id AS doc_id, fragment, CAST(min(turn) AS VARCHAR) AS comment_id, arg_min(role, turn) AS author
 FROM last l JOIN conversations c ON c.conv_id = l.conv_id AND contains(c.text, fragment) GROUP BY l.conv_id, fragment""",
-    "comment_match_nested": """
-WITH last AS (
-  SELECT conv_id, substring(arg_max(text, turn), 1, 6) AS fragment FROM conversations GROUP BY conv_id
-  ORDER BY conv_id LIMIT 50)
-SELECT l.conv_id AS doc_id, fragment, CAST(min(turn) AS VARCHAR) AS comment_id, arg_min(role, turn) AS author
-FROM last l JOIN conversations c ON c.conv_id = l.conv_id AND contains(c.text, fragment) GROUP BY l.conv_id, fragment""",
+    "comment_highlights": f"""WITH {comment_highlights('TRUE')}
+SELECT conv_id AS doc_id, text AS comments FROM comments""",
     "search_hits": f"""WITH {two_field_ranking(HITS_TERMS)},
 top AS (SELECT doc_id, score FROM ranked ORDER BY score DESC, doc_id LIMIT 25),
-marked AS (
-  SELECT conv_id, turn, unnest(f) AS fragment, generate_subscripts(f, 1) AS i
-  FROM (SELECT conv_id, turn, {fragments('text', HITS_TERMS, 'n')} AS f FROM conversations
-        WHERE conv_id IN (SELECT doc_id FROM top))),
-kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS n FROM marked QUALIFY n <= 5),
-origin AS (
-  SELECT k.conv_id, k.n, min(c.turn) AS turn, arg_min(c.role, c.turn) AS role
-  FROM kept k JOIN conversations c ON c.conv_id = k.conv_id
-   AND contains(c.text, replace(replace(k.fragment, '{START}', ''), '{END}', '')) GROUP BY k.conv_id, k.n),
-comment_rows AS (
-  SELECT k.conv_id, k.n, concat_ws('|', fragment, role, CASE WHEN role IS NOT NULL THEN '1970-01-01 00:00:00' END,
-                                   CAST(o.turn AS VARCHAR), upper(role[1])) AS text
-  FROM kept k LEFT JOIN origin o ON o.conv_id = k.conv_id AND o.n = k.n),
-comments AS (
-  SELECT conv_id, string_agg(text, chr(10) || '~' || chr(10) ORDER BY n) AS text FROM comment_rows GROUP BY conv_id)
+{comment_highlights('conv_id IN (SELECT doc_id FROM top)')}
 SELECT uri_file_path AS relative_url, id, {stamp('process_time')} AS process_time, original_file_path AS absolute_url,
        content_type AS document_type, 'officedocuments-' || doc_type AS index_name,
        CASE WHEN len(f) > 0 THEN array_to_string(f, chr(10) || '~' || chr(10))

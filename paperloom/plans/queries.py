@@ -633,17 +633,25 @@ def comment_match(spark, sf_dir):
     )
 
 
-@registered
-def comment_match_nested(spark, sf_dir):
-    """The same on comments nested in their document, as on a result page of fifty documents."""
-    page = dt.conversations(spark, sf_dir).select("conv_id").distinct().orderBy("conv_id").limit(50)
-    nested = dt.nested_comments(spark, sf_dir, only=[r.conv_id for r in page.collect()])
-    last = F.element_at("comments", -1)
-    rows = nested.select("doc_id", "comments", F.substring(last["comment"], 1, 6).alias("fragment"))
-    match = hits.first_comment_with(F.col("comments"), F.col("fragment"))
-    return rows.select(
-        "doc_id", "fragment", match["id"].alias("comment_id"), match["author"].alias("author")
+def _comment_texts(details: str) -> Column:
+    """Highlighted comments of a result row as text."""
+    comment = F.transform(
+        details,
+        lambda c: F.concat_ws(
+            LIST_SEPARATOR, c["comment_text"], c["author"], F.date_format(c["date"], TIME_TEXT), c["id"],
+            c["initials"],
+        ),
     )
+    return F.array_join(comment, "\n~\n")
+
+
+@registered
+def comment_highlights(spark, sf_dir):
+    """Highlighted comments with their origin for every document that has any."""
+    terms = ["la", "elle", "the"]
+    nested = hits.hit_comments(dt.comment_rows(spark, sf_dir), terms, "doc_id", "turn")
+    found = nested.select("doc_id", hits.comment_details(F.col("comments"), terms).alias("details"))
+    return found.select("doc_id", _comment_texts("details").alias("comments"))
 
 
 @registered
@@ -657,17 +665,10 @@ def search_hits(spark, sf_dir):
     rows = hits.fetched(dt.corpus_without_hash(spark, sf_dir), page, "doc_id")
     rows = rows.join(comments, "doc_id", "left").withColumn("comments", F.coalesce("comments", none))
     found = hits.hit_rows(rows, terms)
-    comment = F.transform(
-        "comments",
-        lambda c: F.concat_ws(
-            LIST_SEPARATOR, c["comment_text"], c["author"], F.date_format(c["date"], TIME_TEXT), c["id"],
-            c["initials"],
-        ),
-    )
     return found.select(
         "relative_url", "id", time_text("process_time").alias("process_time"), "absolute_url",
         "document_type", "index_name", F.array_join("contents", "\n~\n").alias("contents"),
-        F.array_join(comment, "\n~\n").alias("comments"), "relevance", "program_icon",
+        _comment_texts("comments").alias("comments"), "relevance", "program_icon",
     )
 
 
