@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, encoding
+from paperloom.llm import decontamination, encoding, substring_dedup, suffix_dedup
 from paperloom.llm.common import table
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that 400-byte repeats cover, all occurrences."""
+    return suffix_dedup.digest(suffix_dedup.find_repeats(table(spark, sf_dir, "documents")))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that earlier windows of 20 words cover."""
+    return substring_dedup.digest(substring_dedup.find_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -22,6 +32,8 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
 }
