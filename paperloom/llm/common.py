@@ -7,6 +7,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.session import shared_folder
 
 # A cache of hashes or ids is emptied beyond so many entries.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
+# Bytes of a text column that a task turns into arrays at a time.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,16 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(stream, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about so many bytes in a text or binary column, one row at least."""
+    for batch in stream:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, computed once per distinct word."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import scratch, texts
+from paperloom.llm.common import scratch, slices, texts
 from paperloom.llm.tokens import encoder, tokenizer_path
 
 LIMIT = 18
@@ -43,7 +43,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
     def run(stream):
         end = np.array([end_id], "<u4").tobytes()
-        for batch in stream:
+        for batch in slices(stream, 1):
             coded = encoder(path).encode([t.decode() for t in texts(batch.column(1))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([c + end for c in coded], pa.binary())], ["doc_id", "ids"]
@@ -57,7 +57,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
 
     def run(stream):
         total = np.zeros(0, np.int64)
-        for batch in stream:
+        for batch in slices(stream, 0):
             new = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
             total = np.pad(total, (0, max(0, len(new) - len(total))))
             total[: len(new)] += new
@@ -196,7 +196,7 @@ def write_ids(ids: DataFrame, folder: str) -> None:
     def coded(stream):
         lengths = shared.value
         codes = canonical(lengths)
-        for batch in stream:
+        for batch in slices(stream, 1):
             doc_ids, raw = batch.column(0), batch.column(1).to_pylist()
             data, marks = encode_ids(raw, lengths, codes)
             known = np.array([x if x is not None else -(1 << 63) for x in doc_ids.to_pylist()], np.int64)

@@ -1,26 +1,30 @@
 """Token ids of texts with a public byte-level tokenizer, one lookup per word.
 
 Byte-level pieces never reach over a space between two other characters, so the ids of a text are those of
-its space-separated chunks one after the other. A task keeps the ids of chunks that it has met and hands
-only new chunks to the tokenizers library; the ids are those of encoding the text at once.
+its space-separated chunks one after the other. A task keeps the ids of chunks and words that it has met and
+hands only new ones to the tokenizers library; the ids are those of encoding the text at once.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
-
-import numpy as np
-
-from paperloom.llm.common import CACHE_ENTRIES
+from codecs import charmap_decode
 
 TOKENIZER = "byte_bpe_50k.json"
 
-# Two white-space characters side by side, or at an edge: there a space may belong to a longer run.
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
+# Entries of a worker's two caches.
+ENTRIES = 700_000
+
+# White space other than single blanks and line breaks, and where a blank surely begins a piece.
+_OTHER = re.compile(r"[^\S \n]")
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
+# The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_ALPHABET = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     """Where the public tokenizer file lies."""
@@ -29,6 +33,43 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Ids(dict):
+    """Ids of chunks as they stand (``lead`` empty) or behind a blank."""
+
+    def __init__(self, tokenizer, lead: str, bare: _Ids | None):
+        super().__init__()
+        self._tokenizer, self._model, self._lead = tokenizer, tokenizer.model, lead
+        self._mapped = _ALPHABET[ord(lead)] if lead else ""
+        self._bare = self if bare is None else bare
+        self._bytes = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
+
+    def _letters(self, word: str) -> bytes:
+        """A piece that no pattern splits, straight from the merges."""
+        mapped = word if word.isascii() else charmap_decode(word.encode(), "strict", _ALPHABET)[0]
+        known = self._bytes
+        return b"".join([known[t.id] for t in self._model.tokenize(self._mapped + mapped)])
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > ENTRIES:
+            self.clear()
+        word = chunk.rstrip(".,;:!?")
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            if len(word) == len(chunk):
+                ids = self._letters(word)
+            else:
+                ids = self[word] + self._bare[chunk[len(word) :]]
+        elif chunk[0] == "\n" and self._lead:
+            ids = self._bare["\n"] + self._bare[chunk[1:]] if chunk[1:2].isalnum() else self._plain(chunk)
+        else:
+            ids = self._plain(self._lead + chunk)
+        self[chunk] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return b"".join([self._bytes[i] for i in ids])
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit words."""
 
@@ -36,49 +77,32 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
-        self.vocabulary = self._tokenizer.get_vocab_size()
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        new = list(chunks)
-        if len(self._known) + len(new) > CACHE_ENTRIES:
-            self._known.clear()
-        encoded = self._tokenizer.encode_batch_fast([c[1:] if c[0] == "\0" else c for c in new], add_special_tokens=False)
-        self._known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, encoded, strict=True))
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self._bare = _Ids(tokenizer, "", None)
+        self._spaced = _Ids(tokenizer, " ", self._bare)
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
-        """The text's chunks: the first behind a mark, the others with their space, or a line's first with its break."""
-        if not text:
-            return []
-        parts = _BOUNDARY.split(text) if _RUNS.search(text) else text.replace("\n", " \n").split(" ")
-        return ["\0" + parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
+        """The chunks of a text, each without the blank before it; a line's first begins with its break."""
+        odd = (
+            text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text
+            or " \n" in text or "\n " in text or _OTHER.search(text)
+        )
+        return _BOUNDARY.split(text) if odd else text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
-        out: list[bytes] = []
-        held: list[list[str]] = []
-        size = 0
+        out, spaced = [], self._spaced.__getitem__
         for text in texts:
-            chunks = self._chunks(text or "")
-            held.append(chunks)
-            size += len(chunks)
-            if size > CACHE_ENTRIES // 4:
-                out += self._flush(held)
-                held, size = [], 0
-        return out + self._flush(held)
-
-    def _flush(self, held: list[list[str]]) -> list[bytes]:
-        missing = {c for chunks in held for c in chunks if c not in self._known}
-        if missing:
-            if len(self._known) + len(missing) > CACHE_ENTRIES:
-                missing = {c for chunks in held for c in chunks}
-                self._known.clear()
-            self._learn(missing)
-        known = self._known
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in held]
+            if text:
+                chunks = self._chunks(text)
+                first = self._bare[chunks[0]]
+                del chunks[0]
+                out.append(first + b"".join(map(spaced, chunks)))
+            else:
+                out.append(b"")
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
