@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import scratch, slices, texts
+from paperloom.llm.common import batch_rows, scratch, slices, texts
 from paperloom.llm.tokens import encoder, tokenizer_path
 
 LIMIT = 18
@@ -37,34 +37,63 @@ PART_BYTES = 64 << 20
 BLOCKS = "part int, block int, before long, doc_ids array<long>, n_ids array<int>, checkpoints array<int>, data binary"
 
 
+TOKENS = "doc_id long, ids binary, counts binary"
+
+
 def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids with the end id, as little-endian 32-bit words."""
+    """Each document's ids with the end id, stored once.
+
+    A task's last row holds no document but how often it has met each id; ``documents_of`` and ``id_counts`` read
+    the two kinds of rows.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(stream):
-        end = np.array([end_id], "<u4").tobytes()
+        own = encoder(path)
+        counts = np.zeros(own.vocabulary, np.int64)
+        end = np.array([end_id], own.type).tobytes()
         for batch in slices(stream, 1):
-            coded = encoder(path).encode([t.decode() for t in texts(batch.column(1))])
+            coded = own.encode([t.decode() for t in texts(batch.column(1))])
+            counts += np.bincount(np.frombuffer(b"".join(coded), own.type), minlength=len(counts))
+            counts[end_id] += len(coded)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([c + end for c in coded], pa.binary())], ["doc_id", "ids"]
+                [batch.column(0), pa.array([c + end for c in coded], pa.binary()), pa.nulls(len(coded), pa.binary())],
+                ["doc_id", "ids", "counts"],
             )
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())],
+            ["doc_id", "ids", "counts"],
+        )
+
+    spark, held = docs.sparkSession, scratch(docs.sparkSession, "ids")
+    with batch_rows(spark, 1000):
+        source.mapInArrow(run, TOKENS).write.option("compression", "zstd").parquet(held)
+    return spark.read.schema(TOKENS).parquet(held)
+
 
-    return source.mapInArrow(run, "doc_id long, ids binary")
+def documents_of(tokens: DataFrame) -> DataFrame:
+    """(doc_id, ids) of a token table."""
+    return tokens.filter("ids is not null").select("doc_id", "ids")
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
-    """(id, count) over all documents; each task sends one row per id at most."""
+def id_counts(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs in a token table; one number per vocabulary entry reaches the driver."""
 
     def run(stream):
         total = np.zeros(0, np.int64)
-        for batch in slices(stream, 0):
-            new = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
-            total = np.pad(total, (0, max(0, len(new) - len(total))))
-            total[: len(new)] += new
+        for batch in stream:
+            for raw in batch.column(0).to_pylist():
+                own = np.frombuffer(raw, np.int64)
+                total = own + total if len(total) else own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = tokens.filter("counts is not null").select("counts").mapInArrow(run, "id long, n long")
+    counted = rows.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    at = counted["id"].to_numpy()
+    counts = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
+    counts[at] = counted["n"].to_numpy()
+    return counts
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -108,10 +137,12 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_ids(parts: list[bytes], lengths: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
+def encode_ids(
+    parts: list[bytes], lengths: np.ndarray, codes: np.ndarray, kind: str = "<u4"
+) -> tuple[list[bytes], list[np.ndarray]]:
     """Each document's codes from a byte boundary on, and the bit offsets of its checkpoints."""
-    sizes = np.array([len(p) // 4 for p in parts], np.int64)
-    ids = np.frombuffer(b"".join(parts), "<u4")
+    ids = np.frombuffer(b"".join(parts), kind)
+    sizes = np.array([len(p) for p in parts], np.int64) // ids.itemsize
     if not len(ids):
         return [b""] * len(parts), [np.zeros(0, np.int32) for _ in parts]
     width = lengths[ids].astype(np.int64)
@@ -175,13 +206,10 @@ def lane_counts(sizes: np.ndarray) -> np.ndarray:
     return counts
 
 
-def write_ids(ids: DataFrame, folder: str) -> None:
-    """Write a stored (doc_id, ids) table in the file format."""
-    spark = ids.sparkSession
-    counted = id_counts(ids).toArrow()
-    at, n = counted["id"].to_numpy(), counted["n"].to_numpy()
-    counts = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
-    counts[at] = n
+def write_ids(tokens: DataFrame, folder: str, kind: str) -> None:
+    """Write a token table in the file format; ``kind`` is the numpy type of its ids."""
+    spark, ids = tokens.sparkSession, documents_of(tokens)
+    counts = id_counts(tokens)
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame(
@@ -194,17 +222,17 @@ def write_ids(ids: DataFrame, folder: str) -> None:
     cuts = sorted(set(cuts or []))
 
     def coded(stream):
-        lengths = shared.value
+        lengths, width = shared.value, np.dtype(kind).itemsize
         codes = canonical(lengths)
         for batch in slices(stream, 1):
             doc_ids, raw = batch.column(0), batch.column(1).to_pylist()
-            data, marks = encode_ids(raw, lengths, codes)
+            data, marks = encode_ids(raw, lengths, codes, kind)
             known = np.array([x if x is not None else -(1 << 63) for x in doc_ids.to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.searchsorted(np.array(cuts, np.int64), known, "left").astype(np.int32)),
                     doc_ids,
-                    pa.array([len(r) // 4 for r in raw], pa.int32()),
+                    pa.array([len(r) // width for r in raw], pa.int32()),
                     pa.array(marks, pa.list_(pa.int32())),
                     pa.array(data, pa.binary()),
                 ],
@@ -244,7 +272,8 @@ def write_ids(ids: DataFrame, folder: str) -> None:
 
     rows = ids.mapInArrow(coded, "part int, doc_id long, n int, marks array<int>, data binary")
     ranged = rows.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "data")
-    ranged.mapInArrow(blocked, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    with batch_rows(spark, 1000):
+        ranged.mapInArrow(blocked, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,9 +313,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def encode_documents(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
     """Encode all texts and write them to ``folder``."""
-    held = scratch(docs.sparkSession, "ids")
-    token_table(docs, path, end_id).write.option("compression", "zstd").parquet(held)
-    write_ids(docs.sparkSession.read.schema("doc_id long, ids binary").parquet(held), folder)
+    write_ids(token_table(docs, path, end_id), folder, encoder(path).type)
 
 
 def digest(read: DataFrame) -> DataFrame:

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, encoding, substring_dedup, suffix_dedup
+from paperloom.llm import decontamination, encoding, lm_scoring, packing, substring_dedup, suffix_dedup
 from paperloom.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and smoothed n-gram scores of every document."""
+    return lm_scoring.query(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that 400-byte repeats cover, all occurrences."""
     return suffix_dedup.digest(suffix_dedup.find_repeats(table(spark, sf_dir, "documents")))
@@ -20,6 +25,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.find_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in windows of 1,024 tokens."""
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -32,8 +42,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_packing": op4_packing,
     "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
 }

@@ -14,7 +14,7 @@ from codecs import charmap_decode
 TOKENIZER = "byte_bpe_50k.json"
 
 # Entries of a worker's two caches.
-ENTRIES = 700_000
+ENTRIES = 400_000
 
 # White space other than single blanks and line breaks, and where a blank surely begins a piece.
 _OTHER = re.compile(r"[^\S \n]")
@@ -41,7 +41,8 @@ class _Ids(dict):
         self._tokenizer, self._model, self._lead = tokenizer, tokenizer.model, lead
         self._mapped = _ALPHABET[ord(lead)] if lead else ""
         self._bare = self if bare is None else bare
-        self._bytes = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
+        size = tokenizer.get_vocab_size()
+        self._bytes = [k.to_bytes(id_width(size), "little") for k in range(size)]
 
     def _letters(self, word: str) -> bytes:
         """A piece that no pattern splits, straight from the merges."""
@@ -70,8 +71,13 @@ class _Ids(dict):
         return b"".join([self._bytes[i] for i in ids])
 
 
+def id_width(vocabulary: int) -> int:
+    """Bytes that hold one id."""
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit words."""
+    """Ids of texts as little-endian words of numpy type ``type``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,6 +85,8 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        self.vocabulary = tokenizer.get_vocab_size()
+        self.type = f"<u{id_width(self.vocabulary)}"
         self._bare = _Ids(tokenizer, "", None)
         self._spaced = _Ids(tokenizer, " ", self._bare)
 

@@ -26,7 +26,7 @@ def plain(text):
 @given(st.lists(st.text(alphabet="ab é's'll1.,!\n\t  　\x1c", max_size=40), max_size=4))
 def test_chunked_ids_are_the_ids_of_the_whole_text(texts):
     coded = ENCODER.encode(texts)
-    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [plain(t) for t in texts]
+    assert [np.frombuffer(c, ENCODER.type).tolist() for c in coded] == [plain(t) for t in texts]
 
 
 @settings(max_examples=50, deadline=None)
