@@ -30,4 +30,102 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op7_decontamination": OP7}
+_SPLIT6 = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_FORM6 = r"trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, {_SPLIT6.format("coalesce(text, '')")} AS w FROM documents),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM d
+),
+physical AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d),
+shaped AS (SELECT doc_id, host, line, {_FORM6.format("line")} AS form FROM physical),
+dup AS (
+  SELECT doc_id, sum(n - 1)::BIGINT AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM shaped WHERE form <> '' GROUP BY ALL) GROUP BY doc_id
+),
+windows AS (SELECT doc_id, k, array_to_string(w[k : k + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
+often AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
+again AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words
+  FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM windows JOIN often USING (doc_id, g)) GROUP BY doc_id
+),
+families AS (SELECT doc_id, host, min(md5(x)) AS family FROM (SELECT doc_id, host, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS x FROM d) GROUP BY ALL),
+documents_of AS (SELECT host, form, count(DISTINCT family) AS n FROM shaped JOIN families USING (doc_id, host) WHERE form <> '' GROUP BY ALL),
+hosts AS (SELECT host, count(DISTINCT family) AS n_host FROM families GROUP BY ALL),
+above AS (SELECT host, form FROM documents_of JOIN hosts USING (host) WHERE n > 20 AND n > 0.01 * n_host),
+gone AS (
+  SELECT doc_id, sum(len(string_split(form, ' ')))::BIGINT AS n_frequent_words FROM shaped JOIN above USING (host, form) GROUP BY doc_id
+)
+SELECT base.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
+  coalesce(n_frequent_words, 0) AS n_frequent_words,
+  NOT (n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words) AND n_words - coalesce(n_frequent_words, 0) >= 0.3 * n_words AS kept
+FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+OP10 = """
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3 :] ELSE '' END AS rest FROM pages
+),
+u AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest[len(regexp_extract(rest, '^[^/?#]*')) + 1 :], '^[^?#]*') AS path FROM p
+),
+s AS (
+  SELECT r, host, k - 1 AS depth, l[k] AS value
+  FROM (SELECT r, host, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT r, host, list_filter(string_split(path, '/'), lambda x: x <> '') AS l FROM u))
+),
+kept AS (
+  SELECT host, depth, value FROM (SELECT host, depth, value, count(*) AS n FROM s GROUP BY ALL)
+  JOIN (SELECT host, depth, count(*) AS total FROM s GROUP BY ALL) USING (host, depth) WHERE n >= 5 AND n >= 0.02 * total
+),
+t AS (
+  SELECT u.r, u.page_id, u.host, u.path, coalesce(string_agg(CASE WHEN kept.value IS NULL AND s.r IS NOT NULL THEN '*' ELSE s.value END, '/' ORDER BY s.depth), '') AS template
+  FROM u LEFT JOIN s ON u.r = s.r LEFT JOIN kept ON s.host = kept.host AND s.depth = kept.depth AND s.value = kept.value GROUP BY ALL
+),
+known AS (
+  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY ALL
+),
+overall AS (SELECT (sum(bad) + 1) / (count(*) + 2) AS o FROM known),
+c AS (SELECT host, template, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM t LEFT JOIN known USING (page_id) GROUP BY ALL),
+nodes AS (
+  SELECT host, template, labelled, bad, level, array_to_string(string_split(template, '/')[1 : level], '/') AS node
+  FROM (SELECT *, unnest(range(0, len(string_split(template, '/')) + 1)) AS level FROM c)
+),
+stats AS (
+  SELECT host, level, node, sum(labelled) AS n, sum(bad) AS b,
+    CASE WHEN level > 0 THEN CASE WHEN contains(node, '/') THEN regexp_extract(node, '^(.*)/[^/]*$', 1) ELSE '' END END AS parent
+  FROM nodes GROUP BY host, level, node
+),
+wide AS (
+  SELECT a.*, coalesce(a.level > 0 AND
+    abs((a.b + 1) / (a.n + 2) - (q.b - a.b + 1) / (q.n - a.n + 2))
+    < 1.96 * sqrt((q.b + 1) / (q.n + 2) * (1 - (q.b + 1) / (q.n + 2)) * (1 / (a.n + 2) + 1 / (q.n - a.n + 2))), false) AS alike
+  FROM stats a LEFT JOIN stats q ON a.host = q.host AND a.level = q.level + 1 AND a.parent = q.node
+),
+merged AS (SELECT host, level, parent, sum(n) AS mn, sum(b) AS mb FROM wide WHERE alike GROUP BY ALL),
+final AS (
+  SELECT host, level, node, CASE WHEN alike THEN mn ELSE n END AS n, CASE WHEN alike THEN mb ELSE b END AS b
+  FROM wide LEFT JOIN merged USING (host, level, parent)
+),
+line AS (SELECT host, template, list(struct_pack(n := n, b := b) ORDER BY level) AS l FROM nodes JOIN final USING (host, level, node) GROUP BY ALL),
+blocked AS (
+  SELECT host, template, true AS blocked FROM line, overall
+  WHERE 1 - list_reduce(list_prepend(o::DOUBLE, list_transform(l, lambda x: 0.0)), lambda p, x, k: CASE WHEN k > 2 AND l[k - 1].n = l[k - 2].n AND l[k - 1].b = l[k - 2].b THEN p ELSE (l[k - 1].b + 10.0 * p) / (l[k - 1].n + 10.0) END) < 0.5
+),
+rules AS (
+  SELECT * FROM (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+    ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')) v(act, rule, h, begins)
+),
+ruled AS (
+  SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(act, length(rule)) AS act
+  FROM t JOIN rules ON (t.host = h OR ends_with(t.host, '.' || h)) AND starts_with(t.path, begins) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(act, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM t LEFT JOIN ruled USING (r) LEFT JOIN blocked USING (host, template)
+"""
+
+ORACLE: dict[str, str] = {"op6_quality_rules": OP6, "op7_decontamination": OP7, "op10_url_filters": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, encoding, lm_scoring, packing, substring_dedup, suffix_dedup
+from paperloom.llm import decontamination, encoding, lm_scoring, packing, quality_rules, substring_dedup, suffix_dedup, url_filters
 from paperloom.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base columns and the verdict of every document."""
+    return quality_rules.digest(quality_rules.judge(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,11 +46,18 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.query(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filters.digest(url_filters.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
+    "op10_url_filters": op10_url_filters,
 }
