@@ -50,9 +50,18 @@ again AS (
   SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words
   FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM windows JOIN often USING (doc_id, g)) GROUP BY doc_id
 ),
-families AS (SELECT doc_id, host, min(md5(x)) AS family FROM (SELECT doc_id, host, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS x FROM d) GROUP BY ALL),
-documents_of AS (SELECT host, form, count(DISTINCT family) AS n FROM shaped JOIN families USING (doc_id, host) WHERE form <> '' GROUP BY ALL),
-hosts AS (SELECT host, count(DISTINCT family) AS n_host FROM families GROUP BY ALL),
+forms AS (SELECT DISTINCT doc_id, host, form, string_split(form, ' ') AS fw FROM shaped WHERE form <> ''),
+least AS (
+  SELECT doc_id, host, form, min(md5(x)) AS m
+  FROM (SELECT doc_id, host, form, unnest(CASE WHEN len(fw) < 2 THEN fw ELSE list_transform(range(1, len(fw)), lambda k: fw[k] || ' ' || fw[k + 1]) END) AS x FROM forms) GROUP BY ALL
+),
+ranked AS (
+  SELECT *, row_number() OVER o AS place, lead(m) OVER o AS following, first_value(m) OVER o AS document FROM least WINDOW o AS (PARTITION BY doc_id ORDER BY m, form)
+),
+documents_of AS (
+  SELECT host, form, count(DISTINCT CASE WHEN place > 1 THEN document ELSE coalesce(following, m) END) AS n FROM ranked GROUP BY ALL
+),
+hosts AS (SELECT host, count(DISTINCT document) AS n_host FROM ranked GROUP BY ALL),
 above AS (SELECT host, form FROM documents_of JOIN hosts USING (host) WHERE n > 20 AND n > 0.01 * n_host),
 gone AS (
   SELECT doc_id, sum(len(string_split(form, ' ')))::BIGINT AS n_frequent_words FROM shaped JOIN above USING (host, form) GROUP BY doc_id

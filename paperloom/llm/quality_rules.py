@@ -1,9 +1,9 @@
 """Quality rules: base rules on each text, and cross-document line frequency per host.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to single blanks) and hashed. A line counts, per
-host (the ``source`` column), once for every distinct document that holds it; documents that share the
-smallest hash of two neighbouring words count as one, so copies and near copies of one document do not make its lines look like
-boilerplate. Lines in more than ``MIN_DOCUMENTS`` documents and more than ``HOST_SHARE`` of the host's are above the
+host (the ``source`` column), once for every distinct document that holds it; documents
+whose other lines share the smallest hash of two neighbouring words count as one, so copies and near copies of one
+document do not make its lines look like boilerplate. Lines in more than ``MIN_DOCUMENTS`` documents and more than ``HOST_SHARE`` of the host's are above the
 limits and are removed. A document that keeps less than ``DEPLETED`` of its words is rejected, as is one that fails a
 base rule.
 
@@ -18,6 +18,7 @@ empty result; other columns are ignored (or passed through by ``cleaned``).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from hashlib import md5
 
 import numpy as np
@@ -40,7 +41,7 @@ _ZERO = bytes.maketrans(b"0123456789", b"0" * 10)
 _NOT_WORD_START = bytes([*range(9, 14), 32, *range(0x80, 0xC0)])
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LINES = "host string, line long, family long, id long, key int, words int, text_words long"
+LINES = "host string, line long, family long, document long, id long, key int, words int, text_words long"
 
 
 def normalised(line: bytes) -> bytes:
@@ -82,11 +83,20 @@ def base_row(text: bytes, hashes: WordHashes) -> tuple[int, int, int, int, int]:
     )
 
 
-def family_of(words: list[bytes]) -> int:
-    """The smallest hash of a text's pairs of neighbouring words (or its only word), as a signed number."""
-    pairs = {a + b" " + b for a, b in zip(words, words[1:], strict=False)} or set(words)
-    least = min((md5(p).digest()[:8] for p in pairs), default=b"\xff" * 8)
-    return int.from_bytes(least) - (1 << 63)
+def least_pair(form: bytes) -> int:
+    """The smallest hash of a line's pairs of neighbouring words (or its only word), as a signed number."""
+    words = form.split()
+    pairs = [a + b" " + b for a, b in zip(words, words[1:], strict=False)] or words
+    return int.from_bytes(min(md5(p).digest()[:8] for p in pairs)) - (1 << 63)
+
+
+def families(forms: Iterable[bytes]) -> tuple[dict[bytes, int], int]:
+    """For each line of a document the smallest hash of its other lines, and the smallest of all."""
+    least = {form: least_pair(form) for form in forms}
+    ranked = sorted(least, key=least.get)
+    first, second = [least[f] for f in ranked[:2]] if len(ranked) > 1 else ([*least.values(), 0][0], None)
+    own = {form: second if form == ranked[0] else first for form in ranked}
+    return {form: own[form] if own[form] is not None else least[form] for form in ranked}, first
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -100,7 +110,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 def _line_rows(stream):
     for batch in slices(stream, 2):
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in range(8)]
         for id_, key, text, host in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist(), strict=True
         ):
@@ -110,11 +120,13 @@ def _line_rows(stream):
                 form = normalised(line)
                 if form:
                     lengths[form] = lengths.get(form, 0) + form.count(b" ") + 1
-            family = family_of(words)
+            family, document = families(lengths)
             for form, n in lengths.items():
-                for column, value in zip(rows, (host, line_hash(form), family, id_, key, n, len(words)), strict=True):
+                for column, value in zip(
+                    rows, (host, line_hash(form), family[form], document, id_, key, n, len(words)), strict=True
+                ):
                     column.append(value)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], [f.split()[0] for f in LINES.split(", ")]
         )
@@ -125,7 +137,7 @@ def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = stored(_keyed(docs, id_col, text_col, host_col).mapInArrow(_line_rows, LINES), "lines")
     lines = lines.withColumn("host", F.coalesce("host", F.lit("\0")))
     counts = lines.select("host", "line", "family").distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
-    hosts = lines.select("host", "family").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    hosts = lines.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("of"))
     above = (F.col("documents") > MIN_DOCUMENTS) & (F.col("documents") > HOST_SHARE * F.col("of"))
     above = counts.filter(F.col("documents") > MIN_DOCUMENTS).join(hosts, "host").filter(above).select("host", "line")
     hit = lines.join(above, ["host", "line"]).dropDuplicates(["id", "key", "line"])
