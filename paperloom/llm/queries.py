@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, encoding, lm_scoring, packing, quality_rules, substring_dedup, suffix_dedup, url_filters
+from paperloom.llm import decontamination, encoding, jaccard_join, lm_scoring, packing, quality_rules, substring_dedup, suffix_dedup, url_filters
 from paperloom.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under a shingle similarity of 0.75."""
+    return jaccard_join.digest(jaccard_join.group_documents(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base columns and the verdict of every document."""
     return quality_rules.digest(quality_rules.judge(table(spark, sf_dir, "documents")))
@@ -56,6 +61,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
