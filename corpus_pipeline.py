@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination
+from paperloom.llm import decontamination, jaccard_join, packing, quality_rules, suffix_dedup
 from paperloom.llm.common import stored, table
 
 
-def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: lines above the limits go, then documents that are rejected."""
+    return quality_rules.cleaned(docs)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes that repeated strings of 400 bytes cover go; documents stay."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold benchmark passages go."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", remove_leaks)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of all documents and the sequences that they fill."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("quality rules", apply_quality_rules),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack),
+]
 
-# Suffix sorting, packing by retrieval and similarity groups have no SQL form.
+# Suffix sorting and packing by retrieval have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

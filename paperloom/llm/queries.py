@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, encoding, jaccard_join, lm_scoring, packing, quality_rules, substring_dedup, suffix_dedup, url_filters
+from paperloom.llm import (
+    decontamination, encoding, html_extraction, jaccard_join, lm_scoring, packing, quality_rules, substring_dedup,
+    suffix_dedup, url_filters,
+)
 from paperloom.llm.common import table
 
 
@@ -51,6 +54,11 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.query(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     return url_filters.digest(url_filters.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")))
@@ -65,5 +73,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
+    "op9_html_extraction": op9_html_extraction,
     "op10_url_filters": op10_url_filters,
 }

@@ -13,8 +13,8 @@ from codecs import charmap_decode
 
 TOKENIZER = "byte_bpe_50k.json"
 
-# Entries of a worker's two caches.
-ENTRIES = 400_000
+# Entries of a cache's newer and older half.
+ENTRIES = 250_000
 
 # White space other than single blanks and line breaks, and where a blank surely begins a piece.
 _OTHER = re.compile(r"[^\S \n]")
@@ -41,6 +41,7 @@ class _Ids(dict):
         self._tokenizer, self._model, self._lead = tokenizer, tokenizer.model, lead
         self._mapped = _ALPHABET[ord(lead)] if lead else ""
         self._bare = self if bare is None else bare
+        self._older: dict[str, bytes] = {}
         size = tokenizer.get_vocab_size()
         self._bytes = [k.to_bytes(id_width(size), "little") for k in range(size)]
 
@@ -51,7 +52,12 @@ class _Ids(dict):
         return b"".join([known[t.id] for t in self._model.tokenize(self._mapped + mapped)])
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self._older.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
         if len(self) > ENTRIES:
+            self._older = dict(self)
             self.clear()
         word = chunk.rstrip(".,;:!?")
         if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
