@@ -30,7 +30,7 @@ def text_of(page: str) -> list[str]:
         ("<!-- <p>no --><p title='a > b' class=\"x>y\">yes</p><!-- open", ["yes"]),
         ("a < b &lt; c", ["a < b < c"]),
         ("<p\nclass=x>t&nbsp;\n\t u</P>", ["t u"]),
-        ("<title>t</title><h1>&#233;&copy;</h1><p title=\"open>z", ["é©"]),
+        ("<title>t</title><h1>&#233;&copy;</h1><p title=\"open>z", ["é©", "z"]),
         ("<ul><li>1<li>2</ul>3", ["1", "2", "3"]),
         ("<p>cut <", ["cut <"]),
     ],
