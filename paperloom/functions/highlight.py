@@ -25,6 +25,7 @@ def mark_hits(text: Column, terms: Sequence[str]) -> Column:
 
     Word edges are marked first, since ``\\b`` means different things in different engines.
     """
+    text = F.translate(text, _WORD_OPEN + _WORD_CLOSE + _HIT_OPEN + _HIT_CLOSE, "")
     alternatives = "|".join(re.escape(t) for t in terms)
     words = F.regexp_replace(text, r"([\p{L}\p{N}_]+)", f"{_WORD_OPEN}$1{_WORD_CLOSE}")
     hits = F.regexp_replace(
@@ -60,22 +61,27 @@ def strip_tags(fragment: Column) -> Column:
     return F.replace(F.replace(fragment, F.lit(START_TAG), F.lit("")), F.lit(END_TAG), F.lit(""))
 
 
+def pieces(text: Column, size: int) -> Column:
+    """The text in pieces of up to ``size`` characters, cut at white space; a longer word stays whole."""
+    ends, inside = r"[^\x09-\x0D\x20]", rf".{{0,{max(0, size - 2)}}}"
+    pattern = rf"(?s){ends}(?:{inside}{ends})?(?:[\x09-\x0D\x20]|\z)|{ends}+"
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda p: F.regexp_replace(p, r"[\x09-\x0D\x20]+\z", ""),
+    )
+
+
 def fragments(text: Column, terms: Sequence[str], size: int = FRAGMENT_SIZE,
               count: int = FRAGMENT_COUNT) -> Column:
-    """Highlighted fragments: the text in blocks of ``size``, the first ``count`` with a hit.
+    """Highlighted fragments: the text in pieces of up to ``size``, the first ``count`` with a hit.
 
     Escaping comes after marking, else the ``amp`` of ``&amp;`` would be a hit.
     """
     if not terms:
         return F.array().cast("array<string>")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")),
-        lambda i: mark_hits(F.substring(text, i * size + 1, F.lit(size)), terms),
-    )
-    with_hit = F.filter(blocks, lambda b: b.contains(_HIT_OPEN))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.slice(with_hit, 1, count), lambda b: hits_to_tags(escape_html(b)))
-    )
+    marked = F.transform(pieces(text, size), lambda p: mark_hits(p, terms))
+    with_hit = F.filter(marked, lambda b: b.contains(_HIT_OPEN))
+    return F.transform(F.slice(with_hit, 1, count), lambda b: hits_to_tags(escape_html(b)))
 
 
 def fallback_snippet(content: Column) -> Column:

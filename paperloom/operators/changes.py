@@ -34,7 +34,7 @@ def changed_documents(docs: DataFrame, state: DataFrame) -> DataFrame:
     when the changed ids are few enough for the optimizer to send them to the documents.
     """
     labels = change_labels(docs, state).where(F.col("label") != UNCHANGED)
-    return docs.join(labels.select("id", "label"), "id")
+    return docs.join(labels.select("id", "label").distinct(), "id")
 
 
 def next_state(state: DataFrame, docs: DataFrame) -> DataFrame:
@@ -51,10 +51,10 @@ def next_state(state: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def run_counters(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: documents seen, indexed and failed, from labels and the ``error`` column."""
-    failed = docs.agg(F.count_if(F.col("error").isNotNull()).alias("processing_error"))
-    seen = labels.agg(
+    """One row: all documents seen, failed ones too, those indexed and those failed."""
+    seen = docs.agg(
         F.count(F.lit(1)).alias("entire_doc_count"),
-        F.count_if(F.col("label") != UNCHANGED).alias("indexed_doc_count"),
+        F.count_if(F.col("error").isNotNull()).alias("processing_error"),
     )
-    return seen.select("*", failed.scalar().alias("processing_error"))
+    indexed = labels.agg(F.count_if(F.col("label") != UNCHANGED).alias("indexed_doc_count"))
+    return seen.select("entire_doc_count", indexed.scalar().alias("indexed_doc_count"), "processing_error")

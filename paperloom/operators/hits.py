@@ -55,20 +55,15 @@ def contents(content: Column, terms: Sequence[str]) -> Column:
 
 
 def comment_details(comments: Column, terms: Sequence[str]) -> Column:
-    """Highlighted comment fragments with author, date, id and initials of their comment."""
-    marked = F.flatten(F.transform(comments, lambda c: hl.fragments(c["comment"], terms)))
-
-    def detail(fragment: Column) -> Column:
-        origin = first_comment_with(comments, hl.strip_tags(fragment))
-        return F.struct(
-            fragment.alias("comment_text"),
-            origin["author"].alias("author"),
-            origin["date"].alias("date"),
-            origin["id"].alias("id"),
-            origin["initials"].alias("initials"),
+    """Highlighted comment fragments, each with author, date, id and initials of the comment it is cut from."""
+
+    def details(comment: Column) -> Column:
+        fields = [comment[n].alias(n) for n in ("author", "date", "id", "initials")]
+        return F.transform(
+            hl.fragments(comment["comment"], terms), lambda fragment: F.struct(fragment.alias("comment_text"), *fields)
         )
 
-    return F.transform(F.slice(marked, 1, hl.FRAGMENT_COUNT), detail)
+    return F.slice(F.flatten(F.transform(comments, details)), 1, hl.FRAGMENT_COUNT)
 
 
 def hit_rows(docs: DataFrame, terms: Sequence[str], main: str = INDEX_NAME) -> DataFrame:
@@ -88,7 +83,9 @@ def hit_rows(docs: DataFrame, terms: Sequence[str], main: str = INDEX_NAME) -> D
 
 
 def fetched(corpus: DataFrame, page: dict, key: str = "id") -> DataFrame:
-    """Corpus rows of a page (id -> score) with their score; the ids filter the scan."""
+    """Corpus rows of a page (id -> score) with their score; the ids filter the scan. An empty page has no rows."""
+    if not page:
+        return corpus.where(F.lit(False)).withColumn("score", F.lit(0.0))
     scores = literal_rows(corpus.sparkSession, [(k, float(v)) for k, v in page.items()], [key, "score"])
     return corpus.where(F.col(key).isin(*page)).join(F.broadcast(scores), key)
 

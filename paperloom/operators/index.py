@@ -8,6 +8,7 @@ row-group statistics still let a search read only the terms it asks for.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -188,9 +189,7 @@ def read_field_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def query_terms(phrase: str) -> list[str]:
     """Terms of a search phrase under the rule of `paperloom.functions.text.tokens`."""
-    import regex
-
-    return [t for t in regex.split(tx.NON_WORD, phrase.lower()) if t]
+    return [t for t in re.split(r"\W+", phrase.lower()) if t]
 
 
 def distinct_terms(phrase: str | Sequence[str]) -> list[str]:

@@ -20,7 +20,6 @@ from paperloom.plans.columns import computed_once
 from paperloom.schemas import KIND_NAMES
 
 SCORE_DIGITS = 6
-MAX_FETCH = 10_000
 
 
 # --- matching -----------------------------------------------------------------------------
@@ -255,14 +254,19 @@ def select_kinds(corpus: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
     return corpus.where(F.col("doc_type").isin(*kinds))
 
 
+def matches_all(phrase: str) -> bool:
+    """Whether a phrase asks for all documents."""
+    return phrase.strip() in ("", "*")
+
+
 def search(corpus: DataFrame, phrase: str, kinds: Sequence[str] | None = None,
            require_all: bool = False, must_not: Sequence[str] = ()) -> DataFrame:
     """Ranked hits (doc_type, id, score) of a phrase over content and comments.
 
-    A blank phrase matches everything with score 1. ``must_not`` terms exclude documents.
+    A blank phrase or ``*`` matches everything with score 1. ``must_not`` terms exclude documents.
     """
     chosen = select_kinds(corpus, kinds)
-    if not phrase.strip():
+    if matches_all(phrase):
         return chosen.select("doc_type", "id", F.lit(1.0).alias("score"))
     terms = distinct_terms(phrase)
     if not terms:
@@ -278,18 +282,29 @@ def search(corpus: DataFrame, phrase: str, kinds: Sequence[str] | None = None,
 
 
 def search_index(postings: DataFrame, doc_freq: DataFrame, field_stats: DataFrame, phrase: str,
-                 kinds: Sequence[str] | None = None, require_all: bool = False) -> DataFrame:
-    """`search` on stored index tables: reads the postings of the query terms only."""
+                 kinds: Sequence[str] | None = None, require_all: bool = False,
+                 must_not: Sequence[str] = ()) -> DataFrame:
+    """`search` on stored index tables: reads the postings of the query terms only.
+
+    A blank phrase or ``*`` gives every document that has a posting.
+    """
     terms = distinct_terms(phrase)
     fields = ("content", "comments")
+    if matches_all(phrase):
+        everything = select_kinds(postings, kinds).select("doc_type", "id").distinct()
+        return everything.withColumn("score", F.lit(1.0))
     if not terms:
         return postings.where(F.lit(False)).select("doc_type", "id", F.lit(1.0).alias("score"))
-    counts = postings_match_counts(select_kinds(postings, kinds), terms, fields)
+    excluded = [t for t in must_not if t not in terms]
+    counts = postings_match_counts(select_kinds(postings, kinds), terms + excluded, fields)
     weights = index_weights(
         select_kinds(doc_freq, kinds), select_kinds(field_stats, kinds), terms, fields
     )
-    condition = all_terms(len(terms), fields) if require_all else any_term(len(terms), fields)
-    return ranked(counts, len(terms), fields, condition, weights)
+    n = len(terms)
+    condition = all_terms(n, fields) if require_all else any_term(n, fields)
+    for k in range(n, n + len(excluded)):
+        condition = condition & ~has_term(k, fields)
+    return ranked(counts, n, fields, condition, weights)
 
 
 def page(hits: DataFrame, start: int, size: int, tie: str = "id") -> DataFrame:
@@ -300,11 +315,8 @@ def page(hits: DataFrame, start: int, size: int, tie: str = "id") -> DataFrame:
 def fetch_page(hits: DataFrame, start: int, size: int, tie: str = "id") -> dict:
     """A page as a mapping from id to score on the driver, in rank order.
 
-    Searching comes first and fetching second: with the ids at hand, the texts of the page are
-    read by a filter that the scan can use. The mapping has at most ``size`` entries.
+    For pages that a person looks at; ``hits.joined`` fetches pages of any size without the driver.
     """
-    if size > MAX_FETCH:
-        raise ValueError(f"fetch pages of at most {MAX_FETCH} hits; join larger ones")
     return {r[tie]: r["score"] for r in page(hits, start, size, tie).select(tie, "score").collect()}
 
 
@@ -347,6 +359,8 @@ def search_phrase(docs: DataFrame, text: Column, phrase: str, keys: Sequence[str
     Rows that do not even contain all terms as text are dropped before they are tokenised.
     """
     terms = query_terms(phrase)
+    if not terms:
+        return docs.where(F.lit(False)).select(*keys, F.lit(0).alias("phrase_freq"))
     candidates = docs
     for t in dict.fromkeys(terms):
         candidates = candidates.where(F.lower(text).contains(t))
@@ -358,20 +372,23 @@ def search_phrase(docs: DataFrame, text: Column, phrase: str, keys: Sequence[str
 def phrase_from_postings(postings: DataFrame, phrase: str, keys: Sequence[str]) -> DataFrame:
     """Phrase search on positions: a start counts when every slot of the phrase votes for it.
 
-    Each posting votes for position minus slot; votes are combined as a bit mask with partial
-    aggregation, so neither a self-join nor a gathered position list is needed.
+    Each posting votes for position minus slot, once per slot; votes are counted with partial
+    aggregation, so neither a self-join nor a gathered position list is needed, and a phrase may
+    have any number of terms. A phrase without terms matches nothing.
     """
     terms = query_terms(phrase)
+    if not terms:
+        return postings.where(F.lit(False)).select(*keys, F.lit(0).alias("phrase_freq"))
     slots = [F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for k, t in enumerate(terms)]
     wanted = postings.where(F.col("term").isin(*dict.fromkeys(terms)))
     matching = F.filter(F.array(*slots), lambda s: s["t"] == F.col("term"))
     votes = (
         wanted.select(*keys, "positions", F.explode(matching).alias("slot"))
         .select(*keys, F.col("slot.k").alias("k"), F.explode("positions").alias("pos"))
-        .select(*keys, (F.col("pos") - F.col("k")).alias("start"), F.expr("shiftleft(1L, k)").alias("vote"))
+        .select(*keys, (F.col("pos") - F.col("k")).alias("start"))
     )
-    starts = votes.groupBy(*keys, "start").agg(F.bit_or("vote").alias("mask"))
-    full = starts.where(F.col("mask") == (1 << len(terms)) - 1)
+    starts = votes.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("votes"))
+    full = starts.where(F.col("votes") == len(terms))
     return full.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("phrase_freq"))
 
 

@@ -88,7 +88,7 @@ def corpus_without_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "content",
         F.col("lang").alias("creator"),
         F.col("source").alias("subject"),
-        F.substring("content", 1, 40).alias("title"),
+        F.col("content").alias("title"),
         extension_of(F.col("doc_id")).alias("content_type"),
         raw.alias("keywords_raw"),
         tx.keywords_office(raw).alias("keywords"),

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from paperloom.functions import hashing, naming
 from paperloom.functions import text as tx
 from paperloom.operators import changes, cleanup
+from paperloom.operators.corpus import last_write_per_id
 from paperloom.plans.columns import computed_once
 from paperloom.schemas import KIND_BY_NAME, MAIL_KINDS, OFFICE_KINDS, RUN_SCHEMA
-from paperloom.session import shared_folder
+from paperloom.session import arrow_batch, shared_folder
 from paperloom.sources import files, mail, office, runs
 from paperloom.sources.store import CorpusStore
 
@@ -87,7 +88,6 @@ def pages_to_document(metadata: DataFrame, page_texts: DataFrame, scan_path: str
 
 def extract_files(spark: SparkSession, scan_path: str, kind: str) -> DataFrame:
     """Scan and extract the files of one kind (office or eml); bad files carry ``error``."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES_PER_BATCH))
     entry = KIND_BY_NAME[kind]
     found = files.scan_files(spark, scan_path, entry.glob, entry.exclude)
     if kind in OFFICE_KINDS:
@@ -116,8 +116,9 @@ def ingest_documents(store: CorpusStore, kind: str, docs: DataFrame, full_refres
 
     ``docs`` should come from a stored table, since it is read for the labels and for the
     changed rows. Only ids and hashes are joined with the state. The first run and a full
-    refresh write a new base and compare nothing.
+    refresh write a new base and compare nothing. Of rows with one id the latest is taken.
     """
+    docs = last_write_per_id(docs)
     if full_refresh or not store.layers(kind):
         store.replace(kind, docs)
         n = docs.count()
@@ -143,7 +144,8 @@ def ingest(store: CorpusStore, scan_path: str, kind: str, uri_base: str, run_id:
     started = datetime.now()
     path = f"{staging or shared_folder(spark)}/documents-{kind}-{run_id}"
     extracted = extract_files(spark, scan_path, kind)
-    to_documents(extracted, kind, scan_path, uri_base, now).write.mode("overwrite").parquet(path)
+    with arrow_batch(spark, FILES_PER_BATCH):
+        to_documents(extracted, kind, scan_path, uri_base, now).write.mode("overwrite").parquet(path)
     staged = spark.read.parquet(path)
     failed = staged.where(F.col("error").isNotNull()).count()
     seen, indexed = ingest_documents(store, kind, readable(staged), full_refresh)

@@ -37,7 +37,7 @@ CORPUS = f"""
 corpus AS (
   SELECT doc_id, sha256(path) AS id, doc_type, path AS original_file_path,
          replace(replace(path, '/scan/', 'https://repo.example/'), chr(92), '/') AS uri_file_path,
-         content, lang AS creator, source AS subject, substring(content, 1, 40) AS title, ext AS content_type,
+         content, lang AS creator, source AS subject, content AS title, ext AS content_type,
          keywords_raw,
          CASE WHEN doc_id % 7 = 0 THEN {EPOCH}
               ELSE TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) END AS created,
@@ -150,15 +150,15 @@ END = "</strong></span>"
 
 def fragments(text: str, terms: list[str], var: str) -> str:
     """List of highlighted fragments of a text expression; ``var`` keeps lambda names apart."""
-    words = rf"regexp_replace(substring({text}, {var}i * 500 + 1, 500), '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g')"
+    space = r"\x09-\x0D\x20"
+    piece = rf"(?s)[^{space}](?:.{{0,498}}[^{space}])?(?:[{space}]|\z)|[^{space}]+"
+    clean = f"translate(regexp_replace({var}i, '[{space}]+\\z', ''), chr(1) || chr(2) || chr(3) || chr(4), '')"
+    words = rf"regexp_replace({clean}, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g')"
     marked = (
         f"replace(replace(regexp_replace({words}, '(?i)' || chr(1) || '({'|'.join(terms)})' || chr(2), "
         rf"chr(3) || '\1' || chr(4), 'g'), chr(1), ''), chr(2), '')"
     )
-    blocks = (
-        f"list_transform(range(0, CASE WHEN length({text}) = 0 THEN 0 ELSE (length({text}) - 1) // 500 + 1 END), "
-        f"lambda {var}i: {marked})"
-    )
+    blocks = f"list_transform(regexp_extract_all({text}, '{piece}'), lambda {var}i: {marked})"
     kept = f"list_slice(list_filter({blocks}, lambda {var}b: contains({var}b, chr(3))), 1, 5)"
     tagged = f"replace(replace({escape_html(var + 'c')}, chr(3), '{START}'), chr(4), '{END}')"
     return f"list_transform({kept}, lambda {var}c: {tagged})"
@@ -249,17 +249,12 @@ def comment_highlights(where: str) -> str:
     """CTE comments(conv_id, text): the first five highlighted fragments with their origin."""
     return f"""
 marked AS (
-  SELECT conv_id, turn, unnest(f) AS fragment, generate_subscripts(f, 1) AS i
-  FROM (SELECT conv_id, turn, {fragments('text', HITS_TERMS, 'n')} AS f FROM conversations WHERE {where})),
+  SELECT conv_id, turn, role, unnest(f) AS fragment, generate_subscripts(f, 1) AS i
+  FROM (SELECT conv_id, turn, role, {fragments('text', HITS_TERMS, 'n')} AS f FROM conversations WHERE {where})),
 kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS n FROM marked QUALIFY n <= 5),
-origin AS (
-  SELECT k.conv_id, k.n, min(c.turn) AS turn, arg_min(c.role, c.turn) AS role
-  FROM kept k JOIN conversations c ON c.conv_id = k.conv_id
-   AND contains(c.text, replace(replace(k.fragment, '{START}', ''), '{END}', '')) GROUP BY k.conv_id, k.n),
 comment_rows AS (
-  SELECT k.conv_id, k.n, concat_ws('|', fragment, role, CASE WHEN role IS NOT NULL THEN '1970-01-01 00:00:00' END,
-                                   CAST(o.turn AS VARCHAR), upper(role[1])) AS text
-  FROM kept k LEFT JOIN origin o ON o.conv_id = k.conv_id AND o.n = k.n),
+  SELECT conv_id, n, concat_ws('|', fragment, role, '1970-01-01 00:00:00', CAST(turn AS VARCHAR), upper(role[1])) AS text
+  FROM kept),
 comments AS (
   SELECT conv_id, string_agg(text, chr(10) || '~' || chr(10) ORDER BY n) AS text FROM comment_rows GROUP BY conv_id)"""
 
@@ -285,8 +280,8 @@ SELECT sha256(path) AS id, sha256(content || sender || title || 'msg') AS conten
        (SELECT count(DISTINCT w) FROM (SELECT unnest({MAIL_WORDS.format('content')}) AS w) WHERE length(w) > 2) AS n_terms
 FROM m""",
     "state_parse": """
-SELECT source AS path_hash, lang AS content_hash, substring(text, 1, 20) AS original_path
-FROM documents WHERE doc_id % 13 <> 0 AND NOT contains(substring(text, 1, 20), ';')""",
+SELECT source AS path_hash, lang AS content_hash, text AS original_path
+FROM documents WHERE doc_id % 13 <> 0 AND NOT contains(text, ';')""",
     "corpus_upsert": f"""WITH {CORPUS},
 base AS (SELECT doc_id, id, doc_type, title, length(content) AS n, process_time FROM corpus),
 batch AS (
@@ -325,7 +320,7 @@ SELECT doc_id, CASE WHEN k = '' THEN 0 ELSE len(string_split(k, ',')) END AS n,
 FROM (SELECT doc_id, {KEYWORDS_RAW} AS k FROM documents)""",
     "keywords_pdf": """
 SELECT doc_id, CASE WHEN k = '' THEN 0 ELSE len(string_split(k, ' ')) END AS n, replace(k, ' ', '|') AS keywords
-FROM (SELECT doc_id, CASE WHEN doc_id % 11 IN (0, 1) THEN '' ELSE substring(text, 1, 60) END AS k FROM documents)""",
+FROM (SELECT doc_id, CASE WHEN doc_id % 11 IN (0, 1) THEN '' ELSE text END AS k FROM documents)""",
     "regex_chain": r"""
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[aeiou]{2}', '*', 'g'), '\*+', '+', 'g'), '[0-9]', '#', 'g') AS text
 FROM documents""",
@@ -363,7 +358,7 @@ FROM (SELECT doc_id, {TYPE_OR_SOURCE} AS t FROM documents)""",
     "file_name": "SELECT page_id, regexp_extract(url, '[^/]*$') AS name FROM pages",
     "download_name": r"""
 SELECT doc_id, replace(replace(replace(url_encode(regexp_extract(p, '[^/]*$')), '%20', '+'), '~', '%7E'), '%2A', '*') AS name
-FROM (SELECT doc_id, regexp_replace(source || '/' || substring(text, 1, 30), '[\r\n]', ' ', 'g') AS p FROM documents)""",
+FROM (SELECT doc_id, regexp_replace(source || '/' || text, '[\r\n]', ' ', 'g') AS p FROM documents)""",
     "comment_json": """
 SELECT conv_id, turn, '{"commentText":' || CAST(to_json(text) AS VARCHAR)
   || CASE WHEN turn % 2 = 0 THEN ',"author":"' || role || '"' ELSE '' END
@@ -400,7 +395,7 @@ SELECT count(*) AS all_files,
        count(*) FILTER (WHERE path_hash NOT IN (SELECT path_hash FROM listing)) AS removed_files
 FROM state""",
     "ingest_counters": f"""WITH {STATE}
-SELECT count(*) FILTER (WHERE creator <> 'fr') AS entire_doc_count,
+SELECT count(*) AS entire_doc_count,
        count(*) FILTER (WHERE creator <> 'fr' AND label <> 'unchanged') AS indexed_doc_count,
        count(*) FILTER (WHERE creator = 'fr') AS processing_error
 FROM labelled""",
@@ -441,7 +436,7 @@ FROM corpus WHERE doc_id IN (SELECT doc_id FROM top)""",
 SELECT doc_id, CASE WHEN length(content) > 512 THEN substring(content, 1, 512) || ' ...' ELSE content END AS snippet
 FROM corpus""",
     "comment_match": """
-WITH last AS (SELECT conv_id, substring(arg_max(text, turn), 1, 6) AS fragment FROM conversations GROUP BY conv_id)
+WITH last AS (SELECT conv_id, arg_max(text, turn) AS fragment FROM conversations GROUP BY conv_id)
 SELECT l.conv_id AS doc_id, fragment, CAST(min(turn) AS VARCHAR) AS comment_id, arg_min(role, turn) AS author
 FROM last l JOIN conversations c ON c.conv_id = l.conv_id AND contains(c.text, fragment) GROUP BY l.conv_id, fragment""",
     "comment_highlights": f"""WITH {comment_highlights('TRUE')}

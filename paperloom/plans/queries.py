@@ -105,7 +105,7 @@ def mail_documents(spark, sf_dir):
 @registered
 def state_parse(spark, sf_dir):
     """State rows from text lines; lines with more or fewer parts are dropped."""
-    parts = [F.col("lang"), F.col("source"), F.substring("text", 1, 20)]
+    parts = [F.col("lang"), F.col("source"), F.col("text")]
     lines = docs(spark, sf_dir).select(
         F.when(F.col("doc_id") % 13 == 0, F.concat_ws(";", *parts[:2]))
         .otherwise(F.concat_ws(";", *parts))
@@ -261,7 +261,7 @@ def keywords_pdf(spark, sf_dir):
     rows = dt.table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(F.col("doc_id") % 11 == 0, F.lit(""))
-        .when(F.col("doc_id") % 11 != 1, F.substring("text", 1, 60))
+        .when(F.col("doc_id") % 11 != 1, F.col("text"))
         .alias("raw"),
     )
     found = tx.keywords_pdf(F.col("raw"))
@@ -367,7 +367,7 @@ def file_name(spark, sf_dir):
 @registered
 def download_name(spark, sf_dir):
     """File name encoded for a download link."""
-    path = F.concat(F.lit("/scan/"), F.col("source"), F.lit("/"), F.substring("text", 1, 30))
+    path = F.concat(F.lit("/scan/"), F.col("source"), F.lit("/"), F.col("text"))
     flat = F.regexp_replace(path, r"[\r\n]", " ")
     return dt.table(spark, sf_dir, "documents").select("doc_id", naming.download_name(flat).alias("name"))
 
@@ -626,7 +626,7 @@ def snippet_fallback(spark, sf_dir):
 def comment_match(spark, sf_dir):
     """The first comment that contains a fragment of the last one."""
     rows = dt.conversations(spark, sf_dir).withColumnRenamed("conv_id", "doc_id")
-    last = rows.groupBy("doc_id").agg(F.max_by(F.substring("text", 1, 6), "turn").alias("fragment"))
+    last = rows.groupBy("doc_id").agg(F.max_by("text", "turn").alias("fragment"))
     found = hits.first_comments_with(rows, last, "doc_id", "turn", "text")
     return found.select(
         "doc_id", "fragment", F.col("turn").cast("string").alias("comment_id"), F.col("role").alias("author")
@@ -656,13 +656,14 @@ def comment_highlights(spark, sf_dir):
 
 @registered
 def search_hits(spark, sf_dir):
-    """Full result rows of the first hits over content and comments: search, then fetch."""
+    """Full result rows of the first hits over content and comments: search, then join."""
     phrase = "la elle the"
-    page = search.fetch_page(_two_fields(spark, sf_dir, phrase), 0, 25, "doc_id")
+    page = search.page(_two_fields(spark, sf_dir, phrase), 0, 25, "doc_id").select("doc_id", "score")
     terms = ix.distinct_terms(phrase)
-    comments = hits.hit_comments(dt.comment_rows(spark, sf_dir, only=list(page)), terms, "doc_id", "turn")
+    about = dt.comment_rows(spark, sf_dir).join(page.select("doc_id"), "doc_id", "left_semi")
+    comments = hits.hit_comments(about, terms, "doc_id", "turn")
     none = F.array().cast(comments.schema["comments"].dataType)
-    rows = hits.fetched(dt.corpus_without_hash(spark, sf_dir), page, "doc_id")
+    rows = hits.joined(dt.corpus_without_hash(spark, sf_dir), page, "doc_id")
     rows = rows.join(comments, "doc_id", "left").withColumn("comments", F.coalesce("comments", none))
     found = hits.hit_rows(rows, terms)
     return found.select(

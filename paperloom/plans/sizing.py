@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
 # What one task of a sorting write should hold, in stored bytes.
 PARTITION_BYTES = 256 * 1024 * 1024
-# Estimates beyond this are no estimates: sources of unknown size, products of joined sizes.
-KNOWN_BYTES = 2**50
+# What the optimizer reports for a source of unknown size.
+UNKNOWN_BYTES = 2**63 - 1
 BROADCAST_ROW_LIMIT = 100_000
 
 
@@ -21,11 +21,26 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def source_bytes(df: DataFrame) -> int | None:
+    """Bytes of all sources a frame reads, or None where one is of unknown size. Runs no job.
+
+    Sizes of sources add up; the optimizer's own estimate of a join is a product, which says nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= UNKNOWN_BYTES for s in sizes) else sum(sizes)
+
+
+def partitions_of(size: int | None, configured: int, of_input: int) -> int:
+    """Partitions by size, at least the configured number; those of the input where the size is unknown."""
+    return max(configured, of_input if size is None else ceil(size / PARTITION_BYTES))
+
+
 def partitions_for(df: DataFrame) -> int:
-    """Partitions for a shuffle of the whole frame: by its size, at least the configured number."""
+    """Partitions for a shuffle of the whole frame, in proportion to what its sources hold."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = estimated_bytes(df)
-    return max(configured, ceil(size / PARTITION_BYTES)) if size < KNOWN_BYTES else configured
+    size = source_bytes(df)
+    return partitions_of(size, configured, df.rdd.getNumPartitions() if size is None else 0)
 
 
 def spread_small(df: DataFrame, key: str) -> DataFrame:

@@ -122,7 +122,9 @@ class CorpusStore:
         return True
 
     def delete(self, kind: str, ids: DataFrame, at) -> None:
-        """Add a layer of deletions (column ``id``), stamped with the time ``at``."""
+        """Add a layer of deletions (column ``id``), stamped with the time ``at``; none for no ids."""
+        if ids.isEmpty():
+            return
         rows = ids.select("id", F.lit(at).cast("timestamp").alias("process_time"), F.lit(True).alias("deleted"))
         self._write(rows, self._next(kind, "delta"))
 

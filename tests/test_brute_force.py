@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import re
 import math
 import random
 
@@ -95,7 +96,13 @@ def test_fragments(frame, texts):
         return regex.sub(r"[\p{L}\p{N}_]+", tag, block)
 
     def expected(t):
-        blocks = [mark(t[i:i + 500]) for i in range(0, len(t), 500)]
+        blocks, start, end = [], None, None
+        for word in re.finditer(r"[^\x09-\x0D\x20]+", t):
+            if start is not None and word.end() - start > 500:
+                blocks.append(mark(t[start:end]))
+                start = None
+            start, end = word.start() if start is None else start, word.end()
+        blocks += [mark(t[start:end])] if start is not None else []
         kept = [b for b in blocks if "\x03" in b][:5]
         escaped = [html.escape(b).replace("/", "&#x2F;") for b in kept]
         return [e.replace("\x03", hl.START_TAG).replace("\x04", hl.END_TAG) for e in escaped]

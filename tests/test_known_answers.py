@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from paperloom.functions import hashing, naming
 from paperloom.functions import highlight as hl
 from paperloom.functions import text as tx
-from paperloom.operators import availability, search, stats
+from paperloom.operators import availability, hits, search, stats
+from paperloom.operators import index as ix
 from paperloom.sources import files, office, runs, state
 from paperloom.sources.office import WORD_NS
 
@@ -181,3 +182,32 @@ def test_latest_run_and_state_default(spark):
     known = spark.createDataFrame([("word", "Running")], "model string, job_state string")
     report = {r.model: r.job_state for r in stats.job_state_report(jobs, known).collect()}
     assert report == {"word": "Running", "pdf": "Undefined"}
+
+
+def test_highlight_keeps_words_whole_and_marks_clean(spark):
+    text = "x" * 496 + " therapy"
+    assert value(spark, hl.fragments(F.lit(text), ["the"])) == []
+    assert value(spark, hl.fragments(F.lit(text), ["therapy"])) == [f"{hl.START_TAG}therapy{hl.END_TAG}"]
+    assert value(spark, hl.fragments(F.lit("abc \x03 def"), ["zzz"])) == []
+    long = value(spark, hl.fragments(F.lit("y" * 1200 + " hit"), ["hit"]))
+    assert long == [f"{hl.START_TAG}hit{hl.END_TAG}"]
+
+
+def test_comment_origin_survives_escaping(spark):
+    comment = F.struct(*[F.lit(v).alias(n) for n, v in (
+        ("comment", "don't touch the file"), ("author", "ann"), ("date", None), ("id", "4"), ("initials", "a"))])
+    found = value(spark, hits.comment_details(F.array(comment), ["touch"]))
+    assert [(d["author"], d["id"]) for d in found] == [("ann", "4")]
+
+
+def test_empty_pages_and_phrases(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert hits.fetched(docs, {}, "doc_id").columns == ["doc_id", "text", "score"]
+    assert hits.fetched(docs, {}, "doc_id").count() == 0
+    posted = ix.postings(docs, F.col("text"), "doc_id")
+    assert search.phrase_from_postings(posted, "?!", ["doc_id"]).count() == 0
+    assert search.search_phrase(docs, F.col("text"), " ", ["doc_id"]).count() == 0
+    words = " ".join(f"w{k}" for k in range(70))
+    rows = spark.createDataFrame([(1, f"x {words} y"), (2, words.replace("w69", "w0"))], "doc_id long, text string")
+    found = search.phrase_from_postings(ix.postings(rows, F.col("text"), "doc_id"), words, ["doc_id"]).collect()
+    assert [(r.doc_id, r.phrase_freq) for r in found] == [(1, 1)]

@@ -57,9 +57,14 @@ def test_ranking_reads_texts_once(spark):
     assert final.count("FileScan parquet [doc_id") == 1 or "ReusedExchange" in final
 
 
-def test_fetch_filters_the_scan(spark):
+def test_page_is_ranked_before_texts_are_joined(spark):
     text = plan(REGISTRY["search_hits"](spark, SMALL))
-    assert "In(doc_id, " in text and "In(conv_id, " in text
+    assert "TakeOrderedAndProject" in text
+
+
+def test_small_page_filters_the_scan(spark):
+    docs = dt.table(spark, SMALL, "documents")
+    assert "In(doc_id, " in plan(hits.fetched(docs, {3: 1.0, 4: 0.5}, "doc_id"))
 
 
 def test_spread_depends_on_size(spark, monkeypatch):
@@ -159,4 +164,20 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 25
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(REGISTRY) <= set(entry.oracle_sql())
+
+
+def test_partitions_grow_with_any_size():
+    from paperloom.plans.sizing import PARTITION_BYTES, partitions_of
+
+    assert [partitions_of(2**k, 4, 9) for k in (20, 40, 49, 51, 60)] == [4, *(2**k // PARTITION_BYTES for k in (40, 49, 51, 60))]
+    assert partitions_of(None, 4, 9) == 9
+
+
+def test_sizes_of_sources_add_up(spark):
+    from paperloom.plans.sizing import source_bytes
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = source_bytes(docs)
+    assert 0 < source_bytes(docs.join(docs.select("doc_id"), "doc_id")) <= 2 * one

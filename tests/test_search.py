@@ -56,6 +56,10 @@ def test_index_form_equals_scan_form(spark, corpus, folder):
         assert as_dict(search.search_index(*tables, phrase, kinds)) == as_dict(search.search(corpus, phrase, kinds))
     both = search.search_index(*tables, "the with", require_all=True)
     assert as_dict(both) == as_dict(search.search(corpus, "the with", require_all=True))
+    less = search.search_index(*tables, "der", must_not=["die"])
+    assert as_dict(less) == as_dict(search.search(corpus, "der", must_not=["die"]))
+    for phrase in (" ", "*"):
+        assert as_dict(search.search_index(*tables, phrase)) == as_dict(search.search(corpus, phrase))
     plan = search.search_index(*tables, "the elle")._jdf.queryExecution().executedPlan().toString()
     assert "In(term, [elle,the])" in plan or "In(term, [the,elle])" in plan
 

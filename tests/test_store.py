@@ -106,3 +106,21 @@ def test_state_versions(spark, folder):
     assert state.read_state(spark, path).count() == 2
     plan = state.read_state(spark, path).where("doc_type = 'pdf'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(doc_type" in plan
+
+
+def test_repeated_ids_are_stored_and_counted_once(spark, folder):
+    store = CorpusStore(spark, str(folder))
+    batch = rows(spark, ("a", "1"), ("b", "1")).unionByName(rows(spark, ("a", "2"), at="2024-02-01"))
+    assert ingest_documents(store, "word", batch) == (2, 2)
+    assert store.current(["word"]).count() == 2 and content(store) == {"a": "2", "b": "1"}
+    assert ingest_documents(store, "word", batch) == (2, 0)
+    assert ingest_documents(store, "word", batch, full_refresh=True) == (2, 2)
+    assert store.current(["word"]).count() == 2
+
+
+def test_empty_deletions_add_no_layer(spark, folder):
+    store = CorpusStore(spark, str(folder))
+    store.append("word", rows(spark, ("a", "1")))
+    before = store.layers("word")
+    store.delete("word", rows(spark, ("a", "1")).limit(0), datetime(2024, 1, 1))
+    assert store.layers("word") == before
