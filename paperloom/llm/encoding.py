@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import batch_rows, scratch, slices, texts
-from paperloom.llm.tokens import encoder, tokenizer_path
+from paperloom.llm.tokens import encoder, forget, tokenizer_path
 
 LIMIT = 18
 STRIDE = 256
@@ -222,6 +222,7 @@ def write_ids(tokens: DataFrame, folder: str, kind: str) -> None:
     cuts = sorted(set(cuts or []))
 
     def coded(stream):
+        forget()
         lengths, width = shared.value, np.dtype(kind).itemsize
         codes = canonical(lengths)
         for batch in slices(stream, 1):

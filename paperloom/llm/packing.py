@@ -32,7 +32,7 @@ from paperloom.llm.tokens import encoder, tokenizer_path
 WINDOW = 1024
 END = 0
 # Tails in one index.
-SHARD = 2048
+SHARD = 1024
 # The shortest sequence that is cut off at a power of two.
 LEAST = 32
 # Bytes of tails in one range.

@@ -13,8 +13,9 @@ from codecs import charmap_decode
 
 TOKENIZER = "byte_bpe_50k.json"
 
-# Entries of a cache's newer and older half.
-ENTRIES = 250_000
+# Entries of a cache's newer and older half, and marks of what was met once: only what comes again is kept.
+ENTRIES = 500_000
+MARKS = 1 << 23
 
 # White space other than single blanks and line breaks, and where a blank surely begins a piece.
 _OTHER = re.compile(r"[^\S \n]")
@@ -42,6 +43,7 @@ class _Ids(dict):
         self._mapped = _ALPHABET[ord(lead)] if lead else ""
         self._bare = self if bare is None else bare
         self._older: dict[str, bytes] = {}
+        self._met = bytearray(MARKS)
         size = tokenizer.get_vocab_size()
         self._bytes = [k.to_bytes(id_width(size), "little") for k in range(size)]
 
@@ -69,7 +71,11 @@ class _Ids(dict):
             ids = self._bare["\n"] + self._bare[chunk[1:]] if chunk[1:2].isalnum() else self._plain(chunk)
         else:
             ids = self._plain(self._lead + chunk)
-        self[chunk] = ids
+        mark = hash(chunk) & MARKS - 1
+        if self._met[mark]:
+            self[chunk] = ids
+        else:
+            self._met[mark] = 1
         return ids
 
     def _plain(self, text: str) -> bytes:
@@ -122,6 +128,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Drop the worker's encoders with their caches, for stages that need none."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file, loaded once."""
     if path not in _encoders:
