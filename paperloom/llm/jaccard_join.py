@@ -42,6 +42,8 @@ PERCENT = 75
 SHORT = 8
 # Entries of an open list, and partners of one set, that one task compares.
 BLOCK = 1024
+# Places of texts to fetch are broadcast up to so many rows of 20 bytes; more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 200_000
 # A shingle in more than this share of the documents is ordered last; so at most (mean set size / share) are.
 COMMON = 0.001
 # 64-bit words of a parity sketch.
@@ -237,9 +239,13 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs, by the whole sets; a set's partners are compared in blocks."""
         pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
         wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-        places = self.reps.join(wanted, "name").select("name", "rep.id", "rep.key")
-        fetched = self.docs.join(places, ["id", "key"]).select("name", "text").dropDuplicates(["name"])
+        places = stored(self.reps.join(wanted, "name").select("name", "rep.id", "rep.key"), "places")
+        if places.count() <= BROADCAST_ROWS:
+            places = F.broadcast(places)
+        fetched = stored(self.docs.join(places, ["id", "key"]).select("name", "text"), "texts")
         blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         first = fetched.join(blocks.withColumnRenamed("a", "name"), "name").select(
             F.col("name").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),

@@ -38,6 +38,7 @@ def test_equals_all_pairs(spark, copies, short, common, block, monkeypatch):
     monkeypatch.setattr(op, "SHORT", short)
     monkeypatch.setattr(op, "COMMON", common)
     monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "BROADCAST_ROWS", block)
     docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.digest(op.group_documents(docs)).collect()}
     want = op.brute_force(copies)
