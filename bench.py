@@ -64,8 +64,10 @@ def main() -> None:
         seconds[name] = round(best(all_rows(name)), 3)
 
     # Index: built once, then searched without touching a text.
-    none = F.array().cast("array<struct<comment:string>>")
-    corpus = dt.corpus_without_hash(spark, SF_DIR).withColumn("comments", none)
+    nested = dt.nested_comments(spark, SF_DIR)
+    none = F.array().cast(nested.schema["comments"].dataType)
+    corpus = dt.corpus_without_hash(spark, SF_DIR).join(nested, "doc_id", "left")
+    corpus = corpus.withColumn("comments", F.coalesce("comments", none))
     index = str(scratch / "index")
     seconds["index_build"] = round(best(lambda: ix.write_index(corpus, index)), 3)
     tables = ix.read_postings(spark, index), ix.read_doc_freq(spark, index), ix.read_field_stats(spark, index)
@@ -81,7 +83,7 @@ def main() -> None:
     seconds["search_batch_index"] = round(best(many), 3)
 
     # Files: Word documents made of the first texts, scanned, extracted, hashed, compared, written.
-    rows = dt.table(spark, SF_DIR, "documents").select("doc_id", "text").limit(WORD_FILES).collect()
+    rows = dt.table(spark, SF_DIR, "documents").select("doc_id", "text").orderBy("doc_id").limit(WORD_FILES).collect()
     for r in rows:
         text = r.text.replace("&", "&amp;").replace("<", "&lt;")
         write_docx(scratch / "scan" / f"{r.doc_id % 50}" / f"{r.doc_id}.docx", text.split("\n"))
