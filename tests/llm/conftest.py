@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import Row
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,7 +39,3 @@ def nothing(spark):
 def pairs(awkward) -> list[tuple]:
     """(doc_id, text) of the awkward rows."""
     return [(r.doc_id, r.text) for r in awkward.collect()]
-
-
-def as_row(**values) -> Row:
-    return Row(**values)
