@@ -9,7 +9,7 @@ Exact join by prefix lists, with set-relation skipping (Wang and others 2017):
    candidate for its block's first entry only, and blocks that cannot hold a partner are skipped by position.
    Short lists give all their pairs;
 4. candidates are filtered by a parity sketch, whose difference never exceeds that of the sets, then verified on the
-   whole sets; verified links give components;
+   whole sets: one candidate of each set first, then those that the components so far leave open;
 5. the answers of all entries of a list that have become one component follow from each other: such lists, the
    long lists of large groups of copies, are skipped. In the others only pairs across components are still open; these
    are compared by sketch in blocks, verified, and the components are completed.
@@ -275,6 +275,14 @@ class _Join:
         return stored(rows.mapInArrow(run, "a long, b long"), "verified")
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs whose sets are not in one component yet."""
+    for x in "ab":
+        side = groups.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+        pairs = pairs.join(side, x, "left")
+    return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+
+
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document (and text): id, key, n, name of its set, component_id."""
     spark = docs.sparkSession
@@ -290,7 +298,10 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(entries.mapInArrow(_candidates, FOUND), "candidates")
     join = _Join(source, sets)
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    links = join.verified(join.sketched(found.filter("b is not null").select(*pair).distinct()))
+    likely = stored(join.sketched(found.filter("b is not null").select(*pair).distinct()), "likely")
+    links = join.verified(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    groups = stored(components(links), "components")
+    links = links.unionByName(join.verified(_apart(likely, groups)))
     groups = stored(components(links), "components")
 
     part = F.coalesce("component", "name").alias("part")
@@ -307,8 +318,11 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "name", "block", "n", "part", "sketch",
     )
     dealt = split.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    rest = dealt.mapInArrow(_across, "a long, b long").select(*pair).distinct()
-    groups = components(links.unionByName(join.verified(rest)))
+    rest = stored(dealt.mapInArrow(_across, "a long, b long").select(*pair).distinct(), "open")
+    more = join.verified(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = links.unionByName(more)
+    links = links.unionByName(join.verified(_apart(rest, components(links))))
+    groups = components(links)
 
     grouped = sets.join(groups.withColumnRenamed("node", "name"), "name", "left")
     grouped = stored(grouped.select("id", "key", "n", "name", part), "groups")
