@@ -18,7 +18,7 @@ empty folder of blocks and an empty codebook; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -277,8 +277,23 @@ def write_ids(tokens: DataFrame, folder: str, kind: str) -> None:
         ranged.mapInArrow(blocked, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids) of every document in a written folder."""
+def _documents(doc_ids: list, starts: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"]
+    )
+
+
+def _checksums(doc_ids: list, starts: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+    sizes, sums = pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc_ids, pa.int64()), pa.array(starts), sizes, sums], ["doc_id", "start", "n_tokens", "ids_crc32"]
+    )
+
+
+def read_ids(
+    spark: SparkSession, folder: str, made: Callable = _documents, schema: str = "doc_id long, start long, ids binary"
+) -> DataFrame:
+    """(doc_id, start, ids) of every document in a written folder, or what ``made`` makes of a block's documents."""
     book = spark.read.parquet(f"{folder}/codebook").toArrow()  # one row per vocabulary entry
     lengths = np.zeros(int(book["id"].to_numpy().max(initial=-1)) + 1, np.uint8)
     lengths[book["id"].to_numpy()] = book["length"].to_numpy()
@@ -298,18 +313,10 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 counts = np.array(n_ids, np.int64)
                 ids = decoder.decode(data, np.array(marks, np.int64), lane_counts(counts)).astype("<u4")
                 first = np.concatenate([[0], np.cumsum(counts)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids, pa.int64()),
-                        pa.array(first[:-1] + before + starts[part]),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
-                    ],
-                    ["doc_id", "start", "ids"],
-                )
-
-    return blocks.select("part", "before", "doc_ids", "n_ids", "checkpoints", "data").mapInArrow(
-        run, "doc_id long, start long, ids binary"
-    )
+                parts = [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield made(doc_ids, first[:-1] + before + starts[part], parts)
+
+    return blocks.select("part", "before", "doc_ids", "n_ids", "checkpoints", "data").mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
@@ -317,27 +324,13 @@ def encode_documents(docs: DataFrame, folder: str, path: str, end_id: int = 2) -
     write_ids(token_table(docs, path, end_id), folder, encoder(path).type)
 
 
-def digest(read: DataFrame) -> DataFrame:
-    """The contract's columns from what was read back."""
-
-    def run(stream: Iterator[pa.RecordBatch]):
-        for batch in stream:
-            ids = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                ],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digest(spark: SparkSession, folder: str) -> DataFrame:
+    """The contract's columns, read from a written folder."""
+    return read_ids(spark, folder, _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Write all documents and read them back."""
     folder = scratch(spark, "huffman")
     encode_documents(docs, folder, tokenizer_path())
-    return digest(read_ids(spark, folder))
+    return digest(spark, folder)
