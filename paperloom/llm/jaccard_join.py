@@ -55,15 +55,15 @@ ENTRIES = "shingle long, name long, n int, place int"
 FOUND = "shingle long, a long, n long, b long"
 
 
-def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
+def shingles(text: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = hashes.of(text.lower().split())
-    return np.unique(gram_hashes(words, min(SHINGLE, max(1, len(words)))))
+    return np.unique(gram_hashes(words, min(size, max(1, len(words)))))
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n: int, percent: int = PERCENT) -> int:
     """How many shingles of a set of n stand in lists: linked sets have one of these in common."""
-    return n - -(-PERCENT * n // 100) + 1 if n else 0
+    return n - -(-percent * n // 100) + 1 if n else 0
 
 
 def name_of(own: np.ndarray) -> int:
@@ -93,36 +93,40 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _sets(stream):
+def _sets(size: int):
     """One row per document, and one per shingle that many documents of a batch hold."""
-    hashes = WordHashes()
-    for batch in slices(stream, 2):
-        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        own = [shingles(t, hashes) for t in texts(batch.column(2))]
-        names = [name_of(s) if len(s) else None for s in own]
-        none = [None] * len(own)
-        yield _batch([ids, keys, [len(s) for s in own], names, [sketch_of(s) for s in own], none, none], SETS)
-        distinct = [*dict(zip(names, own, strict=True)).values()]
-        common, counts = np.unique(np.concatenate(distinct), return_counts=True)
-        often = counts >= max(3, COMMON * len(distinct))
-        none = [None] * int(often.sum())
-        yield _batch([none, none, none, none, none, signed(common[often]), counts[often]], SETS)
-
-
-def _entries(common):
+
+    def run(stream):
+        hashes = WordHashes()
+        for batch in slices(stream, 2):
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            own = [shingles(t, hashes, size) for t in texts(batch.column(2))]
+            names = [name_of(s) if len(s) else None for s in own]
+            none = [None] * len(own)
+            yield _batch([ids, keys, [len(s) for s in own], names, [sketch_of(s) for s in own], none, none], SETS)
+            distinct = [*dict(zip(names, own, strict=True)).values()]
+            common, counts = np.unique(np.concatenate(distinct), return_counts=True)
+            often = counts >= max(3, COMMON * len(distinct))
+            none = [None] * int(often.sum())
+            yield _batch([none, none, none, none, none, signed(common[often]), counts[often]], SETS)
+
+    return run
+
+
+def _entries(common, size: int, percent: int):
     def run(stream):
         hashes, last = WordHashes(), common.value
         for batch in slices(stream, 0):
             seen, rows = set(), []
             for text in texts(batch.column(0)):
-                own = shingles(text, hashes)
+                own = shingles(text, hashes, size)
                 n, name = len(own), name_of(own)
                 if not n or name in seen:
                     continue
                 seen.add(name)
                 at = np.minimum(np.searchsorted(last, own), len(last) - 1)
                 late = last[at] == own
-                k = prefix_length(n)
+                k = prefix_length(n, percent)
                 first = np.concatenate([own[~late], own[late]])[:k]
                 rows.append((signed(first), np.full(k, name), np.full(k, n), np.arange(k)))
             if rows:
@@ -131,19 +135,19 @@ def _entries(common):
     return run
 
 
-def fits(small: int, large: int) -> bool:
+def fits(small: int, large: int, percent: int = PERCENT) -> bool:
     """Whether sets of these sizes can link."""
-    return 100 * small >= PERCENT * large
+    return 100 * small >= percent * large
 
 
-def _candidates(stream):
+def _candidates(stream, percent: int):
     """Lists sorted by shingle and size: candidate pairs, and the entries of lists that are not short."""
 
     def made(lists: list) -> pa.RecordBatch:
         rows = []
         for shingle, members in lists:
             if len(members) <= SHORT:
-                rows += [(None, a[0], None, b[0]) for a, b in combinations(members, 2) if fits(a[1], b[1])]
+                rows += [(None, a[0], None, b[0]) for a, b in combinations(members, 2) if fits(a[1], b[1], percent)]
         return _batch(list(zip(*rows, strict=True)) or [[]] * 4, FOUND)
 
     shingle, held, long, first, lists, out = None, [], False, None, [], []
@@ -165,7 +169,7 @@ def _candidates(stream):
                 held, members = [(name, n)], [(name, n)]
             for m in members:
                 out.append((s, m[0], m[1], None))
-                if not fits(first[1], m[1]):
+                if not fits(first[1], m[1], percent):
                     first = m
                 elif m is not first:
                     out.append((None, first[0], None, m[0]))
@@ -179,7 +183,7 @@ def _candidates(stream):
     yield made(lists)
 
 
-def _across(stream):
+def _across(stream, percent: int):
     """Open lists in blocks (shingle, i, j): pairs of different components that size and sketch allow."""
 
     def pairs(rows: list) -> pa.RecordBatch:
@@ -187,7 +191,7 @@ def _across(stream):
         order = np.argsort(size, kind="stable")
         name, block, size, part, sketch = (c[order] for c in (name, block, size, part, sketch))
         sketch = sketch.view(np.uint64)
-        far = np.searchsorted(size, size * 100 // PERCENT, "right")
+        far = np.searchsorted(size, size * 100 // percent, "right")
         split = len(set(block.tolist())) > 1
         a, b = [], []
         for k in range(len(name)):
@@ -196,7 +200,7 @@ def _across(stream):
             if split:
                 other = other[block[other] != block[k]]
             differ = np.bitwise_count(sketch[other] ^ sketch[k]).sum(1, dtype=np.int64)
-            other = other[possible(differ, size[other] + size[k])]
+            other = other[possible(differ, size[other] + size[k], percent)]
             a += [name[k]] * len(other)
             b += name[other].tolist()
         return _batch([a, b], "a long, b long")
@@ -213,15 +217,16 @@ def _across(stream):
         yield pairs(held)
 
 
-def possible(differ, total):
+def possible(differ, total, percent: int = PERCENT):
     """Whether sets of so many elements together may link if they differ in at least ``differ``."""
-    return (100 + PERCENT) * differ <= (100 - PERCENT) * total
+    return (100 + percent) * differ <= (100 - percent) * total
 
 
 class _Join:
     """The steps that both rounds of verifying share."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame):
+    def __init__(self, docs: DataFrame, sets: DataFrame, size: int, percent: int):
+        self.size, self.percent = size, percent
         named = sets.filter("name is not null")
         self.docs = docs
         self.reps = named.groupBy("name").agg(
@@ -234,7 +239,7 @@ class _Join:
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
         bits = F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         differ = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
-        return joined.filter(possible(differ, F.col("n_a") + F.col("n_b"))).select("a", "b")
+        return joined.filter(possible(differ, F.col("n_a") + F.col("n_b"), self.percent)).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs, by the whole sets; a set's partners are compared in blocks."""
@@ -256,18 +261,20 @@ class _Join:
         )
         rows = first.unionByName(second).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
 
+        size, percent = self.size, self.percent
+
         def run(stream):
             hashes, own = WordHashes(), None
             for batch in slices(stream, 3):
                 a, b = [], []
                 columns = [c.to_pylist() for c in batch.columns[:3]]
                 for left, _, right, text in zip(*columns, texts(batch.column(3)), strict=True):
-                    given = shingles(text, hashes)
+                    given = shingles(text, hashes, size)
                     if right is None:
                         own = given
                         continue
                     both = len(np.intersect1d(own, given, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(own) + len(given) - both):
+                    if 100 * both >= percent * (len(own) + len(given) - both):
                         a.append(left)
                         b.append(right)
                 yield _batch([a, b], "a long, b long")
@@ -283,20 +290,22 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
-def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document (and text): id, key, n, name of its set, component_id."""
+def group_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """Per document (and text): id, key, n, name of its set, the component's own name (part) and component_id."""
     spark = docs.sparkSession
     source = _keyed(docs, id_col, text_col)
-    both = stored(source.mapInArrow(_sets, SETS), "sets")
+    both = stored(source.mapInArrow(_sets(size), SETS), "sets")
     sets = both.filter("id is not null").select("id", "key", "n", "name", "sketch")
     total = sets.count()
     common = both.filter("shingle is not null").groupBy("shingle").agg(F.sum("documents").alias("documents"))
     common = common.filter(F.col("documents") > COMMON * total).select("shingle").toArrow()["shingle"].to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(np.append(common, -1).view(np.uint64)))
-    entries = source.select("text").mapInArrow(_entries(shared), ENTRIES)
+    entries = source.select("text").mapInArrow(_entries(shared, size, percent), ENTRIES)
     entries = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "name")
-    found = stored(entries.mapInArrow(_candidates, FOUND), "candidates")
-    join = _Join(source, sets)
+    found = stored(entries.mapInArrow(lambda stream: _candidates(stream, percent), FOUND), "candidates")
+    join = _Join(source, sets, size, percent)
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     likely = stored(join.sketched(found.filter("b is not null").select(*pair).distinct()), "likely")
     links = join.verified(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -318,7 +327,7 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "name", "block", "n", "part", "sketch",
     )
     dealt = split.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    rest = stored(dealt.mapInArrow(_across, "a long, b long").select(*pair).distinct(), "open")
+    rest = stored(dealt.mapInArrow(lambda stream: _across(stream, percent), "a long, b long").select(*pair).distinct(), "open")
     more = join.verified(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = links.unionByName(more)
     links = links.unionByName(join.verified(_apart(rest, components(links))))
@@ -330,7 +339,7 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least.agg(F.min(F.when(F.col("id") != NULL_ID, F.col("id"))).alias("component_id"), F.min("id").alias("first"))
     own = F.when(F.col("id") != NULL_ID, F.col("id"))
     return grouped.join(least, "part", "left").select(
-        own.alias("doc_id"), "id", "key", F.col("n").alias("n_shingles"), "name",
+        own.alias("doc_id"), "id", "key", F.col("n").alias("n_shingles"), "name", "part",
         F.when(F.col("part").isNull(), own).otherwise(F.col("component_id")).alias("component_id"),
     )
 

@@ -1,15 +1,16 @@
 """Quality rules: base rules on each text, and cross-document line frequency per host.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to single blanks) and hashed. A line counts, per
-host (the ``source`` column), once for every distinct document that holds it; documents
-whose other lines share the smallest hash of two neighbouring words count as one, so copies and near copies of one
-document do not make its lines look like boilerplate. Lines in more than ``MIN_DOCUMENTS`` documents and more than ``HOST_SHARE`` of the host's are above the
+host (the ``source`` column), once for every distinct document that holds it; copies,
+and near copies whose whole texts have ``NEAR_PERCENT`` of their word pairs in common, count as one, so they do not
+make a document's lines look like boilerplate. Lines in more than ``MIN_DOCUMENTS`` documents and more than ``HOST_SHARE`` of the host's distinct texts are above the
 limits and are removed. A document that keeps less than ``DEPLETED`` of its words is rejected, as is one that fails a
 base rule.
 
-One pass writes a narrow row per document and line; these rows are counted with partial aggregation, joined with the
-lines above the limits (adaptive execution splits a hot line) and summed per document. Texts are not shuffled, but
-for ``cleaned``, which returns them.
+One pass writes a narrow row per document and line; these rows are counted by distinct texts with partial aggregation
+and joined with the lines above the limits (adaptive execution splits a hot line). Only the documents of those lines are
+then joined by whole content (the exact join of ``jaccard_join``, on word pairs), their lines counted again by groups of
+near copies and summed per document. Other texts are not shuffled, but for ``cleaned``, which returns them.
 
 Defined cases: a null or empty text has no words and fails; a null host is a host of its own; rows of one
 doc_id and one text count as one document; blank lines are neither counted nor removed; an empty table gives an
@@ -18,9 +19,6 @@ empty result; other columns are ignored (or passed through by ``cleaned``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from hashlib import md5
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import WordHashes, gram_hashes, slices, stored, texts
+from paperloom.llm.jaccard_join import BROADCAST_ROWS, group_documents
 
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
 MIN_DOCUMENTS = 20
 HOST_SHARE = 0.01
 DEPLETED = 0.3
+# Near copies: pairs of neighbouring words in common, of those that either text holds.
+NEAR_PERCENT = 90
 
 _SYMBOLS = b"#*$%&|<>"
 _ZERO = bytes.maketrans(b"0123456789", b"0" * 10)
@@ -41,7 +42,7 @@ _ZERO = bytes.maketrans(b"0123456789", b"0" * 10)
 _NOT_WORD_START = bytes([*range(9, 14), 32, *range(0x80, 0xC0)])
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LINES = "host string, line long, family long, document long, id long, key int, words int, text_words long"
+LINES = "host string, line long, content long, id long, key int, words int, text_words long"
 
 
 def normalised(line: bytes) -> bytes:
@@ -83,22 +84,6 @@ def base_row(text: bytes, hashes: WordHashes) -> tuple[int, int, int, int, int]:
     )
 
 
-def least_pair(form: bytes) -> int:
-    """The smallest hash of a line's pairs of neighbouring words (or its only word), as a signed number."""
-    words = form.split()
-    pairs = [a + b" " + b for a, b in zip(words, words[1:], strict=False)] or words
-    return int.from_bytes(min(md5(p).digest()[:8] for p in pairs)) - (1 << 63)
-
-
-def families(forms: Iterable[bytes]) -> tuple[dict[bytes, int], int]:
-    """For each line of a document the smallest hash of its other lines, and the smallest of all."""
-    least = {form: least_pair(form) for form in forms}
-    ranked = sorted(least, key=least.get)
-    first, second = [least[f] for f in ranked[:2]] if len(ranked) > 1 else ([*least.values(), 0][0], None)
-    own = {form: second if form == ranked[0] else first for form in ranked}
-    return {form: own[form] if own[form] is not None else least[form] for form in ranked}, first
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
@@ -110,7 +95,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 def _line_rows(stream):
     for batch in slices(stream, 2):
-        rows: list[list] = [[] for _ in range(8)]
+        rows: list[list] = [[] for _ in range(7)]
         for id_, key, text, host in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist(), strict=True
         ):
@@ -120,27 +105,42 @@ def _line_rows(stream):
                 form = normalised(line)
                 if form:
                     lengths[form] = lengths.get(form, 0) + form.count(b" ") + 1
-            family, document = families(lengths)
+            content = line_hash(text)
             for form, n in lengths.items():
-                for column, value in zip(
-                    rows, (host, line_hash(form), family[form], document, id_, key, n, len(words)), strict=True
-                ):
+                for column, value in zip(rows, (host, line_hash(form), content, id_, key, n, len(words)), strict=True):
                     column.append(value)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], [f.split()[0] for f in LINES.split(", ")]
         )
 
 
+def _near_copies(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The group of copies and near copies (part) of the wanted documents (id, key), among each other."""
+    wanted = stored(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    own = stored(keyed.join(wanted, ["id", "key"]).select("id", "text"), "held_texts")
+    return group_documents(own, "id", "text", 2, NEAR_PERCENT).select("id", "key", "part").dropDuplicates(["id", "key"])
+
+
 def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per document with lines above the limits: id, key, those lines' hashes and words, and its number of words."""
-    lines = stored(_keyed(docs, id_col, text_col, host_col).mapInArrow(_line_rows, LINES), "lines")
-    lines = lines.withColumn("host", F.coalesce("host", F.lit("\0")))
-    counts = lines.select("host", "line", "family").distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
-    hosts = lines.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    keyed = _keyed(docs, id_col, text_col, host_col)
+    lines = stored(keyed.mapInArrow(_line_rows, LINES), "lines").withColumn("host", F.coalesce("host", F.lit("\0")))
+    counts = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
+    hosts = lines.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of"))
     above = (F.col("documents") > MIN_DOCUMENTS) & (F.col("documents") > HOST_SHARE * F.col("of"))
-    above = counts.filter(F.col("documents") > MIN_DOCUMENTS).join(hosts, "host").filter(above).select("host", "line")
-    hit = lines.join(above, ["host", "line"]).dropDuplicates(["id", "key", "line"])
+    often = counts.filter(F.col("documents") > MIN_DOCUMENTS).join(hosts, "host").filter(above).select("host", "line", "of")
+    held = stored(lines.join(often, ["host", "line"]), "held")
+    if held.isEmpty():
+        hit = held
+    else:
+        groups = _near_copies(keyed, held.select("id", "key").distinct())
+        counts = held.join(groups, ["id", "key"]).select("host", "line", "of", "part").distinct()
+        counts = counts.groupBy("host", "line", "of").agg(F.count("*").alias("documents"))
+        hit = held.join(counts.filter(above).select("host", "line"), ["host", "line"])
+    hit = hit.dropDuplicates(["id", "key", "line"])
     return hit.groupBy("id", "key").agg(
         F.collect_list("line").alias("lines"), F.sum("words").alias("gone"), F.first("text_words").alias("text_words")
     )

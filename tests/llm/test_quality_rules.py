@@ -66,3 +66,15 @@ def test_cleaned_agrees_with_the_verdict(spark, awkward):
         assert sorted(str(r.doc_id) for r in left.collect()) == kept
     texts = {r.doc_id: r.text for r in op.cleaned(planted(spark)).collect()}
     assert "SUBSCRIBE" not in texts[0] and "subscribe" in texts[100]
+
+
+def test_boilerplate_heavy_documents_count_each(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    docs = []
+    for host in range(5):
+        common = [line(20) for _ in range(4)]
+        docs += [(100 * host + k, "\n".join([*common, line(10)]), None, f"h{host}", None) for k in range(30)]
+    rows = op.judge(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {(r.n_frequent_words, r.kept) for r in rows} == {(80, False)}
+    assert op.cleaned(spark.createDataFrame(docs, SCHEMA)).count() == 0
