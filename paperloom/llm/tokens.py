@@ -2,7 +2,8 @@
 
 Byte-level pieces never reach over a space between two other characters, so the ids of a text are those of
 its space-separated chunks one after the other. A task keeps the ids of chunks and words that it has met and
-hands only new ones to the tokenizers library; the ids are those of encoding the text at once.
+hands only new ones to the tokenizers library; the ids are those of encoding the text at once. A text that holds
+an added token, such as the end mark, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -96,7 +97,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self.vocabulary = tokenizer.get_vocab_size()
         self.type = f"<u{id_width(self.vocabulary)}"
         self._bare = _Ids(tokenizer, "", None)
@@ -115,7 +117,9 @@ class Encoder:
         """The ids of each text; null is empty."""
         out, spaced = [], self._spaced.__getitem__
         for text in texts:
-            if text:
+            if text and self._added(text):
+                out.append(self._bare._plain(text))
+            elif text:
                 chunks = self._chunks(text)
                 first = self._bare[chunks[0]]
                 del chunks[0]

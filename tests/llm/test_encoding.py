@@ -78,3 +78,12 @@ def test_small_blocks(spark, awkward, pairs, monkeypatch):
     ids = [d for b in blocks for d in b.doc_ids if d is not None]
     assert ids == sorted(ids)
     assert sum(sum(b.n_ids) for b in blocks) == sum(r[2] for r in expected(pairs))
+
+
+def test_added_tokens_get_the_ids_of_an_unmodified_tokenizer():
+    own = Tokenizer.from_file(tokenizer_path())
+    marks = [t.content for t in own.get_added_tokens_decoder().values()]
+    assert marks
+    texts = [t for m in marks for t in (m, f"a {m} b", f"a{m}b  {m}\n c", f"a {m[:-1]} b", f"{m}{m} d'll")]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(c, ENCODER.type).tolist() for c in Encoder(tokenizer_path()).encode(texts)] == want
