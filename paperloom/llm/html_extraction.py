@@ -44,7 +44,10 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
-_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "option"}
+_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg"}
+# Lists of choices, whose texts are no blocks, and what may stand in one whose end tag is missing.
+_CHOICES = {"select", "datalist"}
+_IN_CHOICES = {"option", "optgroup", "hr", "label", *_CHOICES}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
@@ -69,7 +72,7 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack: list[str] = []
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, at, choices = 0, 0, 0, ""
 
     def close() -> None:
         nonlocal parts, linked
@@ -88,13 +91,22 @@ def blocks(html: str) -> list[Block]:
     for m in _TAG.finditer(html):
         if m.start() < at:
             continue
-        if m.start() > at:
+        if m.start() > at and not choices:
             parts.append(html[at : m.start()])
             linked += (m.start() - at) if in_link else 0
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if choices:
+            if m[1] and tag == choices:
+                choices = ""
+                continue
+            inner = not any(n.split(" ", 1)[0] == tag for n in stack) if m[1] else tag in _INLINE | _IN_CHOICES
+            if inner:
+                continue
+            if tag not in _RAW:
+                choices = ""
         if tag in _INLINE:
             if tag == "a":
                 in_link = 0 if m[1] else 1
@@ -106,11 +118,19 @@ def blocks(html: str) -> list[Block]:
         elif tag in _RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
+        elif tag in _CHOICES and not m[3].endswith("/"):
+            end = re.compile(rf"<(/?){tag}\b[^>]*>", re.IGNORECASE).search(html, at)
+            if end and end[1]:
+                at = end.end()
+            else:
+                choices = tag
+        elif tag == "option":
+            choices = tag
         elif tag not in _VOID:
             drop(_CLOSED_BY_BLOCK)
             drop(_SELF_CLOSING.get(tag, set()))
             stack.append(_names(tag, m[3]))
-    if at < len(html):
+    if at < len(html) and not choices:
         parts.append(html[at:])
     close()
     return out

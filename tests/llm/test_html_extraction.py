@@ -104,3 +104,18 @@ def test_awkward_rows(spark, labeller):
     assert {r.text for r in got.filter("page_id = 1").collect()} == {""}
     empty = pages.limit(0)
     assert op.extract(empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<datalist><option value=a><option value=b></datalist><article><p>text</article>", ["text"]),
+        ("<p>a<datalist id=x><option>one<option>two</datalist><p>b<select><option>c</select>d", ["a", "b", "d"]),
+        ("<p>a<select><optgroup label=x><option>one<option>two</select><div>b</div>", ["a", "b"]),
+        ("<div><select><option>one<option>two</div><p>b<select><option>c</select><p>d", ["b", "d"]),
+        ("<datalist><option>one<p>b", ["b"]),
+        ("<option>one<option>two<p>b</p><option>c</option>d", ["b", "d"]),
+    ],
+)
+def test_options_without_end_tags(page, want):
+    assert text_of(page) == want
