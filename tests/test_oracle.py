@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 from oracle_check import connect, difference
 
 from paperloom.plans.oracle import ORACLE

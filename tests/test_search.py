@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import MEDIUM, SMALL
+from paths import MEDIUM, SMALL
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx

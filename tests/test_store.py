@@ -9,7 +9,7 @@ from paperloom.plans import driver_tables as dt
 from paperloom.plans.ingest import ingest_documents
 from paperloom.sources import state
 from paperloom.sources.store import CorpusStore
-from conftest import SMALL
+from paths import SMALL
 from pyspark.sql import functions as F
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from conftest import SMALL
+from paths import SMALL
 from office_files import write_docx
 from pyspark.sql import functions as F
 
