@@ -137,4 +137,111 @@ SELECT page_id, host, path, rule, coalesce(act, CASE WHEN blocked THEN 'block' E
 FROM t LEFT JOIN ruled USING (r) LEFT JOIN blocked USING (host, template)
 """
 
-ORACLE: dict[str, str] = {"op6_quality_rules": OP6, "op7_decontamination": OP7, "op10_url_filters": OP10}
+
+def _field11(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR)::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+def _leaf11(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field11, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _tree11(name: str, base: str, by: str, levels: int) -> str:
+    """CTEs: level tables of one kind of tree, then per row of ``base`` its left and right siblings on each level."""
+    parts = [f"{name}0 AS ({base})"]
+    for k in range(levels):
+        parts.append(
+            f"{name}{k + 1} AS (SELECT {by}, idx // 16 AS idx, (m + 15) // 16 AS m, "
+            f"CASE WHEN m > 1 THEN sha256(string_agg(digest, '' ORDER BY idx)) ELSE any_value(digest) END AS digest "
+            f"FROM {name}{k} GROUP BY {by}, idx // 16, m)"
+        )
+        frame = f"PARTITION BY {by}, idx // 16 ORDER BY idx ROWS BETWEEN"
+        parts.append(
+            f"{name}s{k} AS (SELECT {by}, idx, m > 1 AS step, "
+            f"coalesce(string_agg(digest, '') OVER ({frame} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+            f"coalesce(string_agg(digest, '') OVER ({frame} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})"
+        )
+    return ",\n".join(parts)
+
+
+# Eight levels of 16 hold four thousand million leaves a source, and four hold 65,536 sources.
+_LEVELS11, _TOP11 = 8, 4
+# The checksum of an id's digits, bit by bit.
+_CRC11 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda x: list_transform(range(0, 8), lambda j: (ascii(x) >> j::INTEGER) & 1)))), lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b::BIGINT) & 1))))"""
+
+
+def _fold11() -> str:
+    """The folds of the changed leaf, level by level, through both trees."""
+    steps, value = [], "changed"
+    for name, levels in (("n", _LEVELS11), ("t", _TOP11)):
+        for k in range(levels):
+            steps.append(
+                f"f{name}{k} AS (SELECT f.* EXCLUDE (fold, sib), CASE WHEN step THEN sha256(l || fold || r) ELSE fold END AS fold, "
+                f"CASE WHEN step THEN sib || l || r ELSE sib END AS sib FROM {value} f JOIN {name}s{k} s "
+                + (f"ON f.host = s.host AND f.idx // {16**k} = s.idx)" if name == "n" else f"ON f.place // {16**k} = s.idx)")
+            )
+            value = f"f{name}{k}"
+    return ",\n".join(steps)
+
+
+OP11 = f"""
+WITH d AS (
+  SELECT doc_id, source, {_leaf11("text")} AS leaf,
+    {_leaf11(f"CASE WHEN {_CRC11} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")} AS fold
+  FROM documents
+),
+placed AS (
+  SELECT *, coalesce('+' || source, '') AS host, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS m, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM d
+),
+{_tree11("n", "SELECT host, idx, m, leaf AS digest FROM placed", "host", _LEVELS11)},
+subroots AS (SELECT place, digest FROM n{_LEVELS11} JOIN (SELECT DISTINCT host, place FROM placed) USING (host)),
+{_tree11("t", "SELECT 0 AS one, place AS idx, (SELECT count(*) FROM subroots) AS m, digest FROM subroots", "one", _TOP11)},
+changed AS (SELECT doc_id, leaf, host, idx, place, fold, '' AS sib FROM placed),
+{_fold11()}
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(sib) AS proof_sha256, fold AS folded_root, fold = t.digest AS verified
+FROM ft{_TOP11 - 1} JOIN subroots s USING (place), t{_TOP11} t
+"""
+
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (
+  SELECT r, pos, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)
+),
+frequent AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+judged AS (SELECT r, pos, line, key IN (SELECT key FROM frequent) AS gone FROM lines)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged JOIN d USING (r) GROUP BY r, doc_id
+"""
+
+OP13 = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike,
+    CAST(list_sum(list_transform(range(1, least(len(a.q), len(r.q)) + 1), lambda k: a.q[k] * r.q[k])) AS BIGINT) AS score
+  FROM valid a JOIN valid r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, coalesce(score, 0) AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 10
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_quality_rules": OP6, "op7_decontamination": OP7, "op10_url_filters": OP10, "op11_merkle_manifest": OP11,
+    "op12_line_dedup": OP12, "op13_hard_negatives": OP13,
+}

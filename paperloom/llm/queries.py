@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import (
-    decontamination, encoding, html_extraction, jaccard_join, lm_scoring, packing, quality_rules, substring_dedup,
-    suffix_dedup, url_filters,
+    decontamination, encoding, hard_negatives, html_extraction, jaccard_join, line_dedup, lm_scoring, merkle_manifest, packing,
+    quality_rules, substring_dedup, suffix_dedup, url_filters,
 )
 from paperloom.llm.common import table
 
@@ -64,6 +64,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.digest(url_filters.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, checked against a tampered table."""
+    return merkle_manifest.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more, dropped from all."""
+    return line_dedup.digest(line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives in the windows of every anchor's positives."""
+    return hard_negatives.query(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -75,4 +90,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_filters": op10_url_filters,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }

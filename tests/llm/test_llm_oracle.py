@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     cursor = db.execute(ORACLE[name])
     columns = sorted(d[0] for d in cursor.description)
@@ -25,5 +25,5 @@ def test_equals_sql(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=str) == want
 
 
-def test_ten_operators():
-    assert [n.split("_")[0] for n in REGISTRY] == [f"op{k}" for k in range(1, 11)]
+def test_all_operators():
+    assert [n.split("_")[0] for n in REGISTRY] == [f"op{k}" for k in range(1, 14)]
