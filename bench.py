@@ -49,7 +49,7 @@ def main() -> None:
     from paperloom.operators import index as ix
     from paperloom.plans import driver_tables as dt
     from paperloom.plans import ingest
-    from paperloom.plans.queries import REGISTRY
+    from paperloom.plans.catalog import REGISTRY
     from paperloom.session import local_session
     from paperloom.sources.store import CorpusStore
 

@@ -58,12 +58,12 @@ def term_counts(docs: DataFrame, text: Column, *keys: str,
     return exploded.groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
-def postings(docs: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """One row per document and term: keys, ``dl``, ``term``, ``tf``, ``positions``; no shuffle.
+def term_runs(docs: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """One row per document: keys, ``dl`` and ``runs``, an array of (term, tf, positions) sorted by term.
 
     Sorting the (term, position) pairs of a document puts equal terms side by side; each run of
-    equal terms becomes one posting. The runs are built as one array before they are exploded, so
-    that the document's own arrays are not copied onto every output row.
+    equal terms becomes one posting. All happens inside the row, so that the document's own
+    arrays are not copied onto every posting.
     """
     pairs = docs.select(*keys, tx.tokens(text).alias("_tokens")).select(
         *keys,
@@ -91,8 +91,13 @@ def postings(docs: DataFrame, text: Column, *keys: str) -> DataFrame:
             F.transform(F.slice("_pairs", start, length), lambda x: x["p"]).alias("positions"),
         )
 
-    runs = starts.select(*keys, "dl", F.transform("_starts", run).alias("_runs"))
-    return runs.select(*keys, "dl", F.inline_outer("_runs")).where(F.col("term").isNotNull())
+    return starts.select(*keys, "dl", F.transform("_starts", run).alias("runs"))
+
+
+def postings(docs: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """One row per document and term: keys, ``dl``, ``term``, ``tf``, ``positions``; no shuffle."""
+    runs = term_runs(docs, text, *keys)
+    return runs.select(*keys, "dl", F.inline_outer("runs")).where(F.col("term").isNotNull())
 
 
 def doc_freq(counts: DataFrame, *by: str) -> DataFrame:
@@ -110,17 +115,18 @@ def field_stats(lengths: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def corpus_postings(corpus: DataFrame) -> DataFrame:
-    """Postings of content and comments of a corpus table, in `POSTINGS_SCHEMA` order.
-
-    Each document is read once: its two fields become two rows of a small in-row array.
-    """
+def field_rows(corpus: DataFrame, *more: str) -> DataFrame:
+    """(doc_type, id, ``more``, field, text): content and comments of every document, each document read once."""
     fields = F.array(
         F.struct(F.lit("content").alias("field"), F.col("content").alias("text")),
         F.struct(F.lit("comments").alias("field"), tx.comments_text(F.col("comments")).alias("text")),
     )
-    rows = corpus.select("doc_type", "id", F.inline(fields))
-    return postings(rows, F.col("text"), "doc_type", "id", "field").select(
+    return corpus.select("doc_type", "id", *more, F.inline(fields))
+
+
+def corpus_postings(corpus: DataFrame) -> DataFrame:
+    """Postings of content and comments of a corpus table, in `POSTINGS_SCHEMA` order."""
+    return postings(field_rows(corpus), F.col("text"), "doc_type", "id", "field").select(
         *POSTINGS_SCHEMA.fieldNames()
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,11 @@ def suggest(terms: DataFrame, prefix: str, kinds: Sequence[str] = KIND_NAMES,
     matching = terms.where(F.col("doc_type").isin(*kinds) & F.col("term").startswith(wanted))
     per_index = Window.partitionBy("doc_type").orderBy("term")
     offered = matching.withColumn("_n", F.row_number().over(per_index)).where(F.col("_n") <= size)
+    return grouped_suggestions(offered, size, main)
+
+
+def grouped_suggestions(offered: DataFrame, size: int, main: str) -> DataFrame:
+    """The first ``size`` terms of what the indices offer: rows (doc_type, term, _n)."""
     ranked = offered.withColumn("_rank", kind_rank(F.col("doc_type")))
     grouped = ranked.groupBy(F.col("term").alias("label")).agg(
         F.min(F.struct("_rank", "_n")).alias("_first"),
@@ -76,3 +82,72 @@ def suggest(terms: DataFrame, prefix: str, kinds: Sequence[str] = KIND_NAMES,
     )
     names = F.transform("_kinds", lambda k: index_name(main, k["doc_type"]))
     return grouped.orderBy("_first").limit(size).select("label", names.alias("index_names"))
+
+
+# --- the prefix table -----------------------------------------------------------------------
+
+# Longer prefixes have few terms and are looked up in the sorted term table.
+LONGEST_PREFIX = 24
+PREFIX_SCHEMA = "prefix string, terms array<string>, doc_type string"
+
+
+def prefix_table(terms: DataFrame, size: int = SUGGESTIONS) -> DataFrame:
+    """(doc_type, prefix, terms): the first ``size`` terms of every prefix of up to `LONGEST_PREFIX` letters.
+
+    The empty prefix and single letters hold a large share of all terms; every task keeps its own
+    first terms of a prefix before the shuffle.
+    """
+    ends = F.sequence(F.lit(0), F.least(F.length("term"), F.lit(LONGEST_PREFIX)))
+    each = terms.select("doc_type", "term", F.explode(F.transform(ends, lambda n: F.substr("term", F.lit(1), n))).alias("prefix"))
+    order = Window.partitionBy("doc_type", "prefix").orderBy("term")
+    first = each.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size)
+    return first.groupBy("doc_type", "prefix").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+
+
+def merged_prefixes(tables: Sequence[DataFrame], size: int = SUGGESTIONS) -> DataFrame:
+    """One prefix table for several: the first ``size`` of the union are the first of their first ones.
+
+    The order of merging does not matter, so parts of a corpus can be added as they come.
+    """
+    together = reduce(lambda a, b: a.unionByName(b), [t.select("doc_type", "prefix", "terms") for t in tables])
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))), 1, size)
+    return together.groupBy("doc_type", "prefix").agg(best.alias("terms"))
+
+
+def without_terms(table: DataFrame, gone: DataFrame, left: DataFrame, size: int = SUGGESTIONS) -> DataFrame:
+    """The prefix table after terms (doc_type, term) have gone for good; ``left`` are the terms that are left.
+
+    Only prefixes that offered a gone term are made anew.
+    """
+    ends = F.sequence(F.lit(0), F.least(F.length("term"), F.lit(LONGEST_PREFIX)))
+    touched = gone.select("doc_type", F.explode(F.transform(ends, lambda n: F.substr("term", F.lit(1), n))).alias("prefix")).distinct()
+    kept = table.join(touched, ["doc_type", "prefix"], "left_anti").select("doc_type", "prefix", "terms")
+    anew = prefix_table(left, size).join(touched, ["doc_type", "prefix"], "left_semi")
+    return kept.unionByName(anew.select("doc_type", "prefix", "terms"))
+
+
+def write_prefixes(table: DataFrame, path: str) -> None:
+    """Store a prefix table by kind and sorted by prefix, so that a lookup reads one row group per kind."""
+    (
+        table.select("prefix", "terms", "doc_type")
+        .repartitionByRange("doc_type", "prefix")
+        .sortWithinPartitions("doc_type", "prefix")
+        .write.mode("overwrite")
+        .partitionBy("doc_type")
+        .parquet(path)
+    )
+
+
+def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PREFIX_SCHEMA).parquet(path)
+
+
+def suggest_by_table(table: DataFrame, terms: DataFrame, prefix: str, kinds: Sequence[str] = KIND_NAMES,
+                     case_sensitive: bool = False, size: int = SUGGESTIONS, main: str = INDEX_NAME) -> DataFrame:
+    """`suggest` by a lookup of one row per index; the table holds at least ``size`` terms per prefix."""
+    wanted = prefix if case_sensitive else prefix.lower()
+    if len(wanted) > LONGEST_PREFIX:
+        return suggest(terms, prefix, kinds, case_sensitive, size, main)
+    rows = table.where(F.col("doc_type").isin(*kinds) & (F.col("prefix") == wanted))
+    offered = rows.select("doc_type", F.posexplode(F.slice("terms", 1, size)).alias("_n", "term"))
+    return grouped_suggestions(offered.withColumn("_n", F.col("_n") + 1), size, main)

@@ -6,14 +6,18 @@ bodies, events the job runs and the activity log, labels sparse metadata.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import hashing, naming
 from paperloom.functions import text as tx
+from paperloom.operators.block_index import BlockIndex
 from paperloom.plans.columns import computed_once
 from paperloom.plans.sizing import spread_small
 from paperloom.schemas import KINDS, MAIL_KINDS, OFFICE_KINDS
+from paperloom.session import shared_folder
 from paperloom.sources.pages import first_appearance_words
 
 SCAN_PATH = "/scan/"
@@ -155,6 +159,25 @@ def nested_comments(spark: SparkSession, sf_dir: str, only: list[int] | None = N
     return rows.groupBy("doc_id").agg(F.transform(ordered, lambda x: x["c"]).alias("comments"))
 
 
+def commented_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus rows with their comments nested."""
+    comments = nested_comments(spark, sf_dir)
+    none = F.array().cast(comments.schema["comments"].dataType)
+    rows = corpus_without_hash(spark, sf_dir).join(comments, "doc_id", "left")
+    return rows.withColumn("comments", F.coalesce("comments", none))
+
+
+_INDICES: dict[tuple, BlockIndex] = {}
+
+
+def block_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
+    """The block index of the corpus: written once per application and folder of tables, read by every search after."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDICES:
+        _INDICES[key] = BlockIndex(spark, f"{shared_folder(spark)}/index-{uuid4().hex}").build(commented_corpus(spark, sf_dir))
+    return _INDICES[key]
+
+
 def previous_state(corpus_rows: DataFrame) -> DataFrame:
     """The state a previous run left: tenth part missing, tenth part changed, some files gone."""
     doc_id = F.col("doc_id")

@@ -54,8 +54,7 @@ def difference(con, spark, query, sql: str, sf_dir: str) -> str | None:
 
 
 def main() -> None:
-    from paperloom.plans.oracle import ORACLE
-    from paperloom.plans.queries import REGISTRY
+    from paperloom.plans.catalog import ORACLE, REGISTRY
     from paperloom.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"

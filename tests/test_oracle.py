@@ -6,8 +6,7 @@ import pytest
 from paths import SMALL
 from oracle_check import connect, difference
 
-from paperloom.plans.oracle import ORACLE
-from paperloom.plans.queries import REGISTRY
+from paperloom.plans.catalog import ORACLE, REGISTRY
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ from paperloom.operators import corpus as corpus_ops
 from paperloom.operators import hits, index, search, suggest
 from paperloom.plans import driver_tables as dt
 from paperloom.plans.columns import literal_rows
-from paperloom.plans.queries import REGISTRY
+from paperloom.plans.catalog import REGISTRY
 from paperloom.plans.sizing import broadcast_if_small, estimated_bytes, spread_small
 from paperloom.session import shared_folder
 from paperloom.sources import pages
