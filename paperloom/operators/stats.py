@@ -12,6 +12,8 @@ TOTAL = "total"
 # States of a job; a job nobody reported on is undefined.
 JOB_STATES = ("Running", "Stopped", "Undefined")
 UNDEFINED = "Undefined"
+# What the statistics of an index count.
+OPERATIONS = ("fetch", "query", "suggest")
 
 
 def index_statistics(corpus: DataFrame, main: str = INDEX_NAME) -> DataFrame:
@@ -45,6 +47,23 @@ def activity_counters(log: DataFrame, operation: str, millis: Column) -> DataFra
     )
 
 
+def index_activity(corpus: DataFrame, log: DataFrame, main: str = INDEX_NAME) -> DataFrame:
+    """Every existing index with its size and what was done with it; zero where nothing was.
+
+    ``log`` has (doc_type, operation, millis), one row per call; other operations are left out.
+    Both sides are one row per kind when they meet.
+    """
+    done = F.col("operation")
+    calls = [F.count_if(done == o).alias(f"{o}_total") for o in OPERATIONS]
+    times = [F.sum(F.when(done == o, F.col("millis"))).alias(f"{o}_time_ms") for o in OPERATIONS]
+    per_kind = log.groupBy(index_name(main, F.col("doc_type")).alias("index_name")).agg(*calls, *times)
+    joined = index_statistics(corpus, main).join(per_kind, "index_name", "left")
+    counters = [f"{o}_{what}" for o in OPERATIONS for what in ("time_ms", "total")]
+    return joined.select(
+        "index_name", "doc_count", "size_in_bytes", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counters]
+    )
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The run of every model that ended last (the larger id among equals)."""
     columns = [c for c in runs.columns if c != "model"]

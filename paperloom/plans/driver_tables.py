@@ -226,3 +226,7 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("end_job"),
         millis.alias("elapsed_time_millis"),
     )
+
+
+# Three event types play what users do with an index.
+EVENT_OPERATIONS = (("view", "fetch"), ("click", "query"), ("purchase", "suggest"))

@@ -476,6 +476,22 @@ FROM corpus GROUP BY doc_type""",
 SELECT 'officedocuments-' || doc_type AS index_name, count(*) AS doc_count, CAST(sum(strlen(content)) AS DOUBLE) AS size_in_bytes
 FROM corpus GROUP BY doc_type
 UNION ALL SELECT 'total', count(*), CAST(sum(strlen(content)) AS DOUBLE) FROM corpus""",
+    "index_activity": f"""WITH {CORPUS},
+log AS (
+  SELECT 'officedocuments-' || {KINDS}[user_id % 6 + 1] AS index_name, event_type, CAST(round(value * 1000) AS BIGINT) AS ms FROM events),
+counts AS (
+  SELECT index_name,
+    sum(ms) FILTER (event_type = 'view') AS fetch_time_ms, count(*) FILTER (event_type = 'view') AS fetch_total,
+    sum(ms) FILTER (event_type = 'click') AS query_time_ms, count(*) FILTER (event_type = 'click') AS query_total,
+    sum(ms) FILTER (event_type = 'purchase') AS suggest_time_ms, count(*) FILTER (event_type = 'purchase') AS suggest_total
+  FROM log GROUP BY index_name),
+sizes AS (
+  SELECT 'officedocuments-' || doc_type AS index_name, count(*) AS doc_count, CAST(sum(strlen(content)) AS DOUBLE) AS size_in_bytes
+  FROM corpus GROUP BY doc_type)
+SELECT index_name, doc_count, size_in_bytes, coalesce(fetch_time_ms, 0)::BIGINT AS fetch_time_ms, coalesce(fetch_total, 0) AS fetch_total,
+  coalesce(query_time_ms, 0)::BIGINT AS query_time_ms, coalesce(query_total, 0) AS query_total,
+  coalesce(suggest_time_ms, 0)::BIGINT AS suggest_time_ms, coalesce(suggest_total, 0) AS suggest_total
+FROM sizes LEFT JOIN counts USING (index_name)""",
     "activity_counters": """
 SELECT event_type AS operation, count(*) AS total, CAST(sum(round(value * 1000)) AS BIGINT) AS time_ms
 FROM events GROUP BY event_type""",

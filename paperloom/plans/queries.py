@@ -18,7 +18,7 @@ from paperloom.plans.columns import computed_once
 from paperloom.plans.sizing import spread_small
 from paperloom.schemas import INDEX_NAME
 from paperloom.session import configure
-from paperloom.sources import mail, pages, runs, state
+from paperloom.sources import files, mail, pages, runs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -303,8 +303,8 @@ def html_to_text_plain(spark, sf_dir):
 @registered
 def comments_text(spark, sf_dir):
     """Comment texts of a document joined with a blank."""
-    whole = pages.assemble_pages(dt.conversations(spark, sf_dir), "conv_id", "turn", "text")
-    return whole.select(F.col("conv_id").alias("doc_id"), F.col("content").alias("text"))
+    rows = dt.nested_comments(spark, sf_dir)
+    return rows.select("doc_id", tx.comments_text(F.col("comments")).alias("text"))
 
 
 @registered
@@ -400,7 +400,7 @@ def props_from_json(spark, sf_dir):
 def exclude_filter(spark, sf_dir):
     """Paths that do not contain a substring (taken literally)."""
     rows = dt.table(spark, sf_dir, "pages").select("page_id", "url")
-    return rows.where(~F.col("url").contains("?page=")).select("page_id", "url")
+    return files.exclude_paths(rows, "?page=", "url")
 
 
 @registered
@@ -415,7 +415,8 @@ def search_type_filter(spark, sf_dir):
 def search_match_all(spark, sf_dir):
     """A blank phrase matches everything with score 1."""
     rows = dt.table(spark, sf_dir, "documents")
-    return rows.select("doc_id", dt.kind_of(F.col("doc_id")).alias("doc_type"), F.lit(1.0).alias("score"))
+    named = rows.select(F.col("doc_id").alias("id"), dt.kind_of(F.col("doc_id")).alias("doc_type"))
+    return search.search(named, " ").withColumnRenamed("id", "doc_id")
 
 
 @registered
@@ -718,9 +719,8 @@ def document_details(spark, sf_dir):
 def document_detail(spark, sf_dir):
     """Detail of the word document added last, looked up by its id."""
     rows = dt.corpus_without_hash(spark, sf_dir)
-    newest = rows.where(F.col("doc_type") == "word").agg(F.max_by("id", "doc_id").alias("id")).scalar()
-    found = rows.where((F.col("doc_type") == "word") & (F.col("id") == newest))
-    return _detail_texts(detail.detail_columns(found))
+    newest = rows.where(F.col("doc_type") == "word").agg(F.max_by("id", "doc_id")).first()[0]
+    return _detail_texts(detail.document_detail(rows, newest or "", "word"))
 
 
 @registered
@@ -752,6 +752,17 @@ def activity_counters(spark, sf_dir):
     return stats.activity_counters(log, "event_type", F.round(F.col("value") * 1000))
 
 
+@registered
+def index_activity(spark, sf_dir):
+    """Documents, bytes, and fetches, queries and suggestions with their milliseconds per index."""
+    operation = F.coalesce(*[F.when(F.col("event_type") == e, F.lit(o)) for e, o in dt.EVENT_OPERATIONS])
+    log = dt.table(spark, sf_dir, "events").select(
+        dt.kind_of(F.col("user_id")).alias("doc_type"), operation.alias("operation"),
+        F.round(F.col("value") * 1000).cast("long").alias("millis"),
+    )
+    return stats.index_activity(dt.corpus_without_hash(spark, sf_dir), log)
+
+
 @registered
 def latest_run(spark, sf_dir):
     """Latest run per model."""

@@ -6,11 +6,13 @@ stream form is for arrivals, re-scans use the batch run.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from paperloom.plans.ingest import ingest_documents
@@ -83,5 +85,50 @@ def cleanup_stream(deletions: DataFrame, store: CorpusStore, kind: str, checkpoi
 
 
 def progress_counters(query: StreamingQuery) -> list[tuple[int, int]]:
-    """(batch number, rows read) of the recent micro-batches."""
+    """(batch number, rows read) of the recent micro-batches; `ProgressLog` keeps all of them."""
     return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
+
+
+PROGRESS_SCHEMA = "query string, run string, name string, batch long, stamp string, rows long, counters string"
+COUNTERS = "counters"
+
+
+def counted(arrivals: DataFrame) -> DataFrame:
+    """The stream with counters of what passes by, taken in the same pass: documents seen and failed."""
+    failed = F.col("error").isNotNull() if "error" in arrivals.columns else F.lit(False)
+    return arrivals.observe(
+        COUNTERS, F.count(F.lit(1)).alias("entire_doc_count"), F.count_if(failed).alias("processing_error")
+    )
+
+
+class ProgressLog(StreamingQueryListener):
+    """Appends one row for every micro-batch of the session's queries to a table, with their `counted` counters.
+
+    Register it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 - names of the interface
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        found = p.observedMetrics.get(COUNTERS)
+        counters = json.dumps(found.asDict()) if found else None
+        row = (str(p.id), str(p.runId), p.name, p.batchId, p.timestamp, p.numInputRows, counters)
+        self.spark.createDataFrame([row], PROGRESS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def progress_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that a `ProgressLog` has written; a batch that ran again after a restart counts once, the last time."""
+    rows = spark.read.schema(PROGRESS_SCHEMA).parquet(path)
+    last = rows.groupBy("query", "batch").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("query", "batch")]), "stamp").alias("r"))
+    return last.select("query", "batch", "r.*")
