@@ -33,14 +33,16 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 _SPLIT6 = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FORM6 = r"trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[\x20\x09-\x0D]+', ' ', 'g'))"
 
-OP6 = f"""
-WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, {_SPLIT6.format("coalesce(text, '')")} AS w FROM documents),
+def quality_sql(min_documents: int = 20, host_share: float = 0.01) -> str:
+    """The verdicts under given limits for a line: distinct texts and their share of the host's."""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, dense_rank() OVER (ORDER BY coalesce(text, '')) AS key, {_SPLIT6.format("coalesce(text, '')")} AS w FROM documents),
 base AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM d
 ),
-physical AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d),
-shaped AS (SELECT doc_id, host, line, {_FORM6.format("line")} AS form FROM physical),
+physical AS (SELECT doc_id, host, key, unnest(string_split(t, chr(10))) AS line FROM d),
+shaped AS (SELECT doc_id, host, key, line, {_FORM6.format("line")} AS form FROM physical),
 dup AS (
   SELECT doc_id, sum(n - 1)::BIGINT AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM shaped WHERE form <> '' GROUP BY ALL) GROUP BY doc_id
 ),
@@ -50,19 +52,27 @@ again AS (
   SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words
   FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM windows JOIN often USING (doc_id, g)) GROUP BY doc_id
 ),
-forms AS (SELECT DISTINCT doc_id, host, form, string_split(form, ' ') AS fw FROM shaped WHERE form <> ''),
-least AS (
-  SELECT doc_id, host, form, min(md5(x)) AS m
-  FROM (SELECT doc_id, host, form, unnest(CASE WHEN len(fw) < 2 THEN fw ELSE list_transform(range(1, len(fw)), lambda k: fw[k] || ' ' || fw[k + 1]) END) AS x FROM forms) GROUP BY ALL
+forms AS (SELECT DISTINCT host, form, key FROM shaped WHERE form <> ''),
+hosts AS (SELECT host, count(DISTINCT key) AS n_host FROM forms GROUP BY host),
+held AS (
+  SELECT host, form, key, n_host FROM forms JOIN hosts USING (host)
+  WHERE (host, form) IN (
+    SELECT (host, form) FROM forms JOIN hosts USING (host) GROUP BY host, form HAVING count(*) > {min_documents} AND count(*) > {host_share} * any_value(n_host))
 ),
-ranked AS (
-  SELECT *, row_number() OVER o AS place, lead(m) OVER o AS following, first_value(m) OVER o AS document FROM least WINDOW o AS (PARTITION BY doc_id ORDER BY m, form)
+pairs AS (
+  SELECT DISTINCT key, unnest(CASE WHEN len(w) < 2 THEN [t] ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS pair
+  FROM d WHERE key IN (SELECT key FROM held)
 ),
-documents_of AS (
-  SELECT host, form, count(DISTINCT CASE WHEN place > 1 THEN document ELSE coalesce(following, m) END) AS n FROM ranked GROUP BY ALL
+own AS (
+  SELECT key FROM (SELECT key, count(*) OVER (PARTITION BY pair) AS holders FROM pairs) GROUP BY key
+  HAVING 100 * count(*) FILTER (holders = 1) >= 10 * count(*)
+),
+above AS (
+  SELECT host, form FROM (
+    SELECT host, form, any_value(n_host) AS n_host, count(own.key) + max(CASE WHEN own.key IS NULL THEN 1 ELSE 0 END) AS n
+    FROM held LEFT JOIN own ON own.key = held.key GROUP BY host, form)
+  WHERE n > {min_documents} AND n > {host_share} * n_host
 ),
-hosts AS (SELECT host, count(DISTINCT document) AS n_host FROM ranked GROUP BY ALL),
-above AS (SELECT host, form FROM documents_of JOIN hosts USING (host) WHERE n > 20 AND n > 0.01 * n_host),
 gone AS (
   SELECT doc_id, sum(len(string_split(form, ' ')))::BIGINT AS n_frequent_words FROM shaped JOIN above USING (host, form) GROUP BY doc_id
 )
@@ -73,6 +83,9 @@ SELECT base.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words,
 FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
+
+OP6 = quality_sql()
+
 OP10 = """
 WITH p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3 :] ELSE '' END AS rest FROM pages

@@ -1,16 +1,18 @@
 """Quality rules: base rules on each text, and cross-document line frequency per host.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to single blanks) and hashed. A line counts, per
-host (the ``source`` column), once for every distinct document that holds it; copies,
-and near copies whose whole texts have ``NEAR_PERCENT`` of their word pairs in common, count as one, so they do not
-make a document's lines look like boilerplate. Lines in more than ``MIN_DOCUMENTS`` documents and more than ``HOST_SHARE`` of the host's distinct texts are above the
-limits and are removed. A document that keeps less than ``DEPLETED`` of its words is rejected, as is one that fails a
-base rule.
+host (the ``source`` column), once for every distinct text that holds it. Lines in more than ``MIN_DOCUMENTS`` texts
+and more than ``HOST_SHARE`` of the host's are above the limits and are removed. A document that keeps less than
+``DEPLETED`` of its words is rejected, as is one that fails a base rule.
 
-One pass writes a narrow row per document and line; these rows are counted by distinct texts with partial aggregation
-and joined with the lines above the limits (adaptive execution splits a hot line). Only the documents of those lines are
-then joined by whole content (the exact join of ``jaccard_join``, on word pairs), their lines counted again by groups of
-near copies and summed per document. Other texts are not shuffled, but for ``cleaned``, which returns them.
+Groups of near copies would make a document's own lines look like boilerplate. So texts that hold next to nothing of
+their own count once per line together: those with less than ``OWN_PERCENT`` of their word pairs in no other text, of
+all texts that hold a line above the limits. A text that only shares boilerplate has words of its own beside it.
+
+One pass writes a narrow row per document and line; these rows are counted with partial aggregation and joined with
+the lines above the limits (adaptive execution splits a hot line). Only of texts with such lines the hashes of word
+pairs are counted, by the least and the largest text that holds a pair: no list of texts is gathered anywhere. Other
+texts are not shuffled, but for ``cleaned``, which returns them.
 
 Defined cases: a null or empty text has no words and fails; a null host is a host of its own; rows of one
 doc_id and one text count as one document; blank lines are neither counted nor removed; an empty table gives an
@@ -25,16 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WordHashes, gram_hashes, slices, stored, texts
-from paperloom.llm.jaccard_join import BROADCAST_ROWS, group_documents
+from paperloom.llm.common import WordHashes, gram_hashes, signed, slices, stored, texts
 
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
 MIN_DOCUMENTS = 20
 HOST_SHARE = 0.01
 DEPLETED = 0.3
-# Near copies: pairs of neighbouring words in common, of those that either text holds.
-NEAR_PERCENT = 90
+# Texts with fewer of their distinct word pairs in no other text are copies with small changes.
+OWN_PERCENT = 10
 
 _SYMBOLS = b"#*$%&|<>"
 _ZERO = bytes.maketrans(b"0123456789", b"0" * 10)
@@ -42,7 +43,8 @@ _ZERO = bytes.maketrans(b"0123456789", b"0" * 10)
 _NOT_WORD_START = bytes([*range(9, 14), 32, *range(0x80, 0xC0)])
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LINES = "host string, line long, content long, id long, key int, words int, text_words long"
+LINES = "host string, line long, id long, key long, words int, text_words long"
+PAIRS = "pair long, key long, pairs int"
 
 
 def normalised(line: bytes) -> bytes:
@@ -87,7 +89,7 @@ def base_row(text: bytes, hashes: WordHashes) -> tuple[int, int, int, int, int]:
 def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
-        F.hash(text_col).alias("key"),
+        F.xxhash64(text_col).alias("key"),
         F.col(text_col).alias("text"),
         F.col(host_col).cast("string").alias("host"),
     )
@@ -95,7 +97,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 def _line_rows(stream):
     for batch in slices(stream, 2):
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in range(6)]
         for id_, key, text, host in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist(), strict=True
         ):
@@ -105,53 +107,67 @@ def _line_rows(stream):
                 form = normalised(line)
                 if form:
                     lengths[form] = lengths.get(form, 0) + form.count(b" ") + 1
-            content = line_hash(text)
             for form, n in lengths.items():
-                for column, value in zip(rows, (host, line_hash(form), content, id_, key, n, len(words)), strict=True):
+                for column, value in zip(rows, (host, line_hash(form), id_, key, n, len(words)), strict=True):
                     column.append(value)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], [f.split()[0] for f in LINES.split(", ")]
         )
 
 
-def _near_copies(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The group of copies and near copies (part) of the wanted documents (id, key), among each other."""
-    wanted = stored(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    own = stored(keyed.join(wanted, ["id", "key"]).select("id", "text"), "held_texts")
-    return group_documents(own, "id", "text", 2, NEAR_PERCENT).select("id", "key", "part").dropDuplicates(["id", "key"])
+def _pair_rows(stream):
+    """The distinct word pairs of every text, hashed; a text without any stands for itself."""
+    hashes = WordHashes()
+    for batch in slices(stream, 1):
+        for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            pairs = signed(np.unique(gram_hashes(hashes.of(text.split()), 2)))
+            if not len(pairs):
+                pairs = np.array([key], np.int64)
+            for at in range(0, len(pairs), 100_000):
+                part = pairs[at : at + 100_000]
+                columns = [pa.array(part), pa.array(np.full(len(part), key, np.int64)), pa.array(np.full(len(part), len(pairs), np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PAIRS.split(", ")])
+
+
+def _with_own_words(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of the wanted texts (key) those with enough word pairs that none of the others holds."""
+    held = keyed.select("key", "text").join(wanted, "key", "left_semi")
+    pairs = held.mapInArrow(_pair_rows, PAIRS).groupBy("pair").agg(
+        F.min("key").alias("key"), F.max("key").alias("last"), F.max("pairs").alias("pairs")
+    )
+    own = pairs.filter("key = last").groupBy("key").agg(F.count("*").alias("own"), F.max("pairs").alias("pairs"))
+    return own.filter(100 * F.col("own") >= OWN_PERCENT * F.col("pairs")).select("key")
 
 
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                   min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
     """Per document with lines above the limits: id, key, those lines' hashes and words, and its number of words."""
     keyed = _keyed(docs, id_col, text_col, host_col)
     lines = stored(keyed.mapInArrow(_line_rows, LINES), "lines").withColumn("host", F.coalesce("host", F.lit("\0")))
-    counts = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
-    hosts = lines.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    above = (F.col("documents") > MIN_DOCUMENTS) & (F.col("documents") > HOST_SHARE * F.col("of"))
-    often = counts.filter(F.col("documents") > MIN_DOCUMENTS).join(hosts, "host").filter(above).select("host", "line", "of")
+    counts = lines.select("host", "line", "key").distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
+    hosts = lines.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    above = (F.col("documents") > min_documents) & (F.col("documents") > host_share * F.col("of"))
+    often = counts.filter(F.col("documents") > min_documents).join(hosts, "host").filter(above).select("host", "line", "of")
     held = stored(lines.join(often, ["host", "line"]), "held")
-    if held.isEmpty():
-        hit = held
-    else:
-        groups = _near_copies(keyed, held.select("id", "key").distinct())
-        counts = held.join(groups, ["id", "key"]).select("host", "line", "of", "part").distinct()
-        counts = counts.groupBy("host", "line", "of").agg(F.count("*").alias("documents"))
-        hit = held.join(counts.filter(above).select("host", "line"), ["host", "line"])
+    own = _with_own_words(keyed, stored(held.select("key").distinct(), "wanted")).withColumn("apart", F.lit(True))
+    each = held.select("host", "line", "of", "key").distinct().join(own, "key", "left")
+    copies = F.coalesce(F.max(F.when(F.col("apart").isNull(), 1)), F.lit(0))
+    counts = each.groupBy("host", "line", "of").agg((F.count("apart") + copies).alias("documents"))
+    hit = held.join(counts.filter(above).select("host", "line"), ["host", "line"])
     hit = hit.dropDuplicates(["id", "key", "line"])
     return hit.groupBy("id", "key").agg(
         F.collect_list("line").alias("lines"), F.sum("words").alias("gone"), F.first("text_words").alias("text_words")
     )
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+          min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
     """Per document: doc_id, the base columns, base_failed, the words in frequent lines and kept."""
     source = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
-        F.hash(text_col).alias("key"),
+        F.xxhash64(text_col).alias("key"),
         F.col(text_col).alias("text"),
     )
 
@@ -164,8 +180,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
                 ["doc_id", "id", "key", *[f.split()[0] for f in BASE.split(", ")]],
             )
 
-    base = source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, id long, key int, {BASE}")
-    gone = frequent_lines(docs, id_col, text_col, host_col).select("id", "key", "gone")
+    base = source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, id long, key long, {BASE}")
+    gone = frequent_lines(docs, id_col, text_col, host_col, min_documents, host_share).select("id", "key", "gone")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     gone_words = F.coalesce("gone", F.lit(0)).cast("long")
     keeps = F.col("n_words") - gone_words >= DEPLETED * F.col("n_words")
@@ -175,14 +191,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     )
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+            min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
     """The documents that are kept, without their lines above the limits; all columns as they are."""
-    frequent = frequent_lines(docs, id_col, text_col, host_col).select("id", "key", "lines")
+    frequent = frequent_lines(docs, id_col, text_col, host_col, min_documents, host_share).select("id", "key", "lines")
     source = docs.select(
         F.struct(*[c for c in docs.columns if c != text_col]).alias("row"),
         F.col(text_col).alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
-        F.hash(text_col).alias("key"),
+        F.xxhash64(text_col).alias("key"),
     )
     joined = source.join(frequent, ["id", "key"], "left").select("row", "text", "lines")
 
@@ -205,9 +222,3 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     left = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, text string")
     return left.select(*[F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])
 
-
-def digest(judged: DataFrame) -> DataFrame:
-    """The contract's columns."""
-    return judged
-
-

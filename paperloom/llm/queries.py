@@ -40,7 +40,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base columns and the verdict of every document."""
-    return quality_rules.digest(quality_rules.judge(table(spark, sf_dir, "documents")))
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

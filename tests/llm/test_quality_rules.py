@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
+
 from paperloom.llm import quality_rules as op
+from paperloom.llm.oracle import quality_sql
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -78,3 +81,31 @@ def test_boilerplate_heavy_documents_count_each(spark):
     rows = op.judge(spark.createDataFrame(docs, SCHEMA)).collect()
     assert {(r.n_frequent_words, r.kept) for r in rows} == {(80, False)}
     assert op.cleaned(spark.createDataFrame(docs, SCHEMA)).count() == 0
+
+
+def test_equals_sql_where_lines_are_above_the_limits(spark):
+    db = duckdb.connect()
+    db.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    cursor = db.execute(quality_sql(3, 0.02))
+    names = [d[0] for d in cursor.description]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sorted(tuple(r[c] for c in names) for r in op.judge(docs, min_documents=3, host_share=0.02).collect())
+    assert got == sorted(cursor.fetchall())
+    gone = names.index("n_frequent_words")
+    assert sum(r[gone] > 0 for r in got) > 100
+
+
+def test_a_large_group_of_near_copies_is_not_boilerplate(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    lines = [line(12) for _ in range(12)]
+    docs = []
+    for k in range(300):
+        words = [x.split() for x in lines]
+        words[k % 12][k % 11] = f"edit{k}"
+        docs.append((k, "\n".join(map(" ".join, words)), None, "h", None))
+    docs += [(1000 + k, "\n".join(line(12) for _ in range(6)) + "\nshared line", None, "h", None) for k in range(100)]
+    rows = {r.doc_id: r for r in op.judge(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert all(r.kept for r in rows.values())
+    assert {rows[k].n_frequent_words for k in range(300)} == {0}
+    assert {rows[1000 + k].n_frequent_words for k in range(100)} == {2}
