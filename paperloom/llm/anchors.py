@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import mixed, signed, stored, texts
+from paperloom.llm.common import mixed, signed, slices, stored, texts
 
-# Units of text that are handled as one array.
+# Bytes of text that the first pass takes at a time, and units that it handles as one array.
+BATCH_BYTES = 16 << 20
 BATCH_UNITS = 1 << 22
 # Windows of one document in one array; a longer document is handled in overlapping pieces.
 PIECE_UNITS = 1 << 21
@@ -140,7 +141,7 @@ def _runs(kind: Windows):
 
     def run(stream):
         units = kind.units()
-        for batch in stream:
+        for batch in slices(stream, 2, BATCH_BYTES):
             ids = batch.column(0).to_numpy()
             keys = batch.column(1).to_numpy()
             for pieces in _pieces(kind, map(units, texts(batch.column(2)))):
@@ -239,7 +240,7 @@ def _contents(kind: Windows, hot: int):
 
     def run(stream):
         units = kind.units()
-        for batch in stream:
+        for batch in slices(stream, 2):
             found: list[list] = [[] for _ in CONTENTS.split(",")]
             asked = batch.column(3).to_pylist()
             for id_, key, text, wanted in zip(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.anchors import HOT, SPANS, Windows, covered, kept, keyed, repeated_spans, with_spans
-from paperloom.llm.common import WordHashes, gram_hashes, texts
+from paperloom.llm.common import WordHashes, gram_hashes, slices, texts
 
 WINDOW = 20
 GRAM = 3
@@ -87,8 +87,11 @@ def _compare(stream):
             last = row[3:6]
             begin = int(ends[k] - sizes[k])
             windows = hashed[begin : begin + int(sizes[k]) - WINDOW + 1].tolist()
-            found += [(row[3], row[4], row[5] + at, n) for at, n in reference.factor(row[8], windows)]
-            reference.add(row[8], windows)
+            factors = reference.factor(row[8], windows)
+            found += [(row[3], row[4], row[5] + at, n) for at, n in factors]
+            if sum(n for _, n in factors) < len(windows):
+                # A stretch without a new window would add nothing, however often it comes.
+                reference.add(row[8], windows)
         if found:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -103,7 +106,7 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(stream):
-        for batch in stream:
+        for batch in slices(stream, 1):
             all_words = [t.split() for t in texts(batch.column(1))]
             runs = [covered(s, WINDOW) for s in batch.column(2).to_pylist()]
             left = [b" ".join(w for p in kept(ws, r) for w in p) for ws, r in zip(all_words, runs, strict=True)]

@@ -20,11 +20,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.anchors import HOT, SPANS, Windows, covered, kept, keyed, repeated_spans, with_spans
-from paperloom.llm.common import mixed, texts
+from paperloom.llm.common import mixed, slices, texts
 
 WINDOW = 400
 GRAM = 32
@@ -115,15 +116,10 @@ def block_repeats(contents: list[bytes], leads: list[int], window: int = WINDOW)
     return np.split(out, np.cumsum(n)[:-1])
 
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    """Spans of one block: runs of repeated windows of stretches that aren't settled as copies."""
-    found = []
-    seen, own = set(), []
-    for row in rows:
-        if row[:7] not in seen:
-            seen.add(row[:7])
-            own.append(row)
-    for row, hit in zip(own, block_repeats([r[8] for r in own], [r[6] for r in own]), strict=True):
+def _spans(rows: list[list], settled: list[tuple]) -> pa.RecordBatch:
+    """Spans of one block: runs of repeated windows of stretches that aren't settled as copies, and the settled ones."""
+    found = list(settled)
+    for row, hit in zip(rows, block_repeats([r[8] for r in rows], [r[6] for r in rows]), strict=True) if rows else ():
         if row[7] or not hit.any():
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -136,17 +132,34 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _compare(stream):
-    """Sort the contents block by block; a group stays in one block."""
-    held, size = [], 0
-    for batch in stream:
+    """Sort the contents block by block; a group stays in one block.
+
+    Equal contents of a group are settled when they come and not held: only the first of them is sorted.
+    """
+    held, size, settled, group, last, first = [], 0, [], None, None, {}
+    for batch in slices(stream, 8):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size >= BLOCK_BYTES and row[:3] != held[-1][:3]:
-                yield _spans(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[8])
-    if held:
-        yield _spans(held)
+            if row[:3] != group:
+                if size >= BLOCK_BYTES:
+                    yield _spans(held, settled)
+                    held, size, settled = [], 0, []
+                group, last, first = row[:3], None, {}
+            if row[3:6] == last:
+                continue
+            last = row[3:6]
+            alike = first.setdefault((row[6], xxhash.xxh3_128_digest(row[8])), len(held))
+            if alike == len(held):
+                held.append(list(row))
+                size += len(row[8])
+                continue
+            for one in (held[alike], row):
+                if not one[7]:
+                    settled.append((one[3], one[4], one[5], len(one[8]) - WINDOW + 1))
+            held[alike][7] = True
+            if len(settled) >= 100_000:
+                yield _spans([], settled)
+                settled = []
+    yield _spans(held, settled)
 
 
 KIND = Windows(WINDOW, GRAM, 16, _units, byte_grams)
@@ -162,7 +175,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(stream):
-        for batch in stream:
+        for batch in slices(stream, 1):
             all_texts = texts(batch.column(1))
             runs = [covered(s, WINDOW) for s in batch.column(2).to_pylist()]
             left = [hashlib.sha256(b"".join(kept(t, r))).hexdigest() for t, r in zip(all_texts, runs, strict=True)]
@@ -205,7 +218,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(keyed(docs, id_col, text_col), KIND, _compare, True)
 
     def cut(stream):
-        for batch in stream:
+        for batch in slices(stream, 1):
             new = [
                 None if was is None else b"".join(kept(was, covered(s, WINDOW))).decode(errors="ignore")
                 for was, s in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)

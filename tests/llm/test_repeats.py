@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paperloom.llm import anchors, substring_dedup, suffix_dedup
@@ -61,6 +62,35 @@ def test_cut_texts_keep_other_columns(awkward, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_a_passage_in_many_documents_with_unlike_surroundings(spark):
+    """The stretches at the passage's edges differ in every document, those inside are equal in all."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passage = words(110)
+    docs = [(k, f"{words(4)} {passage} {words(4)}") for k in range(1500)]
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(16)
+    for op, found in ((suffix_dedup, suffix_dedup.find_repeats), (substring_dedup, substring_dedup.find_duplicates)):
+        got = op.digest(found(frame, hot=50))
+        assert sorted(map(tuple, got.collect())) == sorted(op.brute_force(docs))
+
+
+def test_equal_contents_are_not_held():
+    block = substring_dedup.ReferenceBlock()
+    units = np.arange(40, dtype=np.uint64)
+    windows = substring_dedup.gram_hashes(units, substring_dedup.WINDOW).tolist()
+    assert block.factor(units.tobytes(), windows) == []
+    block.add(units.tobytes(), windows)
+    assert block.factor(units.tobytes(), windows) == [(0, len(windows))]
+    kinds = [("anchor", "int64"), ("slice", "int32"), ("core", "int64"), ("id", "int64"), ("key", "int32"), ("start", "int64"),
+             ("lead", "int32"), ("copied", "bool_"), ("units", "binary")]
+    rows = [(1, 0, 0, k, 0, 5, 3, False, b"x" * 450) for k in range(50)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, getattr(pa, t)()) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds]
+    )
+    spans = pa.Table.from_batches(suffix_dedup._compare(iter([batch]))).to_pylist()
+    assert sorted((s["id"], s["start"], s["n"]) for s in spans) == [(k, 5, 51) for k in range(50)]
+
+
 def test_sliding_minimum():
     x = np.random.default_rng(0).integers(0, 99, 500).astype(np.uint64)
     for m in (1, 2, 7, 499, 500):
