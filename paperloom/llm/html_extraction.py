@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from html import unescape
 from zlib import crc32
 
@@ -39,6 +40,10 @@ PATH_SIZE, WORD_SIZE, SHAPE = 64, 32, 4
 SIZE = PATH_SIZE + WORD_SIZE + SHAPE
 # Blocks that are labelled together.
 GROUP_BLOCKS = 8192
+# A container goes on to the next inner one that keeps this share of its text.
+MOST_TEXT = 0.8
+# Where the labeller keeps nothing, text of so many characters in one container is taken for the article.
+FALLBACK_CHARS = 200
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)", re.DOTALL
@@ -143,20 +148,21 @@ class Vectors(dict):
         value = self[token] = crc32(token.encode("utf-8", "replace")) & 0x7FFFFFFF
         return value
 
-    def of(self, page: list[Block]) -> np.ndarray:
-        """One row per block."""
+    def of(self, page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+        """One row per block, of all blocks or of some."""
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        out = np.zeros((len(page), SIZE), np.float32)
+        chosen = page[first:last]
+        out = np.zeros((len(chosen), SIZE), np.float32)
         place = self.__getitem__
-        for k, (path, text, linked) in enumerate(page):
+        for k, (path, text, linked) in enumerate(chosen):
             for token in {t for name in path for t in name.split(" ")}:
                 h = place(token)
                 out[k, h % PATH_SIZE] += 1.0 if h >> 16 & 1 else -1.0
             words = text.split(" ")
             hit = np.bincount(np.fromiter(map(place, words), np.int64, len(words)) % WORD_SIZE, minlength=WORD_SIZE)
             out[k, PATH_SIZE : PATH_SIZE + WORD_SIZE] = hit / len(words)
-            out[k, -SHAPE:] = (np.log1p(len(text)) / 8, linked, k / len(page), len(path) / 8)
+            out[k, -SHAPE:] = (np.log1p(len(text)) / 8, linked, (first + k) / len(page), len(path) / 8)
         return out
 
 
@@ -177,10 +183,10 @@ class Labeller:
             self.weights[f"c{d}"][hidden : 2 * hidden] = 1
         self.weights |= {"o": near(2 * hidden, 1), "p": np.zeros(1, np.float32)}
 
-    def _read(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Outputs of one direction over (time, page, value), and what training needs of each step."""
+    def _read(self, x: np.ndarray, d: str, keep: bool = True, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """Outputs of one direction over (time, page, value), what training needs of each step, and the state to go on from."""
         w, n = self.weights, self.hidden
-        h, c = np.zeros((2, x.shape[1], n), np.float32)
+        h, c = np.zeros((2, x.shape[1], n), np.float32) if state is None else state
         given = x @ w[f"x{d}"] + w[f"c{d}"]
         out, steps = np.zeros((*x.shape[:2], n), np.float32), []
         for t in range(len(x)):
@@ -191,8 +197,9 @@ class Labeller:
             c = f * old + i * g
             s = np.tanh(c)
             h = out[t] = o * s
-            steps.append((i, f, o, g, s, before, old))
-        return out, steps
+            if keep:
+                steps.append((i, f, o, g, s, before, old))
+        return out, steps, (h, c)
 
     def _learn(self, x: np.ndarray, d: str, steps: list, dout: np.ndarray, grad: dict) -> None:
         """Gradients of one direction, back through time."""
@@ -218,10 +225,10 @@ class Labeller:
             x[0, : len(p), k], x[1, : len(p), k] = p, p[::-1]
         return x[0], x[1], np.arange(size.max())[:, None] < size
 
-    def _both(self, pages: list[np.ndarray]) -> tuple:
+    def _both(self, pages: list[np.ndarray], keep: bool = True) -> tuple:
         x, back, real = self._padded(pages)
-        f, steps_f = self._read(x, "f")
-        b, steps_b = self._read(back, "b")
+        f, steps_f, _ = self._read(x, "f", keep)
+        b, steps_b, _ = self._read(back, "b", keep)
         turned = np.zeros_like(b)
         for k, p in enumerate(pages):
             turned[: len(p), k] = b[: len(p), k][::-1]
@@ -237,11 +244,25 @@ class Labeller:
             longest = len(pages[order[-1]])
             group = order[-max(1, GROUP_BLOCKS // longest) :]
             del order[-len(group) :]
-            score = self._both([pages[k] for k in group])[-1]
+            score = self._both([pages[k] for k in group], keep=False)[-1]
             for j, k in enumerate(group):
                 out[k] = score[: len(pages[k]), j] > 0.5
         return out
 
+    def label_long(self, n: int, rows: Callable[[int, int], np.ndarray]) -> np.ndarray:
+        """As `label` for one page of ``n`` blocks whose vectors come in windows; the state is carried from one to the next."""
+        edges = [(a, min(n, a + GROUP_BLOCKS)) for a in range(0, n, GROUP_BLOCKS)]
+        ahead, out, state = np.zeros((n, self.hidden), np.float32), np.zeros(n, bool), None
+        for a, b in edges:
+            read, _, state = self._read(rows(a, b)[:, None], "f", False, state)
+            ahead[a:b] = read[:, 0]
+        state = None
+        for a, b in reversed(edges):
+            behind, _, state = self._read(rows(a, b)[::-1][:, None], "b", False, state)
+            both = np.concatenate([ahead[a:b], behind[::-1, 0]], 1)
+            out[a:b] = _sigmoid((both @ self.weights["o"])[:, 0] + self.weights["p"]) > 0.5
+        return out
+
     def fit(self, pages: list[np.ndarray], truth: list[np.ndarray], epochs: int = EPOCHS, seed: int = 2) -> float:
         """Adam on mean log loss; gives the last epoch's share of right labels."""
         rng, rate = np.random.default_rng(seed), 0.01
@@ -286,7 +307,10 @@ _SIDE = {
     "notice", "cookie", "comment", "comments", "reply", "related", "share", "social", "newsletter", "breadcrumb", "head",
     "subscribe", "popup", "widget", "navigation", "search", "login", "button",
 }
-_OTHER_MAIN = ("div content", "div post", "section main", "div article body", "main", "div entry text", "section story", "article")
+_OTHER_MAIN = (
+    "div content", "div post", "section main", "div article body", "main", "div entry text", "section story", "article", "div",
+    "section", "div c1", "td", "div page body",
+)
 _OTHER_SIDE = {
     "nav": ("div menu", "ul nav", "div navigation", "nav"),
     "footer": ("div footer", "section footer", "div bottom footer", "footer"),
@@ -309,8 +333,51 @@ def marked(page: list[Block]) -> np.ndarray:
     return out
 
 
-def variant(page: list[Block], truth: np.ndarray, spare: list[str], rng: random.Random) -> tuple[list[Block], np.ndarray]:
-    """The page in another layout: containers under other names, side blocks added before, inside and after."""
+def _is_side(path: tuple[str, ...]) -> bool:
+    return any(set(n.split(" ")) & _SIDE for n in path)
+
+
+def densest(page: list[Block]) -> tuple[tuple[str, ...], np.ndarray]:
+    """For pages without a main element: the innermost container that holds most of the text, and its blocks.
+
+    Text counts that is no link and in no side element. A container is a beginning of paths; one level further in has
+    to keep ``MOST_TEXT`` of what the level before holds.
+    """
+    weight = [0.0 if _is_side(path) else len(text) * (1 - linked) for path, text, linked in page]
+    inside, inner = list(range(len(page))), ()
+    while True:
+        shares: dict[str, float] = {}
+        for k in inside:
+            if len(page[k][0]) > len(inner) + 1:
+                name = page[k][0][len(inner)]
+                shares[name] = shares.get(name, 0.0) + weight[k]
+        best = max(shares, key=shares.get, default=None)
+        if best is None or shares[best] < MOST_TEXT * sum(weight[k] for k in inside) or not shares[best]:
+            break
+        inner += (best,)
+        inside = [k for k in inside if page[k][0][: len(inner)] == inner]
+    out = np.zeros(len(page), bool)
+    for k in inside:
+        out[k] = weight[k] > 0 and page[k][2] < 0.5
+    return inner, out
+
+
+def truth_of(page: list[Block]) -> tuple[set[str], np.ndarray]:
+    """What a training page is taken to say: the names of its main containers and its main blocks."""
+    truth = marked(page)
+    if any(set(n.split(" ")) & _MAIN for path, _, _ in page for n in path):
+        return {n for path, _, _ in page for n in path if set(n.split(" ")) & _MAIN}, truth
+    inner, truth = densest(page)
+    return {inner[-1]} - {"html", "body"} if inner else set(), truth
+
+
+def variant(
+    page: list[Block], truth: np.ndarray, spare: list[str], rng: random.Random, own: set[str] | None = None
+) -> tuple[list[Block], np.ndarray]:
+    """The page in another layout: containers under other names, side blocks added before, inside and after.
+
+    ``own`` are the names of its main containers, if they aren't elements that say so.
+    """
     main = rng.choice(_OTHER_MAIN)
     names = {k: rng.choice(v) for k, v in _OTHER_SIDE.items()}
     wrap = rng.choice(((), ("div page",), ("div wrapper", "div inner")))
@@ -332,7 +399,7 @@ def variant(page: list[Block], truth: np.ndarray, spare: list[str], rng: random.
         new = []
         for name in path:
             words = set(name.split(" "))
-            if words & _MAIN:
+            if words & _MAIN or name in (own or ()):
                 name = main
             else:
                 name = next((names[w] for w in names if w in words), name)
@@ -357,14 +424,28 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     spare = [b[1] for page in seen for b in page]
     made = []
     for page in filter(None, seen):
-        truth = marked(page)
+        own, truth = truth_of(page)
         made.append((page, truth))
-        made += [variant(page, truth, spare, rng) for _ in range(VARIANTS)]
+        made += [variant(page, truth, spare, rng, own) for _ in range(VARIANTS)]
     vectors, labeller = Vectors(), Labeller()
     labeller.fit([vectors.of(p) for p, _ in made], [t for _, t in made])
     return labeller
 
 
+def _labels(found: list[list[Block]], vectors: Vectors, labeller: Labeller) -> list[np.ndarray]:
+    """The main blocks of every page; where the labeller keeps nothing of a page's text, those of its densest container."""
+    usual = [k for k, p in enumerate(found) if len(p) <= GROUP_BLOCKS]
+    out = dict(zip(usual, labeller.label([vectors.of(found[k]) for k in usual]), strict=True))
+    for k, page in enumerate(found):
+        if k not in out:
+            out[k] = labeller.label_long(len(page), lambda a, b, page=page: vectors.of(page, a, b))
+        if not out[k].any():
+            inside = densest(page)[1]
+            if sum(len(page[j][1]) for j in np.flatnonzero(inside)) >= FALLBACK_CHARS:
+                out[k] = inside
+    return [out[k] for k in range(len(found))]
+
+
 def extract(
     pages: DataFrame, labeller: Labeller | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -377,7 +458,7 @@ def extract(
         vectors = Vectors()
         for batch in slices(stream, 2):
             found = [blocks(t.decode()) for t in texts(batch.column(2))]
-            labels = shared.value.label([vectors.of(p) for p in found])
+            labels = _labels(found, vectors, shared.value)
             main = [" ".join(b[1] for b, y in zip(p, own, strict=True) if y) for p, own in zip(found, labels, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(main, pa.string()), pa.array([len(x) for x in main], pa.int64())],

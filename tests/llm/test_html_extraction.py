@@ -119,3 +119,48 @@ def test_awkward_rows(spark, labeller):
 )
 def test_options_without_end_tags(page, want):
     assert text_of(page) == want
+
+
+@pytest.mark.parametrize("layout", ['<div class="post">', '<div class="content">', "<section>", "half"])
+def test_pages_without_a_main_element(spark, layout):
+    """The article of the given pages in other containers; the truth is the article as it was."""
+    pages = spark.read.parquet(f"{MEDIUM}/pages.parquet")
+    rows, want = [], {}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", r.html, re.DOTALL)[1]
+        want[r.page_id] = " ".join(h.unescape(re.sub(r"</?b>", "", re.sub(r"<(?!/?b>)[^>]*>", " ", inner))).split())
+        tag = '<div class="post">' if layout == "half" else layout
+        other = r.html.replace("<article>", tag).replace("</article>", "</section>" if tag == "<section>" else "</div>")
+        rows.append((r.page_id, r.url, r.html if layout == "half" and r.page_id % 2 else other))
+    found = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sum(found[k] == want[k] for k in want) >= 0.95 * len(want)
+
+
+HAND = [
+    ('<body><div class="top"><a href=/>Home</a> <a href=/x>News</a></div><div id="story"><h1>A title</h1><p>' + "Long prose of the story. " * 20
+     + '</p><p>More of it.</p></div><div class="sidebar"><p>Side text</p></div>', ["A title", "More of it."], ["Home", "Side text"]),
+    ("<body><nav><a href=/>Go</a></nav><table><tr><td>" + "A cell of long prose. " * 30 + "</td></tr></table><footer>Imprint</footer>",
+     ["A cell of long prose."], ["Go", "Imprint"]),
+]
+
+
+@pytest.mark.parametrize(("page", "inside", "outside"), HAND)
+def test_densest_container_of_hand_written_pages(page, inside, outside):
+    blocks = op.blocks(page)
+    _, truth = op.densest(blocks)
+    kept = " ".join(b[1] for b, y in zip(blocks, truth, strict=True) if y)
+    assert all(x in kept for x in inside) and not any(x in kept for x in outside)
+
+
+def test_windows_of_a_long_page_read_as_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    model, page = op.Labeller(), rng.standard_normal((500, op.SIZE)).astype(np.float32)
+    whole = model.label([page])[0]
+    monkeypatch.setattr(op, "GROUP_BLOCKS", 64)
+    assert model.label_long(500, lambda a, b: page[a:b]).tolist() == whole.tolist()
+
+
+def test_a_page_of_many_blocks(spark, labeller):
+    html = "<article>" + "<p>some words of text</p>" * 60_000 + "</article>"
+    row = op.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), labeller).first()
+    assert row.n_chars == len(row.text) and row.text.count("some words") > 50_000
