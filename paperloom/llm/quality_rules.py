@@ -34,6 +34,8 @@ REPEATED_PERCENT = 50
 MIN_DOCUMENTS = 20
 HOST_SHARE = 0.01
 DEPLETED = 0.3
+# So many text keys are sent to all executors; where there are more, the texts are dealt out to them.
+BROADCAST_ROWS = 2_000_000
 # Texts with fewer of their distinct word pairs in no other text are copies with small changes.
 OWN_PERCENT = 10
 
@@ -132,6 +134,8 @@ def _pair_rows(stream):
 
 def _with_own_words(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of the wanted texts (key) those with enough word pairs that none of the others holds."""
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     held = keyed.select("key", "text").join(wanted, "key", "left_semi")
     pairs = held.mapInArrow(_pair_rows, PAIRS).groupBy("pair").agg(
         F.min("key").alias("key"), F.max("key").alias("last"), F.max("pairs").alias("pairs")
