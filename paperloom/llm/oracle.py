@@ -100,8 +100,7 @@ s AS (
   FROM (SELECT r, host, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT r, host, list_filter(string_split(path, '/'), lambda x: x <> '') AS l FROM u))
 ),
 kept AS (
-  SELECT host, depth, value FROM (SELECT host, depth, value, count(*) AS n FROM s GROUP BY ALL)
-  JOIN (SELECT host, depth, count(*) AS total FROM s GROUP BY ALL) USING (host, depth) WHERE n >= 5 AND n >= 0.02 * total
+  SELECT host, depth, value FROM s GROUP BY ALL HAVING count(*) >= 5
 ),
 t AS (
   SELECT u.r, u.page_id, u.host, u.path, coalesce(string_agg(CASE WHEN kept.value IS NULL AND s.r IS NOT NULL THEN '*' ELSE s.value END, '/' ORDER BY s.depth), '') AS template

@@ -3,16 +3,17 @@
 Everything is DataFrame expressions. Rules come first: a rule ``host/path`` fits its host and all subdomains where the
 path starts with the rule's; the longest that fits decides. Other URLs are judged by a template tree:
 
-1. per host, a path segment is kept where its value occurs ``SUPPORT`` times and makes up at least ``SHARE`` of the
-   host's values at that depth (so at most ``1 / SHARE`` values a depth); all others become ``*``;
+1. per host, a path segment is kept where its value occurs ``SUPPORT`` times at that depth, however large the host;
+   all others are variable and become ``*``;
 2. the nodes of the tree are the prefixes of these templates; each counts its labelled pages and the bad ones;
 3. a branch whose bad share does not differ significantly from that of its siblings is merged with all such
    siblings: they share one count;
 4. from the root down, a node's bad share is smoothed towards its parent's (the root's towards that of all labels) with the weight of ``PRIOR`` pages,
    unless it holds no other labels than its parent; a template whose smoothed share of good labels is below ``PURITY`` is blocked.
 
-Counts are aggregated before they are shuffled; URLs of one large host are joined with one bounded row of kept
-segments, which adaptive execution splits; only blocked templates are joined at the end.
+Counts are aggregated before they are shuffled. Segments meet their counts by (host, depth, value), so a large host is
+as spread as its segments are, and no list per host is gathered; adaptive execution splits a segment that most URLs
+have. A template is made once per distinct host and path; only blocked templates are joined at the end.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and is judged as such; pages without
 a label count in templates but not in purity; several labels of one page count once, bad if any is; repeated
@@ -31,8 +32,7 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-SHARE = 0.02
-# ... and in so many URLs.
+# A segment that so many URLs of a host have at one depth is no variable one.
 SUPPORT = 5
 # A branch differs from its siblings beyond so many standard errors.
 DIFFERS = 1.96
@@ -61,19 +61,16 @@ def ruling(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _templates(urls: DataFrame, share: float) -> DataFrame:
-    """Each URL's template: segments that are rare for their host and depth become ``*``."""
-    segments = urls.select("host", F.posexplode("segments").alias("depth", "value"))
+def _templates(urls: DataFrame, support: int) -> DataFrame:
+    """(host, path, template) of every distinct URL: segments that are rare for their host and depth become ``*``."""
+    segments = urls.select("host", "path", F.posexplode("segments").alias("depth", "value"))
     counts = segments.groupBy("host", "depth", "value").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("host", "depth").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, ["host", "depth"]).filter((F.col("n") >= SUPPORT) & (F.col("n") >= share * F.col("total")))
-    kept = kept.groupBy("host").agg(F.collect_list(F.struct("depth", "value")).alias("kept"))
-    template = F.transform(
-        "segments",
-        lambda s, k: F.when(F.array_contains("kept", F.struct(k.alias("depth"), s.alias("value"))), s).otherwise("*"),
-    )
-    joined = urls.join(kept, "host", "left")
-    return joined.withColumn("template", F.concat_ws("/", template)).drop("kept", "segments")
+    kept = counts.filter(F.col("n") >= support).select("host", "depth", "value", F.col("value").alias("own"))
+    each = urls.select("host", "path", "segments").dropDuplicates(["host", "path"])
+    each = each.select("host", "path", F.posexplode("segments").alias("depth", "value"))
+    met = each.join(kept, ["host", "depth", "value"], "left")
+    listed = F.sort_array(F.collect_list(F.struct("depth", F.coalesce("own", F.lit("*")).alias("name"))))
+    return met.groupBy("host", "path").agg(F.array_join(F.transform(listed, lambda x: x["name"]), "/").alias("template"))
 
 
 def _blocked(templates: DataFrame, overall: float, prior: float, purity: float) -> DataFrame:
@@ -119,13 +116,13 @@ def _blocked(templates: DataFrame, overall: float, prior: float, purity: float)
 
 
 def judge_urls(
-    pages: DataFrame, labels: DataFrame, rules=RULES, share: float = SHARE, prior: float = PRIOR, purity: float = PURITY
+    pages: DataFrame, labels: DataFrame, rules=RULES, support: int = SUPPORT, prior: float = PRIOR, purity: float = PURITY
 ) -> DataFrame:
     """Per page: page_id, host, path, template, rule and verdict. ``labels``: doc_id, quality, toxic by page_id."""
     host, path = split_url("url")
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
-    urls = _templates(urls, share)
+    urls = urls.join(_templates(urls, support), ["host", "path"], "left").withColumn("template", F.coalesce("template", F.lit("")))
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad")
     known = labels.filter("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("page_id")).agg(bad)
     overall = known.agg((F.sum("bad") + 1) / (F.count("*") + 2)).first()[0] or 0.5

@@ -44,6 +44,18 @@ def test_bad_branch_of_a_host_is_blocked(spark):
     assert got[1].template == "bad/*"
 
 
+def test_a_bad_branch_of_a_large_host_is_blocked(spark):
+    """The same branch, whatever else the host has."""
+    for branches in (8, 120):
+        pages = [(k, f"http://h.org/branch{k % branches}/{k}", None) for k in range(100 * branches)]
+        pages += [(20_000 + k, f"http://h.org/spam/{k}", None) for k in range(190)]
+        labels = [(k, 1, 0) for k in range(0, 100 * branches, 3)] + [(20_000 + k, 0, 0) for k in range(190)]
+        got = judged(spark, pages, labels)
+        assert {got[20_000 + k].verdict for k in range(190)} == {"block"}
+        assert {got[k].verdict for k in range(100 * branches)} == {"allow"}
+        assert got[20_001].template == "spam/*"
+
+
 def test_few_labels_do_not_block(spark):
     pages = [(k, f"http://h{k % 40}.org/a/{k}", None) for k in range(120)]
     got = judged(spark, pages, [(k, int(k != 7), 0) for k in range(120)])
