@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +11,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from paperloom.plans.sizing import partitions_for
-from paperloom.session import shared_folder
+from paperloom.plans.staging import numbered, scratch, stored
 
 # A cache of hashes or ids is emptied beyond so many entries.
 CACHE_ENTRIES = 400_000
@@ -29,32 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that driver and executors share."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written once to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """The rows with ``part`` and ``pos``: their place from 0 in the order of the named columns.
-
-    Rows are dealt out by ranges of that order, so that no task sees more than its range; a task numbers its own rows
-    and a table of one row per task says where each begins. Written once: the places stay if an executor is lost.
-    """
-    placed = df.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order)
-    placed = stored(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    placed = placed.withColumn("part", F.shiftright("_at", 33))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
-    starts = F.broadcast(sizes.select("part", before.alias("_start")))
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(starts, "part").withColumn("pos", F.col("_start") + inside).drop("_at", "_start")
+def removed(df: DataFrame) -> None:
+    """Delete the files of a `stored` table that nothing will read again."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

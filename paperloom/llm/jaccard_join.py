@@ -8,7 +8,8 @@ Exact join by prefix lists, with set-relation skipping (Wang and others 2017):
 3. a list is sorted by set size and read once. Its entries fall into blocks of sizes that can link: an entry is a
    candidate for its block's first entry only, and blocks that cannot hold a partner are skipped by position.
    Short lists give all their pairs;
-4. candidates are filtered by a parity sketch, whose difference never exceeds that of the sets, then verified on the
+4. candidates are filtered by a parity sketch of about one bit per shingle, whose difference never exceeds that of
+   the sets (the longer one of two is folded), then verified on the
    whole sets: one candidate of each set first, then those that the components so far leave open;
 5. the answers of all entries of a list that have become one component follow from each other: such lists, the
    long lists of large groups of copies, are skipped. In the others only pairs across components are still open; these
@@ -29,10 +30,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WordHashes, gram_hashes, mixed, signed, slices, stored, texts
+from paperloom.llm.common import WordHashes, gram_hashes, mixed, removed, signed, slices, stored, texts
 from paperloom.llm.components import components
 
 SHINGLE = 5
@@ -46,12 +47,12 @@ BLOCK = 1024
 BROADCAST_ROWS = 200_000
 # A shingle in more than this share of the documents is ordered last; so at most (mean set size / share) are.
 COMMON = 0.001
-# 64-bit words of a parity sketch.
-SKETCH = 16
+# Least 64-bit words of a parity sketch.
+SKETCH = 2
 
 NULL_ID = -(1 << 63)
 SETS = "id long, key int, n long, name long, sketch array<long>, shingle long, documents long"
-ENTRIES = "shingle long, name long, n int, place int"
+ENTRIES = "shingle long, name long, n int"
 FOUND = "shingle long, a long, n long, b long"
 
 
@@ -72,9 +73,27 @@ def name_of(own: np.ndarray) -> int:
 
 
 def sketch_of(own: np.ndarray) -> np.ndarray:
-    """One bit per hash bucket: whether it holds an odd number of shingles."""
-    bits = np.bincount((mixed(own) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """One bit per hash bucket: whether it holds an odd number of shingles. Buckets are a power of two, about one per shingle."""
+    bits = max(SKETCH * 64, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount((mixed(own) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of half as many buckets."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
+
+
+def _alike(x: str, y: str) -> tuple[Column, Column]:
+    """Two sketch columns in the length of the shorter; sets that can link differ by one fold at most."""
+
+    def fold(own: Column, other: Column) -> Column:
+        half = F.floor(F.size(own) / 2).cast("int")
+        once = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(own) > F.size(other), once).otherwise(own)
+
+    return fold(F.col(x), F.col(y)), fold(F.col(y), F.col(x))
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
@@ -128,7 +147,7 @@ def _entries(common, size: int, percent: int):
                 late = last[at] == own
                 k = prefix_length(n, percent)
                 first = np.concatenate([own[~late], own[late]])[:k]
-                rows.append((signed(first), np.full(k, name), np.full(k, n), np.arange(k)))
+                rows.append((signed(first), np.full(k, name), np.full(k, n)))
             if rows:
                 yield _batch([np.concatenate(c) for c in zip(*rows, strict=True)], ENTRIES)
 
@@ -152,7 +171,11 @@ def _candidates(stream, percent: int):
 
     shingle, held, long, first, lists, out = None, [], False, None, [], []
     for batch in stream:
-        for s, name, n, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        # Most lists have one entry: within a batch they are left out before rows are looked at.
+        listed = batch.column(0).to_numpy()
+        alike = listed[1:] == listed[:-1]
+        met = np.concatenate([[True], alike]) | np.concatenate([alike, [True]])
+        for s, name, n in zip(*(c.to_numpy()[met[: len(listed)]].tolist() for c in batch.columns), strict=True):
             if s != shingle:
                 if len(held) > 1 and not long:
                     lists.append((shingle, held))
@@ -187,22 +210,34 @@ def _across(stream, percent: int):
     """Open lists in blocks (shingle, i, j): pairs of different components that size and sketch allow."""
 
     def pairs(rows: list) -> pa.RecordBatch:
-        name, block, size, part, sketch = (np.array(c) for c in zip(*rows, strict=True))
+        name, block, size, part = (np.array(c) for c in zip(*[r[:4] for r in rows], strict=True))
         order = np.argsort(size, kind="stable")
-        name, block, size, part, sketch = (c[order] for c in (name, block, size, part, sketch))
-        sketch = sketch.view(np.uint64)
+        name, block, size, part = (c[order] for c in (name, block, size, part))
+        sketches = [np.array(rows[k][4], np.int64).view(np.uint64) for k in order]
+        words = np.array([len(x) for x in sketches])
+        # Sets that can link have as many words, or twice as many: a matrix of each length, and of each longer one folded.
+        lengths = np.unique(words).tolist()
+        place = {m: np.flatnonzero(words == m) for m in lengths}
+        whole = {m: np.stack([sketches[k] for k in place[m]]) for m in lengths}
+        half = {m: folded(whole[m]) for m in lengths if m // 2 in place}
         far = np.searchsorted(size, size * 100 // percent, "right")
         split = len(set(block.tolist())) > 1
         a, b = [], []
         for k in range(len(name)):
-            other = np.arange(k + 1, far[k])
-            other = other[(part[other] != part[k]) & (name[other] != name[k])]
-            if split:
-                other = other[block[other] != block[k]]
-            differ = np.bitwise_count(sketch[other] ^ sketch[k]).sum(1, dtype=np.int64)
-            other = other[possible(differ, size[other] + size[k], percent)]
-            a += [name[k]] * len(other)
-            b += name[other].tolist()
+            own = int(words[k])
+            for m, sketch in ((own, whole), (2 * own, half)):
+                if m not in sketch:
+                    continue
+                first, last = np.searchsorted(place[m], (k + 1, far[k]))
+                other = place[m][first:last]
+                open_ = (part[other] != part[k]) & (name[other] != name[k])
+                if split:
+                    open_ &= block[other] != block[k]
+                other = other[open_]
+                differ = np.bitwise_count(sketch[m][first:last][open_] ^ sketches[k]).sum(1, dtype=np.int64)
+                other = other[possible(differ, size[other] + size[k], percent)]
+                a += [name[k]] * len(other)
+                b += name[other].tolist()
         return _batch([a, b], "a long, b long")
 
     group, held = None, []
@@ -237,7 +272,8 @@ class _Join:
         """Pairs that size and sketch allow."""
         side = lambda x: self.reps.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        bits = F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        joined = joined.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        bits = F.zip_with(*_alike("s_a", "s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         differ = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
         return joined.filter(possible(differ, F.col("n_a") + F.col("n_b"), self.percent)).select("a", "b")
 
@@ -247,7 +283,7 @@ class _Join:
         if pairs.isEmpty():
             return pairs
         wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-        places = stored(self.reps.join(wanted, "name").select("name", "rep.id", "rep.key"), "places")
+        places = places_table = stored(self.reps.join(wanted, "name").select("name", "rep.id", "rep.key"), "places")
         if places.count() <= BROADCAST_ROWS:
             places = F.broadcast(places)
         fetched = stored(self.docs.join(places, ["id", "key"]).select("name", "text"), "texts")
@@ -279,7 +315,10 @@ class _Join:
                         b.append(right)
                 yield _batch([a, b], "a long, b long")
 
-        return stored(rows.mapInArrow(run, "a long, b long"), "verified")
+        found = stored(rows.mapInArrow(run, "a long, b long"), "verified")
+        for done in (fetched, places_table, pairs):
+            removed(done)
+        return found
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
