@@ -5,15 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+# A key is spread over one sub-key per such share of all rows: no sub-key holds more.
+SHARES = 1_000
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, spread_by: str, salts: int = SALTS) -> DataFrame:
+def heavy_keys(rows: DataFrame, on: str, shares: int = SHARES) -> DataFrame:
+    """(key, parts): keys with at least one ``1 / shares`` of the rows, and how many such shares they hold.
+
+    A frequent-items sketch finds them in one pass that shuffles sketches only. At most ``shares``
+    keys are that heavy; the sketch keeps ten times as many items, and its counts are never too low
+    for those. One pass, one row per heavy key.
+    """
+    sketch = F.expr(f"approx_top_k(`{on}`, {shares}, {10 * shares})")
+    found = rows.agg(sketch.alias("top"), F.count(on).alias("n")).select("n", F.inline("top"))
+    parts = F.ceil(F.col("count") * shares / F.col("n")).cast("int")
+    return found.where(F.col("item").isNotNull() & (F.col("count") * shares >= F.col("n"))).select(F.col("item").alias(on), parts.alias("parts"))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: str, spread_by: str, salts: int = SHARES) -> DataFrame:
     """Equi-join whose big side may be dominated by a few keys.
 
-    Rows of ``big`` with the same key are spread over ``salts`` sub-keys by another column; the
-    other side is repeated once per sub-key. The result is that of the plain join.
+    Rows of a heavy key are spread over sub-keys by another column, more of them the more rows it
+    has; the other side's rows of that key are repeated once per sub-key, those of other keys stay
+    single. The result is that of the plain join.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    heavy = F.broadcast(heavy_keys(big, on, salts))
+    parts = F.coalesce("parts", F.lit(1))
+    left = big.join(heavy, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("parts")
+    right = small.join(heavy, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return left.join(right, [on, "_salt"]).drop("_salt")

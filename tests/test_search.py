@@ -11,7 +11,7 @@ from paperloom.operators import batch_search, search
 from paperloom.operators import index as ix
 from paperloom.plans import driver_tables as dt
 from paperloom.plans.columns import computed_once, literal_rows
-from paperloom.plans.skew import salted_join
+from paperloom.plans.skew import heavy_keys, salted_join
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +127,16 @@ def test_salted_join_equals_join(spark):
     assert sorted(map(tuple, plain.select("k", "id", "v").collect())) == sorted(
         map(tuple, salted.select("k", "id", "v").collect())
     )
+
+
+@pytest.mark.parametrize("rows", [6_000, 60_000])
+def test_a_hot_term_spreads_with_the_data(spark, rows):
+    """A term in a third of all rows gets a third of the shares at any size; no part of it holds more than others."""
+    big = spark.range(rows).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("k"))
+    heavy = {r.k: r.parts for r in heavy_keys(big, "k", 120).collect()}
+    assert heavy == {"hot": 40}
+    small = literal_rows(spark, [("hot", 1), ("t1", 2), ("hot", 3)], ["k", "v"])
+    assert salted_join(big, small, "k", "id", 120).groupBy("v").count().orderBy("v").collect() == [
+        (1, rows // 3), (2, 1), (3, rows // 3)
+    ]
+    assert heavy_keys(big.where("false"), "k").count() == 0
