@@ -86,15 +86,19 @@ def pages_to_document(metadata: DataFrame, page_texts: DataFrame, scan_path: str
     )
 
 
-def extract_files(spark: SparkSession, scan_path: str, kind: str) -> DataFrame:
-    """Scan and extract the files of one kind (office or eml); bad files carry ``error``."""
+def extract_files(spark: SparkSession, scan_path: str, kind: str, modified_after: datetime | None = None,
+                  largest: int = files.LARGEST_FILE) -> DataFrame:
+    """Scan and extract the files of one kind (office or eml); bad and oversized files carry ``error``."""
     entry = KIND_BY_NAME[kind]
-    found = files.scan_files(spark, scan_path, entry.glob, entry.exclude)
+    found = files.scan_files(spark, scan_path, entry.glob, entry.exclude, modified_after)
+    readable_files = files.fitting(found, largest)
     if kind in OFFICE_KINDS:
-        return office.extract_ooxml(found, kind)
-    if kind == "eml":
-        return mail.extract_eml(found)
-    raise ValueError(f"no file reader for {kind}: give its texts as a table")
+        extracted = office.extract_ooxml(readable_files, kind)
+    elif kind == "eml":
+        extracted = mail.extract_eml(readable_files)
+    else:
+        raise ValueError(f"no file reader for {kind}: give its texts as a table")
+    return extracted.unionByName(files.oversized(found, largest), allowMissingColumns=True)
 
 
 def to_documents(extracted: DataFrame, kind: str, scan_path: str, uri_base: str,
@@ -133,9 +137,13 @@ def ingest_documents(store: CorpusStore, kind: str, docs: DataFrame, full_refres
 
 
 def ingest(store: CorpusStore, scan_path: str, kind: str, uri_base: str, run_id: str, now: datetime,
-           staging: str | None = None, full_refresh: bool = False) -> DataFrame:
+           staging: str | None = None, full_refresh: bool = False,
+           modified_after: datetime | None = None, largest: int = files.LARGEST_FILE) -> DataFrame:
     """One run over files: scan, extract, stage, compare, write; returns the run's row.
 
+    With ``modified_after``, the start of the last run, only files written since are opened; give
+    a full refresh none, as it drops what the scan does not find.
+
     Extraction and cleaning are the costly part, so their result is written once to ``staging``,
     by default below the folder the cluster shares.
     What follows reads that table, and an executor lost later costs no second extraction.
@@ -143,7 +151,9 @@ def ingest(store: CorpusStore, scan_path: str, kind: str, uri_base: str, run_id:
     spark = store.spark
     started = datetime.now()
     path = f"{staging or shared_folder(spark)}/documents-{kind}-{run_id}"
-    extracted = extract_files(spark, scan_path, kind)
+    if full_refresh and modified_after is not None:
+        raise ValueError("a full refresh has to see all files")
+    extracted = extract_files(spark, scan_path, kind, modified_after, largest)
     with arrow_batch(spark, FILES_PER_BATCH):
         to_documents(extracted, kind, scan_path, uri_base, now).write.mode("overwrite").parquet(path)
     staged = spark.read.parquet(path)

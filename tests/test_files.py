@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import datetime
 
 import pytest
@@ -131,3 +132,24 @@ def test_pdf_pages(spark):
     texts = spark.createDataFrame([("/s/a.pdf", 2, "two"), ("/s/a.pdf", 1, "one")], "path string, page int, text string")
     row = ingest.pages_to_document(meta, texts, "/s/", BASE, NOW).first()
     assert (row.content, row.page_count, row.keywords) == ("one two", 2, ["x", "y"])
+
+
+def test_a_second_run_opens_only_what_was_written_since(spark, folder):
+    """Files of an earlier time are not listed; ones that are too large are counted as failed and not read."""
+    scan, store = folder / "scan", CorpusStore(spark, str(folder / "store"))
+    for i in range(3):
+        write_docx(scan / f"{i}.docx", [f"Text {i}"])
+        os.utime(scan / f"{i}.docx", (1_700_000_000 + i, 1_700_000_000 + i))
+    ingest.ingest(store, str(scan), "word", BASE, "r1", NOW)
+    write_docx(scan / "1.docx", ["Text 1 anew"])
+    write_docx(scan / "3.docx", ["word " * 9000 + str(k) for k in range(40)])
+    since = datetime(2024, 1, 1)
+    found = files.scan_files(spark, str(scan), "*.docx", modified_after=since)
+    assert names(found) == ["1.docx", "3.docx"]
+    limit = (scan / "1.docx").stat().st_size
+    run = ingest.ingest(store, str(scan), "word", BASE, "r2", NOW, modified_after=since, largest=limit).first()
+    assert (run.entire_doc_count, run.indexed_doc_count, run.processing_error) == (2, 1, 1)
+    assert sorted(r.content.strip() for r in store.current().collect()) == ["Text 0", "Text 1 anew", "Text 2"]
+    assert "too large" in ingest.extract_files(spark, str(scan), "word", since, limit).where("error is not null").first().error
+    with pytest.raises(ValueError, match="all files"):
+        ingest.ingest(store, str(scan), "word", BASE, "r3", NOW, full_refresh=True, modified_after=since)
