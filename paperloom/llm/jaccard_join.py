@@ -13,7 +13,8 @@ Exact join by prefix lists, with set-relation skipping (Wang and others 2017):
    whole sets: one candidate of each set first, then those that the components so far leave open;
 5. the answers of all entries of a list that have become one component follow from each other: such lists, the
    long lists of large groups of copies, are skipped. In the others only pairs across components are still open; these
-   are compared by sketch in blocks, verified, and the components are completed.
+   are compared by sketch in blocks and verified in rounds, the closest first; what has become one component meanwhile
+   is settled.
 
 So no pair within a group of copies is listed but one per entry and list, and no link that would join two components is
 lost. Hot lists arrive with one row per set and batch; open lists and hot first entries are split into blocks.
@@ -32,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.llm.common import WordHashes, gram_hashes, mixed, removed, signed, slices, stored, texts
 from paperloom.llm.components import components
@@ -54,6 +56,7 @@ NULL_ID = -(1 << 63)
 SETS = "id long, key int, n long, name long, sketch array<long>, shingle long, documents long"
 ENTRIES = "shingle long, name long, n int"
 FOUND = "shingle long, a long, n long, b long"
+OPEN = "a long, b long, gap long"
 
 
 def shingles(text: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -222,7 +225,7 @@ def _across(stream, percent: int):
         half = {m: folded(whole[m]) for m in lengths if m // 2 in place}
         far = np.searchsorted(size, size * 100 // percent, "right")
         split = len(set(block.tolist())) > 1
-        a, b = [], []
+        a, b, gap = [], [], []
         for k in range(len(name)):
             own = int(words[k])
             for m, sketch in ((own, whole), (2 * own, half)):
@@ -235,10 +238,13 @@ def _across(stream, percent: int):
                     open_ &= block[other] != block[k]
                 other = other[open_]
                 differ = np.bitwise_count(sketch[m][first:last][open_] ^ sketches[k]).sum(1, dtype=np.int64)
-                other = other[possible(differ, size[other] + size[k], percent)]
+                total = size[other] + size[k]
+                fit = possible(differ, total, percent)
+                other = other[fit]
                 a += [name[k]] * len(other)
                 b += name[other].tolist()
-        return _batch([a, b], "a long, b long")
+                gap += (1000 * differ[fit] // total[fit]).tolist()
+        return _batch([a, b, gap], OPEN)
 
     group, held = None, []
     for batch in stream:
@@ -326,7 +332,27 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     for x in "ab":
         side = groups.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
         pairs = pairs.join(side, x, "left")
-    return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).drop("part_a", "part_b")
+
+
+def _completed(join: _Join, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The links with those among open pairs (a, b, gap) that join components.
+
+    In each round every set tries the partners whose sketches are closest to its own, one at first and four times as
+    many each time; pairs whose sets have come together meanwhile are settled without being read.
+    """
+    tries = 1
+    while True:
+        open_ = stored(_apart(pairs, components(links)), "open")
+        if open_.isEmpty():
+            return links
+        either = open_.select("a", "b", "gap", F.col("a").alias("own")).unionByName(open_.select("a", "b", "gap", F.col("b").alias("own")))
+        closest = Window.partitionBy("own").orderBy("gap", "a", "b")
+        tried = either.withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= tries)
+        tried = stored(tried.select("a", "b").distinct(), "tried")
+        links = links.unionByName(join.verified(tried))
+        pairs = open_.join(tried, ["a", "b"], "left_anti")
+        tries *= 4
 
 
 def group_documents(
@@ -349,7 +375,7 @@ def group_documents(
     likely = stored(join.sketched(found.filter("b is not null").select(*pair).distinct()), "likely")
     links = join.verified(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     groups = stored(components(links), "components")
-    links = links.unionByName(join.verified(_apart(likely, groups)))
+    links = links.unionByName(join.verified(_apart(likely, groups).select("a", "b")))
     groups = stored(components(links), "components")
 
     part = F.coalesce("component", "name").alias("part")
@@ -366,10 +392,9 @@ def group_documents(
         "name", "block", "n", "part", "sketch",
     )
     dealt = split.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    rest = stored(dealt.mapInArrow(lambda stream: _across(stream, percent), "a long, b long").select(*pair).distinct(), "open")
-    more = join.verified(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = links.unionByName(more)
-    links = links.unionByName(join.verified(_apart(rest, components(links))))
+    rest = dealt.mapInArrow(lambda stream: _across(stream, percent), OPEN).select(*pair, "gap")
+    rest = stored(rest.groupBy("a", "b").agg(F.min("gap").alias("gap")), "rest")
+    links = _completed(join, rest, links)
     groups = components(links)
 
     grouped = sets.join(groups.withColumnRenamed("node", "name"), "name", "left")
