@@ -8,7 +8,7 @@ Exact join by prefix lists, with set-relation skipping (Wang and others 2017):
 3. a list is sorted by set size and read once. Its entries fall into blocks of sizes that can link: an entry is a
    candidate for its block's first entry only, and blocks that cannot hold a partner are skipped by position.
    Short lists give all their pairs;
-4. candidates are filtered by a parity sketch of about one bit per shingle, whose difference never exceeds that of
+4. candidates are filtered by a parity sketch of two to four bits per shingle, whose difference never exceeds that of
    the sets (the longer one of two is folded), then verified on the
    whole sets: one candidate of each set first, then those that the components so far leave open;
 5. the answers of all entries of a list that have become one component follow from each other: such lists, the
@@ -76,8 +76,9 @@ def name_of(own: np.ndarray) -> int:
 
 
 def sketch_of(own: np.ndarray) -> np.ndarray:
-    """One bit per hash bucket: whether it holds an odd number of shingles. Buckets are a power of two, about one per shingle."""
-    bits = max(SKETCH * 64, 1 << max(0, len(own) - 1).bit_length())
+    """One bit per hash bucket: whether it holds an odd number of shingles. Buckets are a power of two, two to four per
+    shingle: sets whose similarity is below some 0.71 then hardly ever pass."""
+    bits = max(SKETCH * 64, 1 << max(0, 2 * len(own) - 1).bit_length())
     odd = np.bincount((mixed(own) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -338,7 +339,7 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def _completed(join: _Join, pairs: DataFrame, links: DataFrame) -> DataFrame:
     """The links with those among open pairs (a, b, gap) that join components.
 
-    In each round every set tries the partners whose sketches are closest to its own, one at first and four times as
+    In each round every set tries the partners whose sketches are closest to its own, one at first and eight times as
     many each time; pairs whose sets have come together meanwhile are settled without being read.
     """
     tries = 1
@@ -352,7 +353,7 @@ def _completed(join: _Join, pairs: DataFrame, links: DataFrame) -> DataFrame:
         tried = stored(tried.select("a", "b").distinct(), "tried")
         links = links.unionByName(join.verified(tried))
         pairs = open_.join(tried, ["a", "b"], "left_anti")
-        tries *= 4
+        tries *= 8
 
 
 def group_documents(
