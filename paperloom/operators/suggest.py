@@ -88,19 +88,36 @@ def grouped_suggestions(offered: DataFrame, size: int, main: str) -> DataFrame:
 
 # Longer prefixes have few terms and are looked up in the sorted term table.
 LONGEST_PREFIX = 24
+# Terms with so many first letters in common are ordered in one task.
+GROUP_LETTERS = 3
 PREFIX_SCHEMA = "prefix string, terms array<string>, doc_type string"
 
 
+def offering_prefixes(terms: DataFrame, size: int = SUGGESTIONS) -> DataFrame:
+    """(doc_type, term, prefix): every term with those of its prefixes that it may be among the first ``size`` terms of.
+
+    The terms of a prefix follow each other in order, so a term is none of the first for prefixes it shares
+    with the term ``size`` places before it. Terms are ordered within groups of the same first letters.
+    """
+    ends = F.sequence(F.lit(0), F.least(F.length("term"), F.lit(LONGEST_PREFIX)))
+    group = Window.partitionBy("doc_type", F.substring("term", 1, GROUP_LETTERS)).orderBy("term")
+    placed = terms.select("doc_type", "term").distinct().withColumn("_before", F.lag("term", size).over(group))
+
+    def start(term: str, n: Column) -> Column:
+        return F.substr(term, F.lit(1), n)
+
+    offering = F.filter(ends, lambda n: F.col("_before").isNull() | (start("term", n) != start("_before", n)))
+    return placed.select("doc_type", "term", F.explode(F.transform(offering, lambda n: start("term", n))).alias("prefix"))
+
+
 def prefix_table(terms: DataFrame, size: int = SUGGESTIONS) -> DataFrame:
     """(doc_type, prefix, terms): the first ``size`` terms of every prefix of up to `LONGEST_PREFIX` letters.
 
-    The empty prefix and single letters hold a large share of all terms; every task keeps its own
-    first terms of a prefix before the shuffle.
+    The empty prefix and single letters hold a large share of all terms; what several groups offer for
+    them is ranked at last, and every task keeps its own first terms before the shuffle.
     """
-    ends = F.sequence(F.lit(0), F.least(F.length("term"), F.lit(LONGEST_PREFIX)))
-    each = terms.select("doc_type", "term", F.explode(F.transform(ends, lambda n: F.substr("term", F.lit(1), n))).alias("prefix"))
     order = Window.partitionBy("doc_type", "prefix").orderBy("term")
-    first = each.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size)
+    first = offering_prefixes(terms, size).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size)
     return first.groupBy("doc_type", "prefix").agg(F.sort_array(F.collect_list("term")).alias("terms"))
 
 

@@ -229,3 +229,17 @@ def test_prefix_tables_merge_in_any_order_and_lose_terms(spark, terms):
     gone = terms.where(F.col("term").startswith("er"))
     left = terms.where(~F.col("term").startswith("er"))
     assert as_dict(suggest.without_terms(suggest.prefix_table(terms), gone, left)) == as_dict(suggest.prefix_table(left))
+
+
+def test_only_prefixes_that_can_offer_a_term_are_made(spark):
+    rows = [("word", f"abc{n:03d}") for n in range(60)] + [("word", "ab"), ("word", "ab"), ("pdf", "abc000"), ("pdf", "")]
+    terms = literal_rows(spark, rows, ["doc_type", "term"])
+    made = suggest.offering_prefixes(terms, 2)
+    per_prefix = made.groupBy("doc_type", "prefix").count().agg(F.max("count")).first()[0]
+    assert per_prefix <= 2 * 3  # groups: "", "ab" and "abc"; all 61 terms share the prefix "ab"
+    want: dict = {}
+    for kind, term in sorted(set(rows)):
+        for n in range(len(term) + 1):
+            want.setdefault((kind, term[:n]), []).append(term)
+    found = {(r.doc_type, r.prefix): r.terms for r in suggest.prefix_table(terms, 2).collect()}
+    assert found == {key: offered[:2] for key, offered in want.items()}
