@@ -27,10 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.index import field_rows, term_runs
-from paperloom.plans.sizing import partitions_for
+from paperloom.plans.sizing import for_hash_join, partitions_for
+from paperloom.session import aggregation_in_order
 
 # About so many documents of one length class share an interval.
 INTERVAL_DOCS = 128
+# What one task of the block table gets, in stored bytes of forward rows; its postings are some thirty times as large in memory.
+BLOCK_TASK_BYTES = 16 * 1024 * 1024
+BLOCK_ORDER = ("field", "term", "doc_type", "interval")
 # Length classes: powers of two.
 CLASS_SHIFT = 32
 GRAM = 3
@@ -74,20 +78,29 @@ def forward_rows(corpus: DataFrame, bits: int) -> DataFrame:
 
 
 def block_rows(forward: DataFrame, partitions: int) -> DataFrame:
-    """Blocks of forward rows, sorted; the range partitioning also serves the grouping: one shuffle."""
-    one = forward.select("doc_type", "id", "interval", "field", "dl", F.inline("runs"))
-    dealt = one.repartitionByRange(partitions, "field", "term", "doc_type", "interval")
-    return dealt.groupBy("field", "term", "doc_type", "interval").agg(
+    """Blocks of forward rows, sorted within files.
+
+    Documents move, not postings: all of an interval meet in one task, which sorts its own postings.
+    A file has all terms of its intervals, so that a hot term is read by as many tasks as there are files.
+    """
+    dealt = forward.repartition(partitions, "doc_type", "interval")
+    one = dealt.select("doc_type", "id", "interval", "field", "dl", F.inline("runs"))
+    return one.sortWithinPartitions(*BLOCK_ORDER).groupBy(*BLOCK_ORDER).agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-        F.array_sort(F.collect_list(F.struct("id", "tf", "dl", "positions"))).alias("docs"),
-    ).sortWithinPartitions("field", "term", "doc_type", "interval")
+        F.sort_array(F.collect_list(F.struct("id", "tf", "dl", "positions"))).alias("docs"),
+    ).sortWithinPartitions(*BLOCK_ORDER)
+
+
+def counted(forward: DataFrame, *more: str) -> DataFrame:
+    """What the counts need of forward rows: terms and frequencies without positions, which are not read then."""
+    return forward.select("doc_type", "field", "dl", F.col("runs.term").alias("terms"), F.col("runs.tf").alias("tfs"), *more)
 
 
 def signed_doc_freq(forward: DataFrame) -> DataFrame:
-    """Counts per term of forward rows with a ``sign``; terms whose counts cancel out have no row."""
-    terms = forward.select("doc_type", "field", "sign", F.explode("runs").alias("r"))
-    counts = terms.groupBy("doc_type", "field", F.col("r.term").alias("term")).agg(
-        F.sum("sign").cast("long").alias("df"), F.sum(F.col("sign") * F.col("r.tf")).cast("long").alias("total_tf")
+    """Counts per term of `counted` rows with a ``sign``; terms whose counts cancel out have no row."""
+    terms = forward.select("doc_type", "field", "sign", F.explode(F.arrays_zip("terms", "tfs")).alias("r"))
+    counts = terms.groupBy("doc_type", "field", F.col("r.terms").alias("term")).agg(
+        F.sum("sign").cast("long").alias("df"), F.sum(F.col("sign") * F.col("r.tfs")).cast("long").alias("total_tf")
     )
     return counts.where((F.col("df") != 0) | (F.col("total_tf") != 0))
 
@@ -145,7 +158,7 @@ class BlockIndex:
         """Rows (id, layer) that no later layer has made void. ``gone`` holds ids only; its size decides the join."""
         if len(self.layers()) < 2:
             return rows
-        last = self.table("gone").groupBy("id").agg(F.max("layer").alias("_gone"))
+        last = for_hash_join(self.table("gone").groupBy("id").agg(F.max("layer").alias("_gone")))
         return rows.join(last, "id", "left").where(F.coalesce("_gone", F.lit(0)) <= F.col("layer")).drop("_gone")
 
     def forward(self) -> DataFrame:
@@ -162,6 +175,13 @@ class BlockIndex:
         )
         return self.live(rows).select("doc_type", "id", "field", "term", "tf", "dl", "positions")
 
+    def all_postings(self) -> DataFrame:
+        """`postings` of all terms, from the forward table: a document moves once with all it has, not once per term."""
+        live = self.live(self.table("forward").select("doc_type", "id", "field", "dl", "runs", "layer"))
+        return live.select("doc_type", "id", "field", "dl", F.inline("runs")).select(
+            "doc_type", "id", "field", "term", "tf", "dl", "positions"
+        )
+
     def doc_freq(self) -> DataFrame:
         """Documents and occurrences per kind, field and term: the sum over the layers."""
         sums = self.table("doc_freq").groupBy("doc_type", "field", "term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
@@ -185,8 +205,7 @@ class BlockIndex:
         if not layers:
             raise ValueError("build the index first")
         bits = layers[0]["bits"]
-        stale = changed.select("id").unionByName(removed.select("id")).distinct()
-        return self._add(forward_rows(changed, bits), stale, whole=False, bits=bits)
+        return self._add(forward_rows(changed, bits), removed.select("id"), whole=False, bits=bits)
 
     def compact(self) -> BlockIndex:
         """Fold all layers into a full one without reading any text."""
@@ -197,7 +216,7 @@ class BlockIndex:
         folded = live.withColumn("interval", interval_of(F.col("id"), of_class, bits))
         return self._add(folded, None, whole=True, bits=bits)
 
-    def _add(self, new: DataFrame, stale: DataFrame | None, whole: bool, bits: int) -> BlockIndex:
+    def _add(self, new: DataFrame, removed: DataFrame | None, whole: bool, bits: int) -> BlockIndex:
         known = self.layers()
         number = known[-1]["layer"] + 1 if known else 1
 
@@ -207,13 +226,15 @@ class BlockIndex:
             return self.spark.read.schema(rows.schema).parquet(path)
 
         forward = put("forward", new)
-        signed = forward.withColumn("sign", F.lit(1))
-        if stale is not None:
-            ids = put("gone", stale)
-            old = self.forward().join(ids, "id", "left_semi").select(*forward.columns)
+        signed = counted(forward).withColumn("sign", F.lit(1))
+        if removed is not None:
+            ids = put("gone", forward.select("id").unionByName(removed).distinct())
+            stale = counted(self.table("forward"), "id", "layer").join(for_hash_join(ids), "id", "left_semi")
+            old = self.live(stale).drop("id", "layer")
             signed = signed.unionByName(old.withColumn("sign", F.lit(-1)))
-        n = partitions_for(forward)
-        put("blocks", block_rows(forward, n))
+        n = partitions_for(forward, BLOCK_TASK_BYTES)
+        with aggregation_in_order(self.spark):
+            put("blocks", block_rows(forward, n))
         counts = put("doc_freq", signed_doc_freq(signed).repartitionByRange("field", "term").sortWithinPartitions("field", "term"))
         put("field_stats", signed_field_stats(signed).coalesce(1))
         put("grams", gram_rows(counts.where(F.col("df") > 0)).repartitionByRange("gram").sortWithinPartitions("gram"))

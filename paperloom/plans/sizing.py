@@ -31,16 +31,16 @@ def source_bytes(df: DataFrame) -> int | None:
     return None if any(s >= UNKNOWN_BYTES for s in sizes) else sum(sizes)
 
 
-def partitions_of(size: int | None, configured: int, of_input: int) -> int:
+def partitions_of(size: int | None, configured: int, of_input: int, task_bytes: int = PARTITION_BYTES) -> int:
     """Partitions by size, at least the configured number; those of the input where the size is unknown."""
-    return max(configured, of_input if size is None else ceil(size / PARTITION_BYTES))
+    return max(configured, of_input if size is None else ceil(size / task_bytes))
 
 
-def partitions_for(df: DataFrame) -> int:
+def partitions_for(df: DataFrame, task_bytes: int = PARTITION_BYTES) -> int:
     """Partitions for a shuffle of the whole frame, in proportion to what its sources hold."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = source_bytes(df)
-    return partitions_of(size, configured, df.rdd.getNumPartitions() if size is None else 0)
+    return partitions_of(size, configured, df.rdd.getNumPartitions() if size is None else 0, task_bytes)
 
 
 def spread_small(df: DataFrame, key: str) -> DataFrame:
@@ -62,3 +62,12 @@ def broadcast_if_small(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> t
     """
     small = df.limit(row_limit + 1).count() <= row_limit
     return (F.broadcast(df), True) if small else (df, False)
+
+
+def for_hash_join(df: DataFrame) -> DataFrame:
+    """A side of narrow rows for a join with a much larger one: broadcast if small, else hashed after the shuffle.
+
+    In both cases the larger side is not sorted, so it does not spill.
+    """
+    marked, small = broadcast_if_small(df)
+    return marked if small else df.hint("shuffle_hash")

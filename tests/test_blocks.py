@@ -243,3 +243,30 @@ def test_only_prefixes_that_can_offer_a_term_are_made(spark):
             want.setdefault((kind, term[:n]), []).append(term)
     found = {(r.doc_type, r.prefix): r.terms for r in suggest.prefix_table(terms, 2).collect()}
     assert found == {key: offered[:2] for key, offered in want.items()}
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_move_documents_not_postings(index):
+    from paperloom.operators.block_index import block_rows
+    from paperloom.session import aggregation_in_order
+
+    with aggregation_in_order(index.spark):
+        plan = plan_of(block_rows(index.table("forward").drop("layer"), 4))
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(doc_type" in plan and plan.count("Sort [") == 1
+    assert plan.index("Generate") < plan.index("Exchange ") and "ObjectHashAggregate" not in plan
+
+
+def test_all_postings_are_those_of_the_blocks_after_changes(spark, corpus, tmp_path):
+    changed = BlockIndex(spark, str(tmp_path)).build(corpus.where("doc_id % 4 != 1"))
+    changed.apply(corpus.where("doc_id % 4 = 1 or doc_id % 5 = 0").withColumn("content", F.concat("content", F.lit(" more"))), corpus.where("doc_id = -1").select("id"))
+    changed.apply(corpus.where("doc_id = -1"), corpus.where("doc_id % 7 = 0").select("id"))
+
+    def key(rows):
+        return sorted((r.doc_type, r.id, r.field, r.term, r.tf, r.dl, tuple(r.positions)) for r in rows.collect())
+
+    assert key(changed.all_postings()) == key(changed.postings())
+    freq = changed.all_postings().groupBy("doc_type", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+    assert freq.exceptAll(changed.doc_freq()).count() == 0 == changed.doc_freq().exceptAll(freq).count()
