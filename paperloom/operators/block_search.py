@@ -27,12 +27,16 @@ from paperloom.operators.block_index import GRAM, TERM_END, TERM_START, BlockInd
 from paperloom.operators.index import distinct_terms, query_terms
 from paperloom.operators.search import SCORE_DIGITS, index_weights, matches_all, select_kinds
 from paperloom.plans.columns import computed_once
+from paperloom.plans.sizing import for_hash_join
+from paperloom.plans.staging import stored
 
 FIELDS = ("content", "comments")
 # Intervals that are scored first, per wanted document; each has one matching document at least.
 SEEDS_PER_HIT = 4
 # Up to so many intervals are named in the scan's filter, where they skip row groups; more are joined.
 NAMED_INTERVALS = 1_000
+# The same for the terms that fit a pattern.
+NAMED_TERMS = 1_000
 # More than rounding and summation order can move a score.
 MARGIN = 1e-5
 # Leaves per word of the bit set.
@@ -217,10 +221,15 @@ def _wanted(index: BlockIndex, leaves: _Leaves, kinds: Sequence[str] | None) ->
     read = blocks.where(reduce(lambda a, b: a | b, [t for _, t in simple], F.lit(False)))
     tagged = [read.withColumn("_set", _bit_rows(simple, leaves.words))]
     for i, pattern in leaves.patterns():
-        # Matching terms may be many: their size decides how they meet the blocks.
-        terms = matching_terms(index.table("grams"), index.table("doc_freq"), pattern)
+        # Few matching terms are named in the scan's filter, where they skip row groups; more are joined.
+        terms = stored(matching_terms(index.table("grams"), index.table("doc_freq"), pattern), "terms")
+        named = [r["term"] for r in terms.limit(NAMED_TERMS + 1).collect()]
+        if len(named) <= NAMED_TERMS:
+            chosen = blocks.where(term.isin(*named))
+        else:
+            chosen = blocks.join(for_hash_join(terms), "term", "left_semi").select(*blocks.columns)
         bit = F.array(F.struct(F.lit(i // WORD_BITS).alias("w"), F.lit(1 << i % WORD_BITS).cast("long").alias("b")))
-        tagged.append(blocks.join(terms, "term", "left_semi").select(*blocks.columns).withColumn("_set", bit))
+        tagged.append(chosen.withColumn("_set", bit))
     rows = reduce(lambda a, b: a.unionByName(b), tagged)
     each = rows.select("doc_type", "field", "term", "layer", "_set", F.inline("docs"))
     live = index.live(each)

@@ -270,3 +270,11 @@ def test_all_postings_are_those_of_the_blocks_after_changes(spark, corpus, tmp_p
     assert key(changed.all_postings()) == key(changed.postings())
     freq = changed.all_postings().groupBy("doc_type", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
     assert freq.exceptAll(changed.doc_freq()).count() == 0 == changed.doc_freq().exceptAll(freq).count()
+
+
+def test_terms_of_a_pattern_are_named_or_joined(index, monkeypatch):
+    named = bs.search(index, bs.Wildcard("er*at"))
+    assert "LeftSemi" not in plan_of(named)
+    found = ranking(named)
+    monkeypatch.setattr(bs, "NAMED_TERMS", 0)
+    assert found and ranking(bs.search(index, bs.Wildcard("er*at"))) == found
