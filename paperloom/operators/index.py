@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from paperloom.functions import text as tx
 from paperloom.plans.sizing import partitions_for
 
+# What one task that counts terms gets, in stored bytes of its texts; its hash table is some fifty times as large.
+TEXT_TASK_BYTES = 8 * 1024 * 1024
 POSTINGS_SCHEMA = T.StructType(
     [
         T.StructField("doc_type", T.StringType()),
@@ -45,11 +47,12 @@ def term_counts(docs: DataFrame, text: Column, *keys: str,
                 vocabulary: DataFrame | None = None) -> DataFrame:
     """One row per document and term: keys, ``dl``, ``term``, ``tf``.
 
-    ``keys`` have to identify the document. All tokens of a document sit in one partition, so
-    the partial aggregate before the shuffle already yields the final rows. A ``vocabulary``
-    (column ``term``, small) drops all other tokens before anything is shuffled.
+    ``keys`` have to identify the document. Texts are dealt out by them: a text moves once instead of
+    a row per term, its terms are counted where it is, and later aggregates by document need no
+    shuffle. A ``vocabulary`` (column ``term``, small) drops all other tokens.
     """
-    arrays = docs.select(*keys, tx.tokens(text).alias("_tokens"))
+    dealt = docs.repartition(partitions_for(docs, TEXT_TASK_BYTES), *keys)
+    arrays = dealt.select(*keys, tx.tokens(text).alias("_tokens"))
     exploded = arrays.select(
         *keys, F.size("_tokens").alias("dl"), F.explode_outer("_tokens").alias("term")
     ).where(F.col("term").isNotNull())

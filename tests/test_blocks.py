@@ -278,3 +278,15 @@ def test_terms_of_a_pattern_are_named_or_joined(index, monkeypatch):
     found = ranking(named)
     monkeypatch.setattr(bs, "NAMED_TERMS", 0)
     assert found and ranking(bs.search(index, bs.Wildcard("er*at"))) == found
+
+
+def test_terms_are_counted_where_the_text_is(spark):
+    from paperloom.operators import index as ix
+
+    rows = [(1, "a b a"), (2, "b"), (2, "b c"), (3, ""), (None, "a")]
+    docs = literal_rows(spark, rows, ["doc_id", "text"])
+    counts = ix.term_counts(docs, F.col("text"), "doc_id")
+    plan = plan_of(counts)
+    assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")
+    assert sorted(map(tuple, counts.where("doc_id is not null").collect())) == [(1, 3, "a", 2), (1, 3, "b", 1), (2, 1, "b", 1), (2, 2, "b", 1), (2, 2, "c", 1)]
+    assert counts.where("doc_id is null").count() == 1
