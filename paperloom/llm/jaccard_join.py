@@ -13,8 +13,9 @@ Exact join by prefix lists, with set-relation skipping (Wang and others 2017):
    whole sets: one candidate of each set first, then those that the components so far leave open;
 5. the answers of all entries of a list that have become one component follow from each other: such lists, the
    long lists of large groups of copies, are skipped. In the others only pairs across components are still open; these
-   are compared by sketch in blocks and verified in rounds, the closest first; what has become one component meanwhile
-   is settled.
+   are compared by sketch in blocks, in rounds: each set names the closest of its partners in a list, one at first and
+   eight times as many each time, and these are verified. What has become one component meanwhile is settled and not
+   named again; a list that has named all its open pairs is done.
 
 So no pair within a group of copies is listed but one per entry and list, and no link that would join two components is
 lost. Hot lists arrive with one row per set and batch; open lists and hot first entries are split into blocks.
@@ -33,7 +34,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.llm.common import WordHashes, gram_hashes, mixed, removed, signed, slices, stored, texts
 from paperloom.llm.components import components
@@ -56,7 +56,7 @@ NULL_ID = -(1 << 63)
 SETS = "id long, key int, n long, name long, sketch array<long>, shingle long, documents long"
 ENTRIES = "shingle long, name long, n int"
 FOUND = "shingle long, a long, n long, b long"
-OPEN = "a long, b long, gap long"
+OPEN = "shingle long, a long, b long"
 
 
 def shingles(text: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -210,10 +210,13 @@ def _candidates(stream, percent: int):
     yield made(lists)
 
 
-def _across(stream, percent: int):
-    """Open lists in blocks (shingle, i, j): pairs of different components that size and sketch allow."""
+def _across(stream, percent: int, tries: int):
+    """Open lists in blocks (shingle, i, j): pairs of different components that size and sketch allow.
 
-    def pairs(rows: list) -> pa.RecordBatch:
+    Each set names its closest larger partners, up to ``tries``; a row with the shingle alone says that a list has more.
+    """
+
+    def pairs(shingle: int, rows: list) -> pa.RecordBatch:
         name, block, size, part = (np.array(c) for c in zip(*[r[:4] for r in rows], strict=True))
         order = np.argsort(size, kind="stable")
         name, block, size, part = (c[order] for c in (name, block, size, part))
@@ -226,9 +229,9 @@ def _across(stream, percent: int):
         half = {m: folded(whole[m]) for m in lengths if m // 2 in place}
         far = np.searchsorted(size, size * 100 // percent, "right")
         split = len(set(block.tolist())) > 1
-        a, b, gap = [], [], []
+        a, b, more = [], [], False
         for k in range(len(name)):
-            own = int(words[k])
+            own, found, gap = int(words[k]), [], []
             for m, sketch in ((own, whole), (2 * own, half)):
                 if m not in sketch:
                     continue
@@ -241,22 +244,28 @@ def _across(stream, percent: int):
                 differ = np.bitwise_count(sketch[m][first:last][open_] ^ sketches[k]).sum(1, dtype=np.int64)
                 total = size[other] + size[k]
                 fit = possible(differ, total, percent)
-                other = other[fit]
-                a += [name[k]] * len(other)
-                b += name[other].tolist()
-                gap += (1000 * differ[fit] // total[fit]).tolist()
-        return _batch([a, b, gap], OPEN)
+                found.append(other[fit])
+                gap.append(differ[fit] / total[fit])
+            if not any(map(len, found)):
+                continue
+            found = np.concatenate(found)
+            if len(found) > tries:
+                found, more = found[np.lexsort((name[found], np.concatenate(gap)))[:tries]], True
+            a += [name[k]] * len(found)
+            b += name[found].tolist()
+        none = [None] * more
+        return _batch([[None] * len(a) + [shingle] * more, a + none, b + none], OPEN)
 
     group, held = None, []
     for batch in stream:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:3] != group:
                 if held:
-                    yield pairs(held)
+                    yield pairs(group[0], held)
                 group, held = row[:3], []
             held.append(row[3:])
     if held:
-        yield pairs(held)
+        yield pairs(group[0], held)
 
 
 def possible(differ, total, percent: int = PERCENT):
@@ -336,23 +345,44 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).drop("part_a", "part_b")
 
 
-def _completed(join: _Join, pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The links with those among open pairs (a, b, gap) that join components.
+def _named(join: _Join, lists: DataFrame, groups: DataFrame, tries: int) -> DataFrame:
+    """Of the lists (shingle, name, n) that hold several components: the pairs that their sets name, in blocks."""
+    part = F.coalesce("component", "name").alias("part")
+    lists = lists.join(groups.withColumnRenamed("node", "name"), "name", "left").select("shingle", "name", "n", part)
+    lists = stored(lists, "lists")
+    open_ = lists.groupBy("shingle").agg(F.count("*").alias("g"), F.min("part").alias("x"), F.max("part").alias("y"))
+    open_ = open_.filter("x < y").select("shingle", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    split = lists.join(open_, "shingle").join(join.reps.select("name", "sketch"), "name")
+    split = split.withColumn("block", F.pmod(F.hash("name"), F.col("blocks")))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select(
+        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "name", "block", "n", "part", "sketch",
+    )
+    dealt = split.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    percent = join.percent
+    named = stored(dealt.mapInArrow(lambda stream: _across(stream, percent, tries), OPEN), "named")
+    removed(lists)
+    return named
+
+
+def _completed(join: _Join, lists: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+    """The links with those that the lists (shingle, name, n) still hold between components.
 
-    In each round every set tries the partners whose sketches are closest to its own, one at first and eight times as
-    many each time; pairs whose sets have come together meanwhile are settled without being read.
+    A list takes part until its sets have named all their open pairs; pairs tried before are not verified again.
     """
-    tries = 1
+    tries, tried = 1, None
     while True:
-        open_ = stored(_apart(pairs, components(links)), "open")
-        if open_.isEmpty():
+        named = _named(join, lists, groups, tries)
+        pairs = named.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        links = links.unionByName(join.verified(pairs))
+        more = named.filter("shingle is not null").select("shingle").distinct()
+        if more.isEmpty():
             return links
-        either = open_.select("a", "b", "gap", F.col("a").alias("own")).unionByName(open_.select("a", "b", "gap", F.col("b").alias("own")))
-        closest = Window.partitionBy("own").orderBy("gap", "a", "b")
-        tried = either.withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= tries)
-        tried = stored(tried.select("a", "b").distinct(), "tried")
-        links = links.unionByName(join.verified(tried))
-        pairs = open_.join(tried, ["a", "b"], "left_anti")
+        lists = lists.join(more, "shingle", "left_semi")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        groups = stored(components(links), "components")
         tries *= 8
 
 
@@ -379,25 +409,10 @@ def group_documents(
     links = links.unionByName(join.verified(_apart(likely, groups).select("a", "b")))
     groups = stored(components(links), "components")
 
-    part = F.coalesce("component", "name").alias("part")
     lists = found.filter("b is null").select("shingle", F.col("a").alias("name"), "n")
-    lists = lists.join(groups.withColumnRenamed("node", "name"), "name", "left").select("shingle", "name", "n", part)
-    lists = stored(lists, "lists")
-    open_ = lists.groupBy("shingle").agg(F.count("*").alias("g"), F.min("part").alias("x"), F.max("part").alias("y"))
-    open_ = open_.filter("x < y").select("shingle", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-    split = lists.join(open_, "shingle").join(join.reps.select("name", "sketch"), "name")
-    split = split.withColumn("block", F.pmod(F.hash("name"), F.col("blocks")))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select(
-        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "name", "block", "n", "part", "sketch",
-    )
-    dealt = split.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    rest = dealt.mapInArrow(lambda stream: _across(stream, percent), OPEN).select(*pair, "gap")
-    rest = stored(rest.groupBy("a", "b").agg(F.min("gap").alias("gap")), "rest")
-    links = _completed(join, rest, links)
-    groups = components(links)
+    groups = components(_completed(join, lists, links, groups))
 
+    part = F.coalesce("component", "name").alias("part")
     grouped = sets.join(groups.withColumnRenamed("node", "name"), "name", "left")
     grouped = stored(grouped.select("id", "key", "n", "name", part), "groups")
     least = grouped.filter("part is not null").groupBy("part")

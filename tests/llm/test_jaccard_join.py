@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from paperloom.llm import jaccard_join as op
@@ -64,3 +66,22 @@ def test_components(spark):
     links = [(5, 4), (4, 3), (9, 8), (3, 2), (2, 1), (8, 9), (7, 7), (-6, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {5: 1, 4: 1, 3: 1, 2: 1, 1: 1, 9: -6, 8: -6, -6: -6}
+
+
+def test_open_lists_name_few_pairs(monkeypatch):
+    rng = random.Random(5)
+    base = rng.sample(range(1 << 62), 200)
+    rows = []
+    for k in range(300):
+        own = np.unique(np.array(base[: 200 - k % 7] + rng.sample(range(1 << 62), 12), np.uint64))
+        rows.append((k, 0, len(own), k, op.sketch_of(own).tolist()))
+    kinds = ["name", "block", "n", "part", "sketch"]
+    batch = pa.RecordBatch.from_pylist([{"shingle": 5, "i": 0, "j": 0, **dict(zip(kinds, r, strict=True))} for r in rows])
+    counts = {}
+    for tries in (1, 8, 512):
+        made = [r for b in op._across([batch], op.PERCENT, tries) for r in b.to_pylist()]
+        pairs = [r for r in made if r["a"] is not None]
+        assert len({(r["a"], r["b"]) for r in pairs}) == len(pairs) <= tries * len(rows)
+        assert [r["shingle"] for r in made if r["a"] is None] == ([5] if tries < 512 else [])
+        counts[tries] = len(pairs)
+    assert counts[1] == 299 and counts[512] == 300 * 299 // 2
