@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import slices
+from paperloom.llm.common import slices, stored
 from paperloom.llm.encoding import documents_of, token_table
 from paperloom.llm.tokens import encoder, tokenizer_path
 
@@ -77,9 +78,39 @@ def _whole_windows(kind: str):
     return run
 
 
-def _tail(raw: bytes, kind: str) -> np.ndarray:
-    ids = np.frombuffer(raw, kind)
-    return ids[len(ids) // WINDOW * WINDOW :]
+def _tails(column: pa.Array, kind: str) -> tuple[np.ndarray, list[bytes]]:
+    """Of documents with a tail: their rows, and the ids of the tails."""
+    window = WINDOW * np.dtype(kind).itemsize
+    tails = [raw[len(raw) // window * window :] for raw in column.to_pylist()]
+    rows = [k for k, t in enumerate(tails) if t]
+    return np.array(rows, np.int64), [tails[k] for k in rows]
+
+
+def _pairs(tails: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tail, id and frequency of every distinct id of each tail, in this order."""
+    flat = np.frombuffer(b"".join(tails), kind)
+    width = int(flat.max(initial=0)) + 1
+    whole = np.uint32 if len(tails) * width < 1 << 32 else np.uint64
+    sizes = np.array([len(t) for t in tails], np.int64) // np.dtype(kind).itemsize
+    keys = np.sort(np.repeat(np.arange(len(tails), dtype=whole) * whole(width), sizes) + flat.astype(whole))
+    first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    tail, ids = np.divmod(keys[first], whole(width))
+    return tail.astype(np.int64), ids.astype(np.int64), np.diff(np.append(first, len(keys)))
+
+
+def _most_telling(tail: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int) -> list[np.ndarray]:
+    """The ids of the three largest weights of each of ``n`` tails, ties by id; -1 where there are fewer."""
+    weights, out = weights.copy(), []
+    begin = np.searchsorted(tail, np.arange(n))
+    for _ in range(3 if n else 0):
+        best = np.maximum.reduceat(weights, begin)
+        at = np.flatnonzero((weights == best[tail]) & (weights > -np.inf))
+        at = at[np.concatenate([[True], tail[at][1:] != tail[at][:-1]])[: len(at)]]
+        own = np.full(n, -1, np.int64)
+        own[tail[at]] = ids[at]
+        weights[at] = -np.inf
+        out.append(own)
+    return out or [np.zeros(0, np.int64)] * 3
 
 
 def _statistics(kind: str):
@@ -88,13 +119,10 @@ def _statistics(kind: str):
     def run(stream):
         df, tails, tokens = np.zeros(0, np.int64), 0, 0
         for batch in slices(stream, 0):
-            for raw in batch.column(0).to_pylist():
-                ids = _tail(raw, kind)
-                if len(ids):
-                    distinct = np.unique(ids)
-                    df = np.pad(df, (0, max(0, int(distinct[-1]) + 1 - len(df))))
-                    df[distinct] += 1
-                    tails, tokens = tails + 1, tokens + len(ids)
+            _, own = _tails(batch.column(0), kind)
+            counted = np.bincount(_pairs(own, kind)[1], minlength=len(df))
+            counted[: len(df)] += df
+            df, tails, tokens = counted, tails + len(own), tokens + sum(map(len, own)) // np.dtype(kind).itemsize
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([df[at], [tails, tokens]]))], ["id", "n"]
@@ -120,19 +148,16 @@ def _keyed_tails(statistics, kind: str):
     def run(stream):
         idf = statistics.value.idf
         for batch in slices(stream, 1):
-            out: list[list] = [[], [], [], [], [], [], []]
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tail = _tail(raw, kind)
-                if len(tail):
-                    ids, tf = np.unique(tail, return_counts=True)
-                    top = ids[np.argsort(-idf[ids] * tf / (tf + K1), kind="stable")[:3]].tolist()
-                    n = len(raw) // tail.itemsize
-                    row = (doc_id, n, n - len(tail), tail.tobytes(), *(top + [-1, -1])[:3])
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+            rows, tails = _tails(batch.column(1), kind)
+            tail, ids, tf = _pairs(tails, kind)
+            top = _most_telling(tail, ids, idf[ids] * tf / (tf + K1), len(tails))
+            width = np.dtype(kind).itemsize
+            n = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)[rows].astype(np.int64) // width
+            start = n - np.array([len(t) for t in tails], np.int64) // width
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], [f.split()[0] for f in TAILS.split(", ")]
+                [batch.column(0).take(pa.array(rows)), pa.array(n), pa.array(start), pa.array(tails, pa.binary())]
+                + [pa.array(t.astype(np.int32)) for t in top],
+                [f.split()[0] for f in TAILS.split(", ")],
             )
 
     return run
@@ -149,14 +174,24 @@ class Index:
         norm = K1 * (1 - B + B * sizes[self._doc] / max(statistics.mean, 1e-9))
         self._weight = statistics.idf[self._term] * tf * (K1 + 1) / (tf + norm)
         self._n = len(tails)
+        self._from = np.searchsorted(self._term, np.arange(int(self._term.max(initial=0)) + 2))
+        # Terms that every fourth tail holds are rows of a matrix.
+        self._size = np.diff(self._from)
+        hot = np.flatnonzero(self._size * 4 > len(tails))
+        self._row = np.full(len(self._size), -1)
+        self._row[hot] = np.arange(len(hot))
+        self._dense = np.zeros((len(hot), len(tails)))
+        held = self._row[self._term] >= 0
+        self._dense[self._row[self._term[held]], self._doc[held]] = self._weight[held]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """The score of every tail for the distinct tokens of a query."""
         terms = np.unique(query).astype(np.int64)
-        low, high = np.searchsorted(self._term, terms), np.searchsorted(self._term, terms, "right")
-        size = high - low
+        terms = terms[terms < len(self._row)]
+        row = self._row[terms]
+        low, size = self._from[terms[row < 0]], self._size[terms[row < 0]]
         at = np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
-        return np.bincount(self._doc[at], self._weight[at], self._n)
+        return np.bincount(self._doc[at], self._weight[at], self._n) + self._dense[row[row >= 0]].sum(0)
 
 
 class Packer:
@@ -211,10 +246,11 @@ class Packer:
                 near = np.flatnonzero(unused)
                 near = near[np.argsort(-scores[near], kind="stable")]
                 least = size[near].min(initial=WINDOW)
-                for k in near[size[near] <= self._room].tolist():
+                fit = near[size[near] <= self._room]
+                for k, n in zip(fit.tolist(), size[fit].tolist(), strict=True):
                     if self._room < least:
                         break
-                    if size[k] <= self._room:
+                    if n <= self._room:
                         take(k)
                 if self._room:
                     left = near[unused[near]]
@@ -269,7 +305,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     counted = {r.id: r.n for r in counted.collect()}  # one row per vocabulary entry at most
     statistics = spark.sparkContext.broadcast(Statistics(counted))
     ranges = max(1, counted.get(-2, 0) * np.dtype(kind).itemsize // PART_BYTES)
-    tails = ids.mapInArrow(_keyed_tails(statistics, kind), TAILS)
+    tails = stored(ids.mapInArrow(_keyed_tails(statistics, kind), TAILS), "tails")  # ranges are found in a pass of their own
     key = ["a", "b", "c", "doc_id", "ids"]
     ranged = tails.repartitionByRange(ranges, *key).sortWithinPartitions(*key)
     part = F.spark_partition_id().cast("long").alias("part")

@@ -90,3 +90,33 @@ def test_index_scores_by_bm25():
             tf = (t == term).sum()
             want += statistics.idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / 3))
         assert abs(got[k] - want) < 1e-9
+
+
+def test_keys_of_tails_are_those_of_each_alone():
+    rng = np.random.default_rng(3)
+    tails = [rng.integers(0, 60, n).astype("<u2") for n in (1, 2, 3, 40, 500, 1000)]
+    idf = rng.random(60).round(1)
+    tail, ids, tf = op._pairs([t.tobytes() for t in tails], "<u2")
+    top = op._most_telling(tail, ids, idf[ids] * tf / (tf + op.K1), len(tails))
+    for k, t in enumerate(tails):
+        own, n = np.unique(t, return_counts=True)
+        assert ids[tail == k].tolist() == own.tolist() and tf[tail == k].tolist() == n.tolist()
+        want = own[np.argsort(-idf[own] * n / (n + op.K1), kind="stable")[:3]].tolist()
+        assert [int(c[k]) for c in top] == (want + [-1, -1])[:3]
+
+
+def test_keys_of_tails_are_made_once(spark, monkeypatch):
+    made, plain = spark.sparkContext.accumulator(0), op._keyed_tails
+
+    def counting(*given):
+        def run(stream):
+            for batch in plain(*given)(stream):
+                made.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(op, "_keyed_tails", counting)
+    monkeypatch.setattr(op, "PART_BYTES", 1 << 10)
+    docs = spark.createDataFrame([(k, f"words of text {k} " * 20) for k in range(100)], "doc_id long, text string")
+    assert op.pack(docs).count() >= 100 and made.value == 100
