@@ -110,3 +110,21 @@ def test_block_repeats_need_all_bytes():
         for c, hit in zip(contents, got, strict=True):
             for k, h in enumerate(hit):
                 assert h == (sum(o[k : k + 400] == c[k : k + 400] for o in contents) > 1)
+
+
+def test_first_pass_holds_little_at_a_time():
+    """One array of units in the first pass: peak memory well below a hundred megabytes."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdefgh ", k=2500)) + " "
+    rows = [(k, 0, f"{k} {text[k % 2000:]}{text}") for k in range(4000)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([r[2] for r in rows])], ["id", "key", "text"]
+    )
+    tracemalloc.start()
+    for _ in anchors._runs(suffix_dedup.KIND)([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140e6
