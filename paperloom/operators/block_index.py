@@ -27,13 +27,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.index import field_rows, term_runs
-from paperloom.plans.sizing import for_hash_join, partitions_for
-from paperloom.session import aggregation_in_order
+from paperloom.plans.sizing import broadcast_if_small, for_hash_join, partitions_for
+from paperloom.plans.skew import frequent_first_join
+from paperloom.plans.staging import stored
+from paperloom.session import aggregation_in_order, shuffles_dropped
 
 # About so many documents of one length class share an interval.
 INTERVAL_DOCS = 128
-# What one task of the block table gets, in stored bytes of forward rows; its postings are some thirty times as large in memory.
-BLOCK_TASK_BYTES = 16 * 1024 * 1024
+# What one task of the block table gets, in stored bytes of forward rows; its postings are some forty times as large in memory.
+BLOCK_TASK_BYTES = 12 * 1024 * 1024
+# A term has letters, digits and underscores only, so these two can stand between terms and positions.
+BETWEEN_TERMS, BETWEEN_PLACES = " ", ","
 BLOCK_ORDER = ("field", "term", "doc_type", "interval")
 # Length classes: powers of two.
 CLASS_SHIFT = 32
@@ -77,14 +81,51 @@ def forward_rows(corpus: DataFrame, bits: int) -> DataFrame:
     return runs.select("doc_type", "id", "interval", "field", "dl", F.coalesce("runs", empty).alias("runs"))
 
 
+def packed(forward: DataFrame, *keys: str) -> DataFrame:
+    """Forward rows that have terms, their runs as one text of terms and positions: a fraction of what the arrays take in a shuffle."""
+
+    def text(run: Column) -> Column:
+        return F.array_join(F.concat(F.array(run["term"]), run["positions"].cast("array<string>")), BETWEEN_PLACES)
+
+    texts = F.array_join(F.transform("runs", text), BETWEEN_TERMS).alias("packed")
+    return forward.where(F.col("dl") > 0).select(*keys, "dl", texts)
+
+
+def unpacked(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per document and term of `packed` rows: keys, ``dl``, ``term``, ``tf``, ``positions``."""
+    one = rows.select(*keys, "dl", F.explode(F.split("packed", BETWEEN_TERMS)).alias("_run"))
+    parts = one.select(*keys, "dl", F.split("_run", BETWEEN_PLACES).alias("_parts"))
+    return parts.select(
+        *keys, "dl", F.get("_parts", F.lit(0)).alias("term"), (F.size("_parts") - 1).alias("tf"),
+        F.slice("_parts", F.lit(2), F.size("_parts")).cast("array<int>").alias("positions"),
+    )
+
+
+def narrow(postings: DataFrame) -> DataFrame:
+    """Posting rows as they move one by one: ids that are hashes in hexadecimal as bytes, positions as text."""
+    is_hash = F.coalesce(F.lower(F.hex(F.unhex("id"))) == F.col("id"), F.lit(False))
+    return postings.select(
+        "doc_type", F.when(is_hash, F.unhex("id")).alias("_hash"), F.when(~is_hash, F.col("id")).alias("_id"), "field", "term", "dl",
+        F.array_join(F.col("positions").cast("array<string>"), BETWEEN_PLACES).alias("_places"),
+    )
+
+
+def widen(rows: DataFrame) -> DataFrame:
+    """Rows of `narrow` as they were, and what else they have got."""
+    places = rows.withColumn("_places", F.split("_places", BETWEEN_PLACES).cast("array<int>"))
+    own = (F.coalesce("_id", F.lower(F.hex("_hash"))).alias("id"), F.size("_places").alias("tf"), F.col("_places").alias("positions"))
+    return places.select("*", *own).drop("_hash", "_id", "_places")
+
+
 def block_rows(forward: DataFrame, partitions: int) -> DataFrame:
     """Blocks of forward rows, sorted within files.
 
     Documents move, not postings: all of an interval meet in one task, which sorts its own postings.
     A file has all terms of its intervals, so that a hot term is read by as many tasks as there are files.
     """
-    dealt = forward.repartition(partitions, "doc_type", "interval")
-    one = dealt.select("doc_type", "id", "interval", "field", "dl", F.inline("runs"))
+    keys = ("doc_type", "id", "interval", "field")
+    dealt = packed(forward, *keys).repartition(partitions, "doc_type", "interval")
+    one = unpacked(dealt, *keys)
     return one.sortWithinPartitions(*BLOCK_ORDER).groupBy(*BLOCK_ORDER).agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
         F.sort_array(F.collect_list(F.struct("id", "tf", "dl", "positions"))).alias("docs"),
@@ -92,13 +133,15 @@ def block_rows(forward: DataFrame, partitions: int) -> DataFrame:
 
 
 def counted(forward: DataFrame, *more: str) -> DataFrame:
-    """What the counts need of forward rows: terms and frequencies without positions, which are not read then."""
-    return forward.select("doc_type", "field", "dl", F.col("runs.term").alias("terms"), F.col("runs.tf").alias("tfs"), *more)
+    """What the counts need of forward rows that have terms: these as one text and frequencies, positions are not read then."""
+    terms = F.array_join("runs.term", BETWEEN_TERMS).alias("terms")
+    return forward.where(F.col("dl") > 0).select("doc_type", "field", "dl", terms, F.col("runs.tf").alias("tfs"), *more)
 
 
 def signed_doc_freq(forward: DataFrame) -> DataFrame:
     """Counts per term of `counted` rows with a ``sign``; terms whose counts cancel out have no row."""
-    terms = forward.select("doc_type", "field", "sign", F.explode(F.arrays_zip("terms", "tfs")).alias("r"))
+    lists = forward.select("doc_type", "field", "sign", F.split("terms", BETWEEN_TERMS).alias("terms"), "tfs")
+    terms = lists.select("doc_type", "field", "sign", F.explode(F.arrays_zip("terms", "tfs")).alias("r"))
     counts = terms.groupBy("doc_type", "field", F.col("r.terms").alias("term")).agg(
         F.sum("sign").cast("long").alias("df"), F.sum(F.col("sign") * F.col("r.tfs")).cast("long").alias("total_tf")
     )
@@ -154,12 +197,17 @@ class BlockIndex:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("layer").isin(*numbers))
 
+    def _gone(self) -> DataFrame:
+        """The last layer that made rows of an id void."""
+        return self.table("gone").groupBy("id").agg(F.max("layer").alias("_gone"))
+
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows (id, layer) that no later layer has made void. ``gone`` holds ids only; its size decides the join."""
-        if len(self.layers()) < 2:
-            return rows
-        last = for_hash_join(self.table("gone").groupBy("id").agg(F.max("layer").alias("_gone")))
-        return rows.join(last, "id", "left").where(F.coalesce("_gone", F.lit(0)) <= F.col("layer")).drop("_gone")
+        return rows if len(self.layers()) < 2 else self._kept(rows, for_hash_join(self._gone()))
+
+    @staticmethod
+    def _kept(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        return rows.join(gone, "id", "left").where(F.coalesce("_gone", F.lit(0)) <= F.col("layer")).drop("_gone")
 
     def forward(self) -> DataFrame:
         return self.live(self.table("forward"))
@@ -176,11 +224,24 @@ class BlockIndex:
         return self.live(rows).select("doc_type", "id", "field", "term", "tf", "dl", "positions")
 
     def all_postings(self) -> DataFrame:
-        """`postings` of all terms, from the forward table: a document moves once with all it has, not once per term."""
-        live = self.live(self.table("forward").select("doc_type", "id", "field", "dl", "runs", "layer"))
-        return live.select("doc_type", "id", "field", "dl", F.inline("runs")).select(
-            "doc_type", "id", "field", "term", "tf", "dl", "positions"
-        )
+        """`postings` of all terms, from the forward table: a document moves once with all it has, not once per term.
+
+        Where its void ids are too many for a broadcast, documents move packed.
+        """
+        forward, keys = self.table("forward"), ("doc_type", "id", "field")
+        gone, small = broadcast_if_small(self._gone()) if len(self.layers()) > 1 else (None, True)
+        if small:
+            live = forward.select(*keys, "dl", "runs", "layer")
+            found = (live if gone is None else self._kept(live, gone)).select(*keys, "dl", F.inline("runs"))
+        else:
+            found = unpacked(self._kept(packed(forward, *keys, "layer"), gone.hint("shuffle_hash")), *keys)
+        return found.select(*keys, "term", "tf", "dl", "positions")
+
+    def sized_postings(self) -> DataFrame:
+        """`all_postings` with ``df``, ``total_tf``, ``n_docs`` and ``sum_dl``; only postings of rarer terms move for it."""
+        counts = stored(self.doc_freq(), "counts")
+        found = frequent_first_join(self.all_postings(), counts, ["doc_type", "field", "term"], "df", narrow=narrow, widen=widen)
+        return found.join(F.broadcast(self.field_stats()), ["doc_type", "field"])
 
     def doc_freq(self) -> DataFrame:
         """Documents and occurrences per kind, field and term: the sum over the layers."""
@@ -195,7 +256,8 @@ class BlockIndex:
 
     def build(self, corpus: DataFrame) -> BlockIndex:
         """Write the index of a corpus as a full layer; older layers stay for readers that use them."""
-        n = corpus.count()
+        with shuffles_dropped(self.spark):
+            n = corpus.count()
         bits = max(0, ceil(log2(max(1, n / INTERVAL_DOCS))))
         return self._add(forward_rows(corpus, bits), None, whole=True, bits=bits)
 
@@ -222,7 +284,8 @@ class BlockIndex:
 
         def put(name: str, rows: DataFrame) -> DataFrame:
             path = f"{self.path}/{name}/layer={number}"
-            rows.write.mode("overwrite").parquet(path)
+            with shuffles_dropped(self.spark):
+                rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
             return self.spark.read.schema(rows.schema).parquet(path)
 
         forward = put("forward", new)
@@ -237,7 +300,7 @@ class BlockIndex:
             put("blocks", block_rows(forward, n))
         counts = put("doc_freq", signed_doc_freq(signed).repartitionByRange("field", "term").sortWithinPartitions("field", "term"))
         put("field_stats", signed_field_stats(signed).coalesce(1))
-        put("grams", gram_rows(counts.where(F.col("df") > 0)).repartitionByRange("gram").sortWithinPartitions("gram"))
+        put("grams", gram_rows(counts.where(F.col("df") > 0)).repartitionByRange("gram").sortWithinPartitions("gram", "term"))
         marker = self.spark.range(1).select(F.lit(number).alias("layer"), F.lit(whole).alias("whole"), F.lit(bits).alias("bits"))
         marker.write.mode("append").parquet(f"{self.path}/layers")
         self._layers = self._finished()

@@ -122,10 +122,7 @@ def _after_three_changes(spark, sf_dir) -> BlockIndex:
 @registered
 def index_delta(spark, sf_dir):
     """Postings with document frequencies and field sizes after three changes, none of them a rebuild."""
-    index = _after_three_changes(spark, sf_dir)
-    sizes = index.doc_freq().join(F.broadcast(index.field_stats()), ["doc_type", "field"])
-    found = index.all_postings().join(sizes.hint("shuffle_hash"), ["doc_type", "field", "term"])
-    return found.select(
+    return _after_three_changes(spark, sf_dir).sized_postings().select(
         "id", "doc_type", "field", "term", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"),
         F.array_join(F.col("positions").cast("array<string>"), "|").alias("positions"), "df", "total_tf", "n_docs", "sum_dl",
     )

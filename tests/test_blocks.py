@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+from pathlib import Path
 
 import pytest
 from paths import SMALL
@@ -290,3 +292,84 @@ def test_terms_are_counted_where_the_text_is(spark):
     assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")
     assert sorted(map(tuple, counts.where("doc_id is not null").collect())) == [(1, 3, "a", 2), (1, 3, "b", 1), (2, 1, "b", 1), (2, 2, "b", 1), (2, 2, "c", 1)]
     assert counts.where("doc_id is null").count() == 1
+
+
+def shuffle_files(spark) -> set[str]:
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_shuffles_of_a_layer_go_when_it_is_written(spark, corpus, tmp_path):
+    corpus.count()
+    before = shuffle_files(spark)
+    index = BlockIndex(spark, str(tmp_path)).build(corpus.where("doc_id % 4 != 1"))
+    index.apply(corpus.where("doc_id % 4 = 1"), corpus.where("doc_id % 7 = 0").select("id"))
+    for _ in range(50):  # removed in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+
+
+def test_packed_rows_are_what_was_packed(spark):
+    from paperloom.operators.block_index import forward_rows, packed, unpacked
+
+    texts = [(1, "a1", "word", "B a b_1 ä a"), (2, "a2", None, "x"), (3, None, "pdf", "7 7 7"), (4, "a4", "pdf", " ,; "), (5, "a5", "pdf", None)]
+    none = F.array().cast("array<struct<comment:string>>")
+    forward = forward_rows(literal_rows(spark, texts, ["n", "id", "doc_type", "content"]).withColumn("comments", none), 2)
+    keys = ("doc_type", "id", "field")
+    plain = forward.select(*keys, "dl", F.inline("runs"))
+    moved = unpacked(packed(forward, *keys), *keys)
+    assert plain.columns == moved.columns and plain.dtypes == moved.dtypes
+    found = sorted(map(repr, moved.collect()))
+    assert found == sorted(map(repr, plain.collect())) and len(found) == 6
+
+
+def test_narrow_rows_become_what_they_were(spark):
+    from paperloom.operators.block_index import narrow, widen
+
+    ids = ["0a" * 32, "0A" * 32, "abc", "no hash", "", None, "0", "ff"]
+    rows = literal_rows(spark, [(n, i) for n, i in enumerate(ids)], ["n", "id"]).select(
+        F.lit("word").alias("doc_type"), "id", F.lit("content").alias("field"), F.concat(F.lit("t"), F.col("n")).alias("term"),
+        F.lit(2).alias("tf"), F.lit(9).alias("dl"), F.array(F.lit(0), F.col("n")).alias("positions"),
+    )
+    back = widen(narrow(rows)).select(*rows.columns)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    assert {n: t for n, t in narrow(rows).dtypes}["_hash"] == "binary"
+
+
+@pytest.mark.parametrize("limit", [0, 5, 100_000])
+def test_only_rows_of_rarer_keys_move(spark, limit):
+    from paperloom.plans.skew import frequent_first_join
+
+    big = spark.range(4000).select("id", F.when(F.col("id") % 10 < 7, F.col("id") % 5).otherwise(F.col("id")).alias("k"))
+    big = big.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("k")))
+    keyed = big.groupBy("k").agg(F.count("*").alias("df")).where("k is not null and k != 3")
+    found = frequent_first_join(big, keyed, ["k"], "df", limit, narrow=lambda df: df.withColumn("moved", F.lit(1)), widen=lambda df: df.drop("moved"))
+    plain = big.join(keyed, "k").select(*found.columns)
+    assert found.exceptAll(plain).count() == 0 == plain.exceptAll(found).count()
+    moved = []
+    frequent_first_join(big, keyed, ["k"], "df", limit, narrow=lambda df: moved.append(df) or df)
+    # four keys have 2,400 rows, 1,200 keys one each; no key joins the row without one and the 400 rows of key 3
+    assert moved[0].count() == {0: 4001, 5: 1601, 100_000: 401}[limit]
+
+
+def test_sized_postings_equal_a_plain_join(spark, corpus, tmp_path, monkeypatch):
+    from paperloom.operators import block_index
+    from paperloom.plans import skew
+
+    changed = BlockIndex(spark, str(tmp_path)).build(corpus.where("doc_id % 4 != 1"))
+    changed.apply(corpus.where("doc_id % 4 = 1 or doc_id % 5 = 0").withColumn("content", F.concat("content", F.lit(" more"))), corpus.where("doc_id % 7 = 0").select("id"))
+
+    def rows(df):
+        return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+    sizes = changed.doc_freq().join(changed.field_stats(), ["doc_type", "field"])
+    want = rows(changed.postings().join(sizes, ["doc_type", "field", "term"]))
+    assert rows(changed.sized_postings()) == want
+    # many ids are void: documents move packed; few terms are frequent
+    monkeypatch.setattr(block_index, "broadcast_if_small", lambda df: (df, False))
+    monkeypatch.setattr(block_index, "frequent_first_join", lambda *a, **b: skew.frequent_first_join(*a, limit=200, **b))
+    found = changed.sized_postings()
+    assert rows(found) == want and "packed" in plan_of(found)
