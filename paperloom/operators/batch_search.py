@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import scoring
-from paperloom.operators.index import term_counts
+from paperloom.functions import text as tx
+from paperloom.operators.index import TEXT_TASK_BYTES, term_counts
 from paperloom.operators.search import SCORE_DIGITS
-from paperloom.plans.sizing import BROADCAST_ROW_LIMIT, broadcast_if_small
+from paperloom.plans.sizing import BROADCAST_ROW_LIMIT, broadcast_if_small, partitions_for
 from paperloom.plans.skew import salted_join
+from paperloom.plans.staging import stored
+from paperloom.session import joined_where_dealt, shuffles_dropped
 
 # Pairs of one (query, document) per core that are joined without pruning.
 PAIRS_PER_CORE = 20_000_000
@@ -24,13 +27,27 @@ PAIRS_PER_CORE = 20_000_000
 SEED_FACTOR = 4
 # More than rounding and summation order can move a score.
 MARGIN = 1e-5
+# So many different query terms are named in the scan of the texts.
+NAMED_TERMS = 10_000
 
 
 def batch_counts(docs: DataFrame, text: Column, query_terms: DataFrame, key: str) -> DataFrame:
-    """Term counts of the terms any query asks for; other tokens are dropped before the shuffle."""
+    """Term counts of the terms any query asks for; other tokens are dropped before the shuffle.
+
+    Texts are read once: what queries ask for is written, a text of these tokens per document, and that
+    is dealt out by document for each use. Of very many terms the whole texts are.
+    """
     pairs, small = broadcast_if_small(query_terms)
     vocabulary = pairs.select("term").distinct()
-    return term_counts(docs, text, key, vocabulary=F.broadcast(vocabulary) if small else None)
+    named = [r.term for r in vocabulary.limit(NAMED_TERMS + 1).collect()] if small else None
+    if named is None or len(named) > NAMED_TERMS:
+        return term_counts(docs, text, key, vocabulary=F.broadcast(vocabulary) if small else None)
+    rows = docs.select(key, tx.tokens(text).alias("_tokens"))
+    asked = F.array_join(F.filter("_tokens", lambda t: t.isin(named)), " ")
+    kept = stored(rows.select(key, F.size("_tokens").alias("dl"), asked.alias("_asked")), "asked")
+    dealt = kept.where(F.col("_asked") != "").repartition(partitions_for(docs, TEXT_TASK_BYTES), key)
+    terms = dealt.select(key, "dl", F.explode(F.split("_asked", " ")).alias("term"))
+    return terms.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def search_batch(counts: DataFrame, query_terms: DataFrame, doc_stats: DataFrame, k: int,
@@ -43,11 +60,12 @@ def search_batch(counts: DataFrame, query_terms: DataFrame, doc_stats: DataFrame
     spark = counts.sparkSession
     if pair_limit is None:
         pair_limit = PAIRS_PER_CORE * spark.sparkContext.defaultParallelism
-    stats = doc_stats.first()
+    with shuffles_dropped(spark):
+        stats = doc_stats.first()
     n_docs, average = stats["n_docs"], (stats["sum_dl"] or 0) / max(stats["n_docs"], 1)
     n_pairs = query_terms.limit(BROADCAST_ROW_LIMIT + 1).count()
     small = n_pairs <= BROADCAST_ROW_LIMIT
-    weighted = weighted_terms(counts, query_terms, n_docs, average, small)
+    weighted = stored(weighted_terms(counts, query_terms, n_docs, average, small), "weighted")
     if not (small and n_pairs * n_docs <= pair_limit):
         emitted = weighted.agg(F.sum("df")).first()[0] or 0
         if emitted > pair_limit:
@@ -57,11 +75,7 @@ def search_batch(counts: DataFrame, query_terms: DataFrame, doc_stats: DataFrame
 
 def weighted_terms(counts: DataFrame, query_terms: DataFrame, n_docs: int, average: float,
                    small: bool) -> DataFrame:
-    """(query_id, term, df, idf, bound): bound is the most a term adds to any document.
-
-    Both aggregates use tf and dl, so that this branch equals the scoring branch up to its
-    shuffle and the shuffle is done once.
-    """
+    """(query_id, term, df, idf, bound): bound is the most a term adds to any document."""
     vocabulary = query_terms.select("term").distinct()
     wanted = counts.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
     per_term = wanted.groupBy("term").agg(
@@ -94,7 +108,10 @@ def top(found: DataFrame, k: int, key: str) -> DataFrame:
 
 def pruned_top(counts: DataFrame, weighted: DataFrame, average: float, k: int, key: str,
                small: bool) -> DataFrame:
-    """The result of plain scoring and `top`, with hot terms looked up instead of joined."""
+    """The result of plain scoring and `top`, with hot terms looked up instead of joined.
+
+    Where counts are dealt out by document, no row per query and document moves.
+    """
     # 1. A score that the k-th best document certainly reaches, from the rarest terms.
     rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -102,30 +119,35 @@ def pruned_top(counts: DataFrame, weighted: DataFrame, average: float, k: int, k
     seeds = weighted.withColumn("_upto", F.sum("df").over(rarest)).where(
         F.col("_upto") - F.col("df") < SEED_FACTOR * k
     )
-    reached = (
+    reached = stored(
         top(scores(counts, seeds, average, key, small), k, key)
         .groupBy("query_id")
-        .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("reached"))
+        .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("reached")),
+        "reached",
     )
     # 2. Weak terms: together they stay below that score. The others decide who is a candidate.
     weakest = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     ranked = weighted.join(reached, "query_id", "left").withColumn("_sum", F.sum("bound").over(weakest))
-    marked = ranked.withColumn("weak", F.col("_sum") + MARGIN < F.coalesce("reached", F.lit(0.0)))
+    marked = stored(ranked.withColumn("weak", F.col("_sum") + MARGIN < F.coalesce("reached", F.lit(0.0))), "marked")
+    with joined_where_dealt(counts.sparkSession):
+        return stored(top(candidate_scores(counts, marked, average, key, small), k, key), "top")
+
+
+def candidate_scores(counts: DataFrame, marked: DataFrame, average: float, key: str, small: bool) -> DataFrame:
+    """Scores of the documents that the terms not ``weak`` leave as candidates, with what the weak ones add to them."""
     limits = marked.groupBy("query_id").agg(
         F.first("reached").alias("reached"),
         F.coalesce(F.sum(F.when(F.col("weak"), F.col("bound"))), F.lit(0.0)).alias("_weak_sum"),
     )
+    weak = marked.where("weak").select("query_id", "term", "idf")
+    if small:
+        limits, weak = F.broadcast(limits), F.broadcast(weak)
     strong = scores(counts, marked.where(~F.col("weak")), average, key, small)
     candidates = strong.join(limits, "query_id").where(
         F.col("score") + F.col("_weak_sum") + MARGIN >= F.coalesce("reached", F.lit(0.0))
     ).select("query_id", key, "score")
-    # 3. What the weak terms add to the candidates.
-    lookups = candidates.drop("score").join(
-        marked.where("weak").select("query_id", "term", "idf"), "query_id"
-    )
+    lookups = candidates.join(weak, "query_id", "left").join(counts, [key, "term"], "left")
     part = F.col("idf") * scoring.saturation(F.col("tf"), F.col("dl"), F.lit(average))
-    added = lookups.join(counts, [key, "term"]).select("query_id", key, part.alias("score"))
-    total = candidates.unionByName(added).groupBy("query_id", key).agg(F.sum("score").alias("score"))
-    return top(total, k, key)
+    return lookups.groupBy("query_id", key).agg((F.first("score") + F.coalesce(F.sum(part), F.lit(0.0))).alias("score"))

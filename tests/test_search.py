@@ -140,3 +140,40 @@ def test_a_hot_term_spreads_with_the_data(spark, rows):
         (1, rows // 3), (2, 1), (3, rows // 3)
     ]
     assert heavy_keys(big.where("false"), "k").count() == 0
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def asked(spark, rows):
+    """Documents of (doc_id, text) rows, the terms that two queries ask for and counts of these."""
+    docs = literal_rows(spark, rows, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    pairs = literal_rows(spark, [(1, "the"), (1, "ä1"), (2, "the"), (2, "x_y")], ["query_id", "term"])
+    return docs, pairs, batch_search.batch_counts(docs, F.col("text"), pairs, "doc_id")
+
+
+def test_only_tokens_that_are_asked_for_move(spark, monkeypatch):
+    rows = [(1, "The ä1 the; other's"), (2, "nothing"), (2, "the"), (2, "the"), (2, "the more"), (3, ""), (4, None), (None, "x_y the")]
+    docs, pairs, counts = asked(spark, rows)
+    moved = plan_of(counts).split("Exchange ")
+    assert len(moved) == 2 and "text" not in moved[1] and "_asked" in moved[1]
+    want = ix.term_counts(docs, F.col("text"), "doc_id", vocabulary=F.broadcast(pairs.select("term").distinct()))
+    found = sorted(map(repr, counts.collect()))
+    assert found == sorted(map(repr, want.select(*counts.columns).collect())) and len(found) == 6 and counts.dtypes == want.dtypes
+    monkeypatch.setattr(batch_search, "NAMED_TERMS", 1)  # too many to be named: whole texts move
+    assert sorted(map(repr, asked(spark, rows)[2].collect())) == found
+
+
+def test_pruning_moves_no_row_per_query_and_document(spark, monkeypatch):
+    from paperloom.session import joined_where_dealt
+
+    plans, keep = [], batch_search.candidate_scores
+    monkeypatch.setattr(batch_search, "candidate_scores", lambda *a: plans.append(keep(*a)) or plans[0])
+    found = batch(spark, MEDIUM, pair_limit=0)
+    assert found and len(plans) == 1
+    with joined_where_dealt(spark):
+        moved = [line for line in plan_of(plans[0].select("*")).splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("hashpartitioning(doc_id" in line and "REPARTITION" in line or "hashpartitioning(query_id" in line for line in moved)
+    # what is dealt out by query are its limits, not its documents
+    assert sum("hashpartitioning(query_id" in line for line in moved) <= 1
